@@ -8,13 +8,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certus.llm import bpe, token_counts
+from certus.llm import bpe, quality_rules, token_counts, url_filter
+from certus.llm.url_filter import UrlRule
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [
+    UrlRule(True, "org", "/"),
+    UrlRule(False, "example.org", "/es/"),
+    UrlRule(False, "example.org", "/en/1"),
+    UrlRule(True, "com", "/fr/"),
+    UrlRule(False, "com", "/de/"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.fit(pages, URL_RULES), URL_RULES, keep=["page_id"])
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rules = quality_rules.fit(docs, _table(spark, sf_dir, "labels"))
+    judged = quality_rules.judge(docs, rules)
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select(
+        "doc_id",
+        *(F.col(f"__quality_counts.{c}").alias(c) for c in base),
+        F.col("__quality_base_failed").alias("base_failed"),
+        F.col("__quality_kept").alias("kept"),
+        F.col("__quality_rule").alias("rule"),
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     encoded = bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -33,6 +62,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_quality_rules": op2_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_token_counts": op8_token_counts,
 }
