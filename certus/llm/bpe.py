@@ -15,11 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certus.llm.pretokens import MISS, PairTable, UnitCache, split_units
+from certus.llm.pretokens import PairTable, UnitCache, split_units
 
 #: Longer pre-tokens (runs without a break) are merged one at a time with a heap, as a matrix would cost n * n.
 LONG_PIECE = 2048
 
+_NEVER = np.int32((1 << 31) - 1)
+#: Texts whose units are held at once.
+_TEXTS = 512
+
 
 def read_ranks(path: str) -> bytes:
     """The rank file's content. It is read once on the driver (about 1 MB) and travels with the tasks."""
@@ -31,7 +35,7 @@ class _Vocabulary:
     def __init__(self, content: bytes):
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
         self.token_bytes = {rank: token for token, rank in ranks.items()}
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         left, right, merged = [], [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -43,57 +47,71 @@ class _Vocabulary:
         merged = np.array(merged, np.int64)
         self.pairs = PairTable(np.array(left, np.int64), np.array(right, np.int64), merged, merged)
         self.ranks = ranks
+        pair = np.arange(1 << 16)
+        self.first_rank = self._rank(self.byte_ids[pair >> 8], self.byte_ids[pair & 255])
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(pieces)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece, as the bytes of an int32 array."""
+        out: list[bytes] = [b""] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for n, piece in enumerate(pieces):
             whole = self.ranks.get(piece)
             if whole is not None:
-                out[n] = np.array([whole], np.int32)
+                out[n] = whole.to_bytes(4, "little")
             elif len(piece) > LONG_PIECE:
-                out[n] = self._merge_long(piece)
+                out[n] = self._merge_long(piece).tobytes()
             else:
                 buckets.setdefault((len(piece) - 1).bit_length(), []).append(n)
         for width, rows in buckets.items():
-            step = max(1, (1 << 21) >> width)
+            step = max(1, (1 << 19) >> width)
             for at in range(0, len(rows), step):
                 self._merge_rows(pieces, rows[at : at + step], out)
         return out
 
-    def _merge_rows(self, pieces: list[bytes], rows: list[int], out: list[np.ndarray]) -> None:
+    def _merge_rows(self, pieces: list[bytes], rows: list[int], out: list[bytes]) -> None:
         lengths = np.array([len(pieces[n]) for n in rows])
-        ids = np.full((len(rows), int(lengths.max()) + 1), -1, np.int64)
-        filled = np.arange(ids.shape[1]) < lengths[:, None]
-        ids[filled] = self.byte_ids[np.frombuffer(b"".join(pieces[n] for n in rows), np.uint8)]
+        width = int(lengths.max())
+        filled = np.arange(width) < lengths[:, None]
+        raw = np.zeros((len(rows), width), np.int32)
+        raw[filled] = np.frombuffer(b"".join(pieces[n] for n in rows), np.uint8)
+        ids = self.byte_ids[raw]
+        rank = self.first_rank[(raw[:, :-1] << 8) | raw[:, 1:]]
+        rank[~filled[:, 1:]] = _NEVER
         owner = np.asarray(rows)
-        rank = self.pairs.ranks(self.pairs.find(ids[:, :-1].ravel(), ids[:, 1:].ravel())).reshape(len(rows), -1)
         while True:
             at = rank.argmin(1)  # the first of equal ranks
-            best = rank[np.arange(len(at)), at]
-            done = best == MISS
-            for n in np.flatnonzero(done):
-                row = ids[n]
-                out[owner[n]] = row[row >= 0].astype(np.int32)
-            live = ~done
-            if not live.any():
-                return
-            ids, rank, owner, at, best = ids[live], rank[live], owner[live], at[live], best[live]
             row = np.arange(len(at))
+            best = rank[row, at]
+            done = best == _NEVER
+            if done.any():
+                sizes = lengths[done] * 4
+                flat = ids[done][np.arange(ids.shape[1]) < lengths[done][:, None]].tobytes()
+                ends = np.cumsum(sizes)
+                for n, b, e in zip(owner[done].tolist(), (ends - sizes).tolist(), ends.tolist()):
+                    out[n] = flat[b:e]
+                live = ~done
+                ids, rank, owner, lengths, at, best = ids[live], rank[live], owner[live], lengths[live], at[live], best[live]
+                if not len(at):
+                    return
+                row = np.arange(len(at))
+            lengths = lengths - 1
+            width = int(lengths.max())
             shift = np.arange(ids.shape[1] - 1) > at[:, None]
-            ids = np.where(shift, ids[:, 1:], ids[:, :-1])
+            ids = np.where(shift, ids[:, 1:], ids[:, :-1])[:, :width]
             ids[row, at] = best
-            rank = np.where(shift[:, :-1], rank[:, 1:], rank[:, :-1])
-            width = int((ids >= 0).sum(1).max())
-            ids, rank = ids[:, : width + 1], rank[:, :width]
-            if ids.shape[1] == width:
-                ids = np.pad(ids, ((0, 0), (0, 1)), constant_values=-1)
-            if rank.shape[1] < width:
-                rank = np.pad(rank, ((0, 0), (0, width - rank.shape[1])), constant_values=MISS)
-            rank[row, at] = self.pairs.ranks(self.pairs.find(ids[row, at], ids[row, at + 1]))
-            before = row[at > 0]
-            spot = at[before] - 1
-            rank[before, spot] = self.pairs.ranks(self.pairs.find(ids[before, spot], ids[before, spot + 1]))
+            if width == 1:
+                rank = np.full((len(at), 1), _NEVER, np.int32)
+                continue
+            rank = np.where(shift[:, :-1], rank[:, 1:], rank[:, :-1])[:, : width - 1]
+            right = np.flatnonzero(at < lengths - 1)
+            rank[right, at[right]] = self._rank(ids[right, at[right]], ids[right, at[right] + 1])
+            ending = np.flatnonzero((at >= lengths - 1) & (at < width - 1))
+            rank[ending, at[ending]] = _NEVER
+            left = np.flatnonzero(at > 0)
+            rank[left, at[left] - 1] = self._rank(ids[left, at[left] - 1], ids[left, at[left]])
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.minimum(self.pairs.ranks(self.pairs.find(left, right)), _NEVER).astype(np.int32)
 
     def _merge_long(self, piece: bytes) -> np.ndarray:
         token = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
@@ -125,17 +143,7 @@ def _vocabulary(content: bytes) -> _Vocabulary:
 
 @functools.lru_cache(maxsize=4)
 def _unit_ids(content: bytes, pattern: str) -> UnitCache:
-    vocabulary = _vocabulary(content)
-
-    def compute(pieces: list[bytes], owner: np.ndarray, n_units: int) -> list[bytes]:
-        distinct = list(dict.fromkeys(pieces))
-        ids = dict(zip(distinct, (x.tobytes() for x in vocabulary.encode_pieces(distinct))))
-        units: list[list[bytes]] = [[] for _ in range(n_units)]
-        for piece, n in zip(pieces, owner.tolist()):
-            units[n].append(ids[piece])
-        return [b"".join(x) for x in units]
-
-    return UnitCache(pattern, compute)
+    return UnitCache(pattern, _vocabulary(content).encode_pieces, b"".join)
 
 
 def bpe_encode(text: Column, ranks: bytes, pattern: str) -> Column:
@@ -147,14 +155,12 @@ def bpe_encode(text: Column, ranks: bytes, pattern: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        cache = _unit_ids(ranks, pattern)
-        units = [split_units(t or "") for t in texts.to_pylist()]
-        parts = []
-        for at in range(0, len(units), 256):
-            some = units[at : at + 256]
-            cache.prepare(some)
+        cache, parts = _unit_ids(ranks, pattern), []
+        for at in range(0, len(texts), _TEXTS):
+            units = [split_units(t or "") for t in texts.slice(at, _TEXTS).to_pylist()]
+            cache.prepare(units)
             after = cache.after.__getitem__
-            parts += [cache.first[head] + b"".join(map(after, tail)) for head, tail in some]
+            parts += [cache.first[head] + b"".join(map(after, tail)) for head, tail in units]
         ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32), pa.int32()))
 
@@ -166,8 +172,10 @@ def bpe_decode(ids: Column, ranks: bytes) -> Column:
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
-        token = _vocabulary(ranks).token_bytes.__getitem__
-        return pa.array([b"".join(map(token, x or ())) for x in lists.to_pylist()], pa.binary())
+        token, out = _vocabulary(ranks).token_bytes.__getitem__, []
+        for at in range(0, len(lists), _TEXTS):
+            out += [b"".join(map(token, x or ())) for x in lists.slice(at, _TEXTS).to_pylist()]
+        return pa.array(out, pa.binary())
 
     return decode(ids)
 

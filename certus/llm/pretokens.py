@@ -73,24 +73,35 @@ class PairTable:
 
 
 class UnitCache:
-    """Results by unit, computed for all new units of a batch at once; emptied when it has ``limit`` entries."""
+    """Results by unit, from results by pre-token; new ones are computed together, and each cache has ``limit`` entries.
 
-    def __init__(self, pattern: str, compute, limit: int = 400_000):
-        self.pattern, self.compute, self.limit = regex.compile(pattern), compute, limit
+    compute: pre-tokens (bytes) to their results. combine: a list of results to the unit's.
+    """
+
+    def __init__(self, pattern: str, compute, combine, limit: int = 250_000):
+        self.pattern, self.compute, self.combine, self.limit = regex.compile(pattern), compute, combine, limit
         self.first: dict[str, object] = {}
         self.after: dict[str, object] = {}
+        self.pieces: dict[str, object] = {}
 
     def prepare(self, texts: list[tuple[str, list[str]]]) -> None:
         """Make sure that the units of these texts are known."""
         if len(self.first) + len(self.after) > self.limit:
             self.first, self.after = {}, {}
+        if len(self.pieces) > self.limit:
+            self.pieces = {}
         first = list({head for head, _ in texts}.difference(self.first))
         after = list(set().union(*(tail for _, tail in texts)).difference(self.after))
-        pieces, owner = [], []
-        for n, unit in enumerate([*first, *(" " + u for u in after)]):
-            found = self.pattern.findall(unit)
-            pieces += found
-            owner += [n] * len(found)
-        results = self.compute([p.encode() for p in pieces], np.asarray(owner, np.int64), len(first) + len(after))
-        self.first.update(zip(first, results))
-        self.after.update(zip(after, results[len(first) :]))
+        single, several = [], {}
+        for unit in [*first, *(" " + u for u in after)]:
+            if (unit[1:] if unit[:1] == " " else unit).isalpha():
+                single.append(unit)  # letters only, as most are: one pre-token
+            else:
+                several[unit] = self.pattern.findall(unit)
+        known = self.pieces
+        new = list({p for p in (*single, *(p for found in several.values() for p in found)) if p not in known})
+        known.update(zip(new, self.compute([p.encode() for p in new])))
+        for unit, found in several.items():
+            several[unit] = self.combine([known[p] for p in found])
+        for cache, units, lead in ((self.first, first, ""), (self.after, after, " ")):
+            cache.update((u, several[lead + u] if lead + u in several else known[lead + u]) for u in units)

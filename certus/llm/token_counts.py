@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from certus.llm.pretokens import MISS, PairTable, UnitCache, split_units
 
+#: Texts whose units are held at once.
+_TEXTS = 512
+
 
 def read_tokenizer(path: str) -> bytes:
     """The tokenizer file's content. It is read once on the driver (a few MB) and travels with the tasks."""
@@ -81,13 +84,7 @@ def _merges(content: bytes) -> _Merges:
 @functools.lru_cache(maxsize=4)
 def _unit_counts(content: bytes, pattern: str) -> UnitCache:
     merges = _merges(content)
-
-    def compute(pieces: list[bytes], owner: np.ndarray, n_units: int) -> list[int]:
-        counts = np.zeros(n_units, np.int64)
-        np.add.at(counts, owner, merges.count(pieces))
-        return counts.tolist()
-
-    return UnitCache(pattern, compute)
+    return UnitCache(pattern, lambda pieces: merges.count(pieces).tolist(), sum)
 
 
 def token_count(text: Column, tokenizer: bytes, pattern: str) -> Column:
@@ -101,21 +98,20 @@ def token_count(text: Column, tokenizer: bytes, pattern: str) -> Column:
     def count(texts: pa.Array) -> pa.Array:
         cache, special = _unit_counts(tokenizer, pattern), _merges(tokenizer).special
         out = np.zeros(len(texts), np.int64)
-        units, owner = [], []
-        for n, text in enumerate(texts.to_pylist()):
-            parts = [text or ""]
-            for token in special:
-                if token in (text or ""):
-                    cut = [p.split(token) for p in parts]
-                    out[n] += sum(len(c) - 1 for c in cut)
-                    parts = [p for c in cut for p in c]
-            units += map(split_units, parts)
-            owner += [n] * len(parts)
-        for at in range(0, len(units), 256):
-            some = units[at : at + 256]
-            cache.prepare(some)
+        for at in range(0, len(texts), _TEXTS):
+            units, owner = [], []
+            for n, text in enumerate(texts.slice(at, _TEXTS).to_pylist(), at):
+                parts = [text or ""]
+                for token in special:
+                    if token in (text or ""):
+                        cut = [p.split(token) for p in parts]
+                        out[n] += sum(len(c) - 1 for c in cut)
+                        parts = [p for c in cut for p in c]
+                units += map(split_units, parts)
+                owner += [n] * len(parts)
+            cache.prepare(units)
             after = cache.after.__getitem__
-            np.add.at(out, owner[at : at + 256], [cache.first[head] + sum(map(after, tail)) for head, tail in some])
+            np.add.at(out, owner, [cache.first[head] + sum(map(after, tail)) for head, tail in units])
         return pa.array(out, pa.int64())
 
     return count(text)
