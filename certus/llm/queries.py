@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certus.llm import bpe, quality_rules, token_counts, url_filter
+from certus.llm import bpe, quality_rules, substring_dedup, token_counts, url_filter
 from certus.llm.url_filter import UrlRule
 
 
@@ -61,11 +61,22 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), size=50)
+    return cleaned.select(
+        "doc_id",
+        F.col("__dedup_n_words").alias("n_words"),
+        F.col("__dedup_n_removed").alias("n_removed"),
+        F.sha2("__dedup_kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_token_counts": op8_token_counts,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 #: DuckDB SQL where SQL can say the same.
