@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certus.llm import bpe, quality_rules, substring_dedup, token_counts, url_filter
+from certus.llm import bpe, fingerprints, quality_rules, substring_dedup, token_counts, url_filter
 from certus.llm.url_filter import UrlRule
 
 
@@ -44,6 +44,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
+    near = made.withColumns({
+        "near_edited": fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")),
+        "near_next": fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")),
+    })
+    digests = near.withColumns({c: fingerprints.digest(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
+    return digests.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     encoded = bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -74,6 +84,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
+    "op4_fingerprints": op4_fingerprints,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
