@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certus.llm import bpe, fingerprints, quality_rules, substring_dedup, token_counts, url_filter
+from certus.llm import bpe, fingerprints, mixing, quality_rules, substring_dedup, token_counts, url_filter
 from certus.llm.url_filter import UrlRule
 
 
@@ -44,6 +44,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5)
+    # one row for each source
+    return mix.taken().join(F.broadcast(mix.source_rows()), "source_number").select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
     near = made.withColumns({
@@ -84,6 +90,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
+    "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_token_counts": op8_token_counts,
