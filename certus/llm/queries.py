@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certus.llm import bpe, fingerprints, mixing, quality_rules, substring_dedup, token_counts, url_filter
+from certus.llm import bpe, fingerprints, mixing, near_dup, quality_rules, substring_dedup, token_counts, url_filter
 from certus.llm.url_filter import UrlRule
 
 
@@ -60,6 +60,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     encoded = bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
+    "op5_near_dup": op5_near_dup,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
