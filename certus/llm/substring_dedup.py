@@ -3,8 +3,9 @@
 A window's minimiser is the smallest hash of its 8-word runs. Consecutive windows that share it form a super-k-mer.
 Equal windows have equal minimisers, so super-k-mers whose minimiser only one document has need not travel. The others
 travel as packed strings: equal strings meet first (only the earliest document's goes on), then the strings of one
-minimiser meet in a bucket, where sorting their windows finds the equal ones. A bucket with very many strings is dealt
-out by window instead.
+minimiser meet in a bucket, where sorting their windows finds the equal ones. The strings of a bucket with very many of
+them (such as those around a common line) must also agree on the words beside the minimiser, and are then dealt out by
+window.
 """
 
 from __future__ import annotations
@@ -137,11 +138,40 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
     yield batch_of(out + repeated(bucket))
 
 
+def _side_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Strings to rows (side, doc_id, text_hash, starts, packed, offsets): windows that agree on a side of the minimiser.
+
+    A window reaches over half of its other words beyond its minimiser's run, to the left or else to the right; equal
+    windows have equal words there.
+    """
+    hasher, reach = WordHashes(), (size - RUN) // 2
+    names = ["side", "doc_id", "text_hash", "starts", "packed", "offsets"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32())]
+    for batch in batches:
+        rows: list[tuple] = []
+        for minimiser, doc_id, text_hash, starts, packed in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            words = packed.split(b" ")
+            places = np.flatnonzero(window_hashes(hasher.of(words), RUN).view(np.int64) == minimiser).tolist()
+            sides: dict[int, list[int]] = {}
+            at = 0
+            for k in range(len(words) - size + 1):
+                while places[at] < k:
+                    at += 1
+                p = places[at]
+                left = p - k >= reach
+                part = words[p - reach : p + RUN] if left else words[p : p + RUN + reach]
+                sides.setdefault(xxhash.xxh3_64_intdigest(b" ".join(part), seed=left) - (1 << 63), []).append(k)
+            rows += ((side, doc_id, text_hash, starts, packed, offsets) for side, offsets in sides.items())
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+
 def _single_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Strings to a row (window_key, doc_id, text_hash, start) for each of their windows."""
+    """Strings with offsets to a row (window_key, doc_id, text_hash, start) for each of those windows."""
     for batch in batches:
-        for doc_id, text_hash, starts, packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            rows = [(xxhash.xxh3_128_digest(w), doc_id, text_hash, s + k) for k, w in enumerate(_windows(packed, size)) for s in starts]
+        for doc_id, text_hash, starts, packed, offsets in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            windows = _windows(packed, size)
+            rows = [(xxhash.xxh3_128_digest(windows[k]), doc_id, text_hash, s + k) for k in offsets for s in starts]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int32()))], ["window_key", "doc_id", "text_hash", "start"])
 
 
@@ -172,7 +202,12 @@ def repeated_windows(docs: DataFrame, size: int = 50, id_col: str = "doc_id", te
     row = "doc_id bigint, text_hash bigint, start int, windows int"
     buckets = sorted_out.filter("crowded IS NULL").select("minimiser", "doc_id", "text_hash", "starts", "packed").repartition("minimiser").sortWithinPartitions("minimiser")
     from_buckets = buckets.mapInArrow(lambda it: _bucket_rows(it, size), row)
-    singles = sorted_out.filter("crowded").select("doc_id", "text_hash", "starts", "packed").mapInArrow(lambda it: _single_rows(it, size), "window_key binary, doc_id bigint, text_hash bigint, start int")
+    sides = staged(
+        sorted_out.filter("crowded").select("minimiser", "doc_id", "text_hash", "starts", "packed").mapInArrow(lambda it: _side_rows(it, size), "side bigint, doc_id bigint, text_hash bigint, starts array<int>, packed binary, offsets array<int>"),
+        "crowded-sides",
+    )
+    agreed = sides.groupBy("side").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("side")
+    singles = sides.join(agreed, "side").select("doc_id", "text_hash", "starts", "packed", "offsets").mapInArrow(lambda it: _single_rows(it, size), "window_key binary, doc_id bigint, text_hash bigint, start int")
     least = singles.groupBy("window_key").agg(F.min("doc_id").alias("least"))
     from_windows = singles.join(least, "window_key").filter("doc_id > least").select("doc_id", "text_hash", "start", F.lit(1).alias("windows"))
     return copies.unionByName(from_buckets).unionByName(from_windows)
