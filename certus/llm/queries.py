@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certus.llm import bpe, fingerprints, mixing, near_dup, quality_rules, substring_dedup, token_counts, url_filter
+from certus.llm import bpe, fingerprints, lm_scoring, mixing, near_dup, quality_rules, substring_dedup, token_counts, url_filter
 from certus.llm.url_filter import UrlRule
 
 
@@ -75,6 +75,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder == 2, F.lit(True)).alias("held_out"))
+    return lm_scoring.score_documents(docs, ~F.col("held_out"), keep=["held_out"])
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = token_counts.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer, public_tokenizers.PATTERN)
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_near_dup": op5_near_dup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
 }
