@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from certus.llm.words import mix
+from certus.llm.words import mix, words_of
 from certus.plans.staging import staged
 
 #: Words in a block.
@@ -115,14 +115,14 @@ def plan_sources(totals: list[tuple[str | None, int]], weights: tuple[float, ...
 
 
 def _slot_rows(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    """(shard, source, from_slot, n, blocks, at) to a row (shard, slot, source, block) for each slot."""
-    names = ["shard", "slot", "source", "block"]
+    """(shard, source, from_slot, n, blocks, at) to a row (shard, slot, source, turn, block) for each slot."""
+    names = ["shard", "slot", "source", "turn", "block"]
     for batch in batches:
         for shard, source, first, n, blocks, at in zip(*(batch.column(i).to_pylist() for i in range(6))):
             slot = np.arange(first, first + n)
             keys = mix(np.uint64(seed) + np.uint64(source) * np.uint64(0x100000001B3) + (slot // blocks).astype(np.uint64))
             block = permuted(slot % blocks, np.full(n, blocks), keys)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(at, at + n)), pa.array(np.full(n, source, np.int32)), pa.array(block)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(at, at + n)), pa.array(np.full(n, source, np.int32)), pa.array((slot // blocks).astype(np.int32)), pa.array(block)], names)
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -155,8 +155,8 @@ def with_offsets(sizes: DataFrame, rows: int) -> DataFrame:
 class Mix:
     """What was mixed.
 
-    spans: (shard, slot, source_number, block, doc_id, text_hash, copy, start, n_words), a row for each piece of a
-    document in a slot; start counts the document's words from 0. documents: (doc_id, source, source_number, text_hash,
+    spans: (shard, slot, source_number, turn, block, doc_id, text_hash, copy, start, n_words), a row for each piece of a
+    document in a slot; start counts the document's words from 0, turn the passes over its source. documents: (doc_id, source, source_number, text_hash,
     copy, size, offset), a row for each document; the first of these but ``source`` tell documents apart.
     """
 
@@ -196,7 +196,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     table = spark.createDataFrame(rows, "shard int, source int, first bigint, n bigint, blocks bigint, at bigint")
     chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(_CHUNK).cast("bigint"))).alias("skip")
     chunks = table.select("*", chunk).select("shard", "source", F.col("first") + F.col("skip"), F.least(F.col("n") - F.col("skip"), F.lit(_CHUNK).cast("bigint")), "blocks", F.col("at") + F.col("skip"))
-    slots = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(lambda it: _slot_rows(it, seed), "shard int, slot bigint, source int, block bigint")
+    slots = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(lambda it: _slot_rows(it, seed), "shard int, slot bigint, source int, turn int, block bigint")
     numbers = spark.createDataFrame([(s.name, s.number) for s in sources], "name string, source_number int")
     # one row for each source, MAX_SOURCES at most
     placed = with_offsets(sizes, sum(r["rows"] for r in totals)).join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("name"))).drop("name")
@@ -209,3 +209,28 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     pieces = pieces.select("source_number", "block", "doc_id", "text_hash", "copy", (begin - F.col("offset")).alias("start"), (end - begin).alias("n_words"))
     spans = slots.withColumnRenamed("source", "source_number").join(pieces, ["source_number", "block"])
     return Mix(spans, documents, sources)
+
+
+def taken_texts(docs: DataFrame, mixed: Mix, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix as documents: a row with the columns of ``docs`` for each document and pass that takes any of its words.
+
+    The text is what the pass takes, in the document's order: unchanged if that is all, else words joined by one blank.
+    """
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("bigint"), "__hash": F.xxhash64(text_col), "__source": F.col(source_col).cast("string")})
+    one = keyed.dropDuplicates(["__id", "__hash", "__source"])  # repeated rows come back by their own spans
+    names = mixed.documents.sparkSession.createDataFrame([(s.number, s.name) for s in mixed.sources], "source_number int, name string")
+    turns = mixed.spans.groupBy("source_number", "doc_id", "text_hash", "copy", "turn").agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("__spans")).join(F.broadcast(names), "source_number")
+    same = F.col("__id").eqNullSafe(F.col("doc_id_")) & (F.col("__hash") == F.col("text_hash")) & F.col("__source").eqNullSafe(F.col("name"))
+    joined = one.join(turns.withColumnRenamed("doc_id", "doc_id_"), same)
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        out = []
+        for text, spans in zip(texts.to_pylist(), lists.to_pylist()):
+            words = words_of(text)
+            if sum(s["n_words"] for s in spans) < len(words):
+                text = b" ".join(w for s in spans for w in words[s["start"] : s["start"] + s["n_words"]]).decode()
+            out.append(text)
+        return pa.array(out, pa.string())
+
+    return joined.withColumn(text_col, cut(F.col(text_col), F.col("__spans"))).select(*docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certus.llm import bpe, fingerprints, lm_scoring, mixing, near_dup, quality_rules, substring_dedup, token_counts, url_filter
+from certus.llm import bpe, fingerprints, lm_scoring, mixing, near_dup, quality_rules, substring_dedup, token_counts, toxicity, url_filter
 from certus.llm.url_filter import UrlRule
 
 
@@ -97,6 +97,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    docs = _table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.toxicity(F.col("text"), net).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -107,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lm_scoring": op7_lm_scoring,
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB SQL where SQL can say the same.
