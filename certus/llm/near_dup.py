@@ -5,7 +5,7 @@ A signature has 96 minhashes of 16 bits. Pairs with a similarity of 0.8 differ i
 the signatures share a key made of that chunk without one of its places. Documents with equal sets are one node.
 
 Documents that share a key aren't paired with each other but with one of them, a centre that differs between keys.
-Pairs that pass a sketch of the signatures are confirmed on the full sets. Then only documents that share a key with a
+Pairs whose signatures, cut to 4 bits a place, differ in few places are confirmed on the full sets. Then only documents that share a key with a
 document of another component are compared with it. So large groups of copies need few pairs, and no link is lost
 that joins components.
 """
@@ -27,9 +27,11 @@ from certus.plans.staging import staged
 PLACES = 96
 #: Places in which signatures of linked documents may differ.
 MAX_ERRORS = 37
-#: Wrong bits of the 64-bit sketch that linked documents may have (6.4 at a similarity of 0.8).
-MAX_SKETCH_ERRORS = 22
-_CENTRES = 4
+#: Places in which the 4-bit forms of the signatures of linked documents may differ (18 are to be expected at 0.8).
+MAX_SHORT_ERRORS = 34
+_CENTRES = 8
+#: The 4-bit form: six words of sixteen places.
+_SHORT = [f"short{i}" for i in range(PLACES // 16)]
 
 _RNG = np.random.default_rng(20_240_601)
 _TURN = _RNG.integers(1, 1 << 63, PLACES, dtype=np.uint64) | np.uint64(1)
@@ -70,26 +72,25 @@ def signature_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _signed_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n_shingles, set_key, signature, sketch)."""
+    """(doc_id, text) to (doc_id, n_shingles, set_key, signature and its 4-bit form)."""
     hasher = WordHashes()
-    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    shifts = np.arange(0, 64, 4, dtype=np.uint64)
     for batch in batches:
-        counts, keys, signatures, sketches = [], [], [], []
-        for text in batch.column(1):
+        counts, keys, signatures, short = [], [], [], np.zeros((len(batch), len(_SHORT)), np.int64)
+        for n, text in enumerate(batch.column(1)):
             shingles = shingle_hashes(text.as_py(), size, hasher)
             counts.append(len(shingles))
             if not len(shingles):
                 keys.append(None)
                 signatures.append(None)
-                sketches.append(0)
                 continue
             found = minhashes(shingles)
             keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
             signatures.append((found >> np.uint64(48)).astype(np.uint16).tobytes())
-            sketches.append(int(((found[:64] & np.uint64(1)) * bits).sum().view(np.int64)))
+            short[n] = ((found & np.uint64(15)).reshape(-1, 16) << shifts).sum(1, dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(sketches, pa.int64())],
-            ["doc_id", "n_shingles", "set_key", "signature", "sketch"],
+            [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), *(pa.array(c) for c in np.ascontiguousarray(short.T))],
+            ["doc_id", "n_shingles", "set_key", "signature", *_SHORT],
         )
 
 
@@ -133,8 +134,26 @@ def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _close_sizes(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _short_errors(a: str, b: str) -> Column:
+    """Places in which two 4-bit forms (columns with these prefixes) differ."""
+    total = F.lit(0)
+    for word in _SHORT:
+        x = F.col(a + word).bitwiseXOR(F.col(b + word))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and signatures of two nodes (columns with these prefixes) allow a link."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (_short_errors(a, b) <= MAX_SHORT_ERRORS)
+
+
+def _named(df: DataFrame, prefix: str, node: str, *more: str) -> DataFrame:
+    """What is known of nodes, under names with a prefix; the node itself as ``node``."""
+    return df.select(*more, F.col("node").alias(node), *(F.col(c).alias(prefix + c) for c in ("n", *_SHORT, *(x for x in ("label",) if x in df.columns))))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -157,31 +176,29 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     signatures are laid out for percent 80 and more.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = staged(texts.mapInArrow(lambda it: _signed_rows(it, size), "doc_id bigint, n_shingles bigint, set_key binary, signature binary, sketch bigint"), "signatures")
+    longs = ", ".join(f"{c} bigint" for c in _SHORT)
+    signed = staged(texts.mapInArrow(lambda it: _signed_rows(it, size), f"doc_id bigint, n_shingles bigint, set_key binary, signature binary, {longs}"), "signatures")
     nodes = staged(
-        signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")),
+        signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), *(F.first(c).alias(c) for c in _SHORT)),
         "nodes",
     )
     keys = nodes.select("node", "signature").mapInArrow(_key_rows, "key bigint, node bigint")
     ordered = keys.repartition("key").sortWithinPartitions("key", F.xxhash64("node", F.col("key").bitwiseAND(F.lit(_CENTRES - 1))))
     shared = staged(ordered.mapInArrow(_shared_rows, "key bigint, node bigint, centre bigint"), "shared-keys")
-    about = nodes.select("node", "n", "sketch")
-    a = about.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    b = about.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    alike = _close_sizes(F.col("na"), F.col("nb"), percent) & (F.bit_count(F.col("ka").bitwiseXOR(F.col("kb"))) <= MAX_SKETCH_ERRORS)
+    about = nodes.select("node", "n", *_SHORT)
 
     stars = shared.filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    pairs = staged(stars.join(a, "a").join(b, "b").filter(alike).select("a", "b"), "pairs")
+    pairs = staged(stars.join(_named(about, "a_", "a"), "a").join(_named(about, "b_", "b"), "b").filter(_alike("a_", "b_", percent)).select("a", "b"), "pairs")
     links = staged(_confirmed(pairs, texts.withColumnRenamed("doc_id", "node"), size, percent), "links")
     labels = smallest_reachable(links)
 
     # nodes that share a key with a centre of another component: compare them with the key's nodes of other components
-    label_of = about.join(labels, "node", "left").select("node", "n", "sketch", F.coalesce("label", "node").alias("label"))
-    near = shared.join(label_of, "node").join(label_of.select(F.col("node").alias("centre"), F.col("label").alias("centre_label")), "centre")
-    near = staged(near.select("key", "node", "n", "sketch", "label", "centre_label"), "labelled-keys")
-    apart = near.filter("label != centre_label").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"), F.col("label").alias("la"))
-    others = near.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"), F.col("label").alias("lb"))
-    crossing = apart.join(others, "key").filter((F.col("la") != F.col("lb")) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    labelled = about.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    centres = labelled.select(F.col("node").alias("centre"), F.col("label").alias("centre_label"))
+    near = staged(shared.join(labelled, "node").join(centres, "centre"), "labelled-keys")
+    apart = _named(near.filter("label != centre_label"), "a_", "a", "key")
+    crossing = apart.join(_named(near, "b_", "b", "key"), "key").filter((F.col("a_label") != F.col("b_label")) & _alike("a_", "b_", percent))
+    crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = staged(crossing.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if more.limit(1).count():
         links = staged(links.unionByName(_confirmed(more, texts.withColumnRenamed("doc_id", "node"), size, percent)), "links")
