@@ -20,8 +20,14 @@ def gram_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
 
 
 def inflation(gram: np.ndarray) -> np.ndarray:
-    """Variance inflation of each column by a regression without constant on the others."""
-    return np.diag(gram) * np.diag(np.linalg.pinv(gram))
+    """Variance inflation of each column by a regression without constant on the others; infinite if they determine it."""
+    out = np.ones(len(gram))
+    for i in range(len(gram)):
+        others = np.delete(np.arange(len(gram)), i)
+        explained = gram[i, others] @ np.linalg.pinv(gram[np.ix_(others, others)], rcond=1e-12) @ gram[others, i] if len(others) else 0.0
+        rest = gram[i, i] - explained
+        out[i] = gram[i, i] / rest if rest > 1e-10 * gram[i, i] else np.inf
+    return out
 
 
 def drop_inflated(gram: np.ndarray, columns: list[str], most: float = 15.0) -> tuple[list[str], list[tuple[str, float]]]:

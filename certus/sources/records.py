@@ -11,9 +11,15 @@ from certus.schema import RECORD, SCORING_RECORD
 
 
 def _parsed(text: Column, schema: T.StructType) -> Column:
-    """Struct of the known fields of a JSON object, each kept as text if it isn't of a simple type."""
-    raw = F.from_json(text, T.MapType(T.StringType(), T.StringType()))
-    return F.struct(*(raw[f.name].try_cast(f.dataType).alias(f.name) for f in schema))
+    """Struct of the known fields of a JSON object; of a scoring record's lists as their JSON text.
+
+    There, a list that is written as a JSON string keeps its quotes, so that it isn't taken for a list.
+    """
+    plain = F.from_json(text, T.MapType(T.StringType(), T.StringType()))
+    exact = F.try_parse_json(text)
+    quoted = {"top_logprobs", "logprobs_data"} if schema == SCORING_RECORD else set()
+    field = lambda f: F.to_json(F.try_variant_get(exact, f"$.{f.name}", "variant")) if f.name in quoted else plain[f.name].try_cast(f.dataType)
+    return F.struct(*(field(f).alias(f.name) for f in schema))
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType = RECORD, strip_commas: bool = True) -> tuple[DataFrame, DataFrame]:
