@@ -101,7 +101,7 @@ def with_next_row(docs: DataFrame, prepare, id_col: str, carried: list[str], out
     n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.coalesce(F.col(id_col).cast("double"), F.lit(-1.0e308))
     placed = docs.withColumn("__place", place)
-    cuts = sorted(set(placed.approxQuantile("__place", [i / n for i in range(1, n)], 0.25 / n)))
+    cuts = sorted(set(placed.approxQuantile("__place", [i / n for i in range(1, n)], 0.25 / n))) or [0.0]
     ranged = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="__place", outputCol="__range").transform(placed).drop("__place")
     # one row of three numbers for each range
     firsts = ranged.groupBy("__range").agg(F.min(F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"))).alias("first"))

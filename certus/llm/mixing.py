@@ -220,8 +220,9 @@ def taken_texts(docs: DataFrame, mixed: Mix, id_col: str = "doc_id", text_col: s
     one = keyed.dropDuplicates(["__id", "__hash", "__source"])  # repeated rows come back by their own spans
     names = mixed.documents.sparkSession.createDataFrame([(s.number, s.name) for s in mixed.sources], "source_number int, name string")
     turns = mixed.spans.groupBy("source_number", "doc_id", "text_hash", "copy", "turn").agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("__spans")).join(F.broadcast(names), "source_number")
-    same = F.col("__id").eqNullSafe(F.col("doc_id_")) & (F.col("__hash") == F.col("text_hash")) & F.col("__source").eqNullSafe(F.col("name"))
-    joined = one.join(turns.withColumnRenamed("doc_id", "doc_id_"), same)
+    turns = turns.select("__spans", F.col("doc_id").alias("__t_id"), F.col("text_hash").alias("__t_hash"), F.col("name").alias("__t_source"))
+    same = F.col("__id").eqNullSafe(F.col("__t_id")) & (F.col("__hash") == F.col("__t_hash")) & F.col("__source").eqNullSafe(F.col("__t_source"))
+    joined = one.join(turns, same)
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, lists: pa.Array) -> pa.Array:

@@ -200,7 +200,7 @@ def _learn(net: Network, adam: gru.Adam, windows: list[list[str]], labels: np.nd
     return logits
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 128, least_steps: int = 250, seed: int = 9) -> Network:
+def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 128, least_steps: int = 300, seed: int = 9) -> Network:
     """Fit on whole labelled texts; from the second pass on, a toxic text counts with its most toxic window only.
 
     Texts without words are left out. The score is moved so that most training texts fall on their side of 0.5.
@@ -215,11 +215,15 @@ def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 128
         starts = list(window_starts(len(words)))
         for at in rng.permutation(starts)[:MAX_WINDOWS].tolist():
             windows.append((doc, y, words[at : at + WINDOW]))
-    if not windows:
+    found = {y for _, y, _ in windows}
+    if len(found) < 2:  # one class, or none: nothing tells them apart
+        net.weights["wo"][:] = 0
+        net.weights["bo"][:] = 10 if found == {1} else -10
         return net
     adam = gru.Adam(net.weights, 0.006)
+    batch = max(16, min(batch, len(windows) // 12))
     logits = rng.random(len(windows))
-    for epoch in range(max(epochs, min(20, -(-least_steps * batch // len(windows))))):  # a few texts are gone over again
+    for epoch in range(max(epochs, min(30, -(-least_steps * batch // len(windows))))):  # a few texts are gone over again
         use = np.arange(len(windows))
         if epoch:
             top: dict[int, int] = {}
