@@ -6,6 +6,7 @@ sees all of them.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,10 +71,8 @@ def score_counts(df: DataFrame, truth: str, score: str) -> DataFrame:
     """
     spark = df.sparkSession
     at = df.filter(F.col(truth).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.sum((F.col(truth) == 1).cast("bigint")).alias("pos"), F.sum((F.col(truth) == 0).cast("bigint")).alias("neg"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(at.approxQuantile("score", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
-    from pyspark.ml.feature import Bucketizer
-
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = sorted(set(at.approxQuantile("score", [i / n for i in range(1, n)], 0.25 / n))) or [0.0]
     ranged = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="score", outputCol="range").transform(at)
     above = Window.partitionBy("range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = ranged.withColumns({"p": F.sum("pos").over(above) - F.col("pos"), "n": F.sum("neg").over(above) - F.col("neg")})
