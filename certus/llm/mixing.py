@@ -207,7 +207,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     begin = F.greatest(F.col("block") * block, F.col("offset"))
     end = F.least((F.col("block") + 1) * block, F.col("offset") + F.col("size"))
     pieces = pieces.select("source_number", "block", "doc_id", "text_hash", "copy", (begin - F.col("offset")).alias("start"), (end - begin).alias("n_words"))
-    spans = slots.withColumnRenamed("source", "source_number").join(pieces, ["source_number", "block"])
+    # both sides grow with the input: never a broadcast, however small the files look before blocks are listed
+    spans = slots.withColumnRenamed("source", "source_number").join(pieces.hint("merge"), ["source_number", "block"])
     return Mix(spans, documents, sources)
 
 
