@@ -95,9 +95,9 @@ def ranking_metrics(df: DataFrame, truth: str, score: str) -> DataFrame:
 def roc_points(df: DataFrame, truth: str, score: str) -> DataFrame:
     """(threshold, fpr, tpr) at each distinct score."""
     c = score_counts(df, truth, score)
-    totals = c.agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
-    one = c.join(F.broadcast(totals))  # one row
-    return one.select(F.col("score").alias("threshold"), F.try_divide((F.col("neg_above") + F.col("neg")).cast("double"), F.col("tn")).alias("fpr"), F.try_divide((F.col("pos_above") + F.col("pos")).cast("double"), F.col("tp")).alias("tpr"))
+    all_ = c.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()  # two numbers
+    share = lambda above, here, n: F.try_divide((F.col(above) + F.col(here)).cast("double"), F.lit(n))
+    return c.select(F.col("score").alias("threshold"), share("neg_above", "neg", all_["neg"]).alias("fpr"), share("pos_above", "pos", all_["pos"]).alias("tpr"))
 
 
 def threshold_sweep(df: DataFrame, truth: str, score: str, miss: float, review: float, low: float = 0.35, high: float = 0.7, steps: int = 100) -> DataFrame:

@@ -210,8 +210,8 @@ def fit_boosted(df: DataFrame, features: list[str], target: str, trees: int = 30
 def min_max_scores(df: DataFrame, score: Column) -> DataFrame:
     """``probability`` for models without one: scores brought to 0..1 by their extremes over all rows."""
     scored = df.withColumn("__s", score)
-    ends = scored.agg(F.min("__s").alias("__lo"), F.max("__s").alias("__hi"))
-    return scored.join(F.broadcast(ends)).withColumn("probability", (F.col("__s") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1e-12)).drop("__s", "__lo", "__hi")  # one row
+    low, high = scored.agg(F.min("__s"), F.max("__s")).first()  # two numbers
+    return scored.withColumn("probability", (F.col("__s") - F.lit(low)) / (F.lit(high) - F.lit(low) + 1e-12)).drop("__s")
 
 
 def predictions(scored: DataFrame, threshold: float) -> DataFrame:

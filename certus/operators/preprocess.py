@@ -74,5 +74,6 @@ def prediction_rates(df: DataFrame) -> DataFrame:
 
 
 def totals(records: DataFrame, made: DataFrame) -> DataFrame:
-    """Input records and output samples."""
-    return records.agg(F.count("*").alias("input_records")).crossJoin(F.broadcast(made.agg(F.count("*").alias("output_samples"))))  # one row each
+    """(what, n): input records and output samples."""
+    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    return count(records, "input records").unionByName(count(made, "output samples"))
