@@ -4,10 +4,10 @@ A signature has 96 minhashes of 16 bits. Pairs with a similarity of 0.8 differ i
 37 at most (all but one in 100,000 of the pairs at 0.8) are all found: of 19 chunks, one has at most one wrong place, so
 the signatures share a key made of that chunk without one of its places. Documents with equal sets are one node.
 
-Documents that share a key aren't paired with each other but with one of them, a centre that differs between keys.
-Pairs whose signatures, cut to 4 bits a place, differ in few places are confirmed on the full sets. Then only documents that share a key with a
-document of another component are compared with it. So large groups of copies need few pairs, and no link is lost
-that joins components.
+Documents that share a key aren't paired with each other but with one of them, a centre that differs between keys; a
+centre and those paired with it are a star. Pairs whose signatures, cut to 4 bits a place, differ in few places are
+confirmed on the full sets. Then only documents outside the largest component of a star are compared with the star's
+documents of other components. So large groups of copies need few pairs, and no link is lost that joins components.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from certus.llm.components import smallest_reachable
@@ -30,6 +30,8 @@ MAX_ERRORS = 37
 #: Places in which the 4-bit forms of the signatures of linked documents may differ (18 are to be expected at 0.8).
 MAX_SHORT_ERRORS = 34
 _CENTRES = 8
+#: Other nodes of a star that a node outside its largest component is compared with first.
+_HELPERS = 48
 #: The 4-bit form: six words of sixteen places.
 _SHORT = [f"short{i}" for i in range(PLACES // 16)]
 
@@ -156,10 +158,8 @@ def _named(df: DataFrame, prefix: str, node: str, *more: str) -> DataFrame:
     return df.select(*more, F.col("node").alias(node), *(F.col(c).alias(prefix + c) for c in ("n", *_SHORT, *(x for x in ("label",) if x in df.columns))))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = staged(texts.join(nodes, "node").select("node", "text").mapInArrow(lambda it: _set_rows(it, size), "node bigint, shingles array<bigint>"), "shingle-sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -186,23 +186,31 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     ordered = keys.repartition("key").sortWithinPartitions("key", F.xxhash64("node", F.col("key").bitwiseAND(F.lit(_CENTRES - 1))))
     shared = staged(ordered.mapInArrow(_shared_rows, "key bigint, node bigint, centre bigint"), "shared-keys")
     about = nodes.select("node", "n", *_SHORT)
-
-    stars = shared.filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    pairs = staged(stars.join(_named(about, "a_", "a"), "a").join(_named(about, "b_", "b"), "b").filter(_alike("a_", "b_", percent)).select("a", "b"), "pairs")
-    links = staged(_confirmed(pairs, texts.withColumnRenamed("doc_id", "node"), size, percent), "links")
+    rank = F.row_number().over(Window.partitionBy("centre").orderBy(F.xxhash64("node", "centre"), "node"))
+    stars = staged(shared.select("centre", "node").distinct().withColumn("rank", rank), "stars")
+    # both sides grow with the input, so it is a merge join at every size
+    sharing = stars.select("node").distinct()
+    sets = staged(texts.withColumnRenamed("doc_id", "node").join(sharing.hint("merge"), "node").select("node", "text").mapInArrow(lambda it: _set_rows(it, size), "node bigint, shingles array<bigint>"), "shingle-sets")
+
+    ends = stars.filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    tried = staged(ends.join(_named(about, "a_", "a"), "a").join(_named(about, "b_", "b"), "b").filter(_alike("a_", "b_", percent)).select("a", "b"), "pairs")
+    links = staged(_confirmed(tried, sets, percent), "links")
     labels = smallest_reachable(links)
 
-    # nodes that share a key with a centre of another component: compare them with the key's nodes of other components
-    labelled = about.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    centres = labelled.select(F.col("node").alias("centre"), F.col("label").alias("centre_label"))
-    near = staged(shared.join(labelled, "node").join(centres, "centre"), "labelled-keys")
-    apart = _named(near.filter("label != centre_label"), "a_", "a", "key")
-    crossing = apart.join(_named(near, "b_", "b", "key"), "key").filter((F.col("a_label") != F.col("b_label")) & _alike("a_", "b_", percent))
-    crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = staged(crossing.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if more.limit(1).count():
-        links = staged(links.unionByName(_confirmed(more, texts.withColumnRenamed("doc_id", "node"), size, percent)), "links")
-        labels = smallest_reachable(links)
+    # nodes outside the largest component of a star: compare them with some of the star's other nodes, then with all
+    for most in (_HELPERS, None):
+        labelled = about.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        near = staged(stars.join(labelled, "node"), "labelled-stars")
+        main = near.groupBy("centre", "label").count().groupBy("centre").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+        apart = _named(near.join(main, "centre").filter("label != main"), "a_", "a", "centre")
+        others = _named(near if most is None else near.filter(F.col("rank") <= most), "b_", "b", "centre")
+        crossing = apart.join(others, "centre").filter((F.col("a_label") != F.col("b_label")) & _alike("a_", "b_", percent))
+        crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = staged(crossing.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.limit(1).count():
+            tried = tried.unionByName(more)
+            links = staged(links.unionByName(_confirmed(more, sets, percent)), "links")
+            labels = smallest_reachable(links)
 
     found = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component_id"))
     joined = signed.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
