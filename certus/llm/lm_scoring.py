@@ -2,8 +2,8 @@
 
 Word counts of all training documents are a Spark aggregation. The frequent words are the network's vocabulary; a word
 outside it is scored as the unknown word times its smoothed share of the rarer words. The network is trained by
-truncated backpropagation on a fixed share of the training documents: tasks train copies on their own rows, and the
-copies are averaged, in groups, after each round. Scoring carries a document's state through all of its words.
+truncated backpropagation on all training documents: tasks train copies on their own rows, once a round at every size,
+and the copies are averaged, in groups, after each round. Scoring carries a document's state through all of its words.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from certus.plans.staging import staged
 VOCABULARY = 4096
 #: Most frequent words whose counts each task holds; counts of the others come by a join.
 HEAD = 150_000
-#: One of so many training documents trains the network, whatever the size of the input.
-ONE_IN = 8
+#: One of so many training documents trains the network: all of them.
+ONE_IN = 1
+#: Passes over the training documents, at every size.
 ROUNDS = 2
 SIZE = 32
 EMBEDDING = 16
@@ -35,7 +36,6 @@ CLASSES = 64
 _TRAINER_WORDS = 500_000
 _LANES, _STEPS = 64, 32
 _GROUP = 512
-_FEW = 200_000
 _UNKNOWN, _END = 0, 1
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -255,17 +255,17 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(texts: DataFrame, counts: Counts, vocabulary: int = VOCABULARY, rounds: int = ROUNDS, one_in: int = ONE_IN) -> Network:
-    """Train on one in ``one_in`` rows of ``texts`` (doc_id, text), by hash of the id."""
+    """Train on one in ``one_in`` rows of ``texts`` (doc_id, text), by hash of the id; a round is one pass over them."""
     words = counts.words[: vocabulary - 2]
     number = {w: n for n, w in enumerate(words, 2)}
     head = counts.counts[: vocabulary - 2]
     unknown = counts.tokens - counts.documents - int(head.sum())
     # ids follow falling counts but for the first two, which are classes of their own by their weight
     net = new_network(np.r_[unknown, counts.documents, head].astype(float))
-    sample = staged(texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text", F.octet_length("text").alias("bytes")), "lm-sample")
-    size = sample.agg(F.sum("bytes")).first()[0] or 0
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text")
+    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     trainers = max(1, size // (6 * _TRAINER_WORDS))
-    spread = staged(sample.select("text").repartition(trainers), "lm-shards")
+    spread = staged(sample.repartition(trainers), "lm-shards")
 
     for _ in range(rounds):
         start = _pack(net)
@@ -274,9 +274,7 @@ def fit(texts: DataFrame, counts: Counts, vocabulary: int = VOCABULARY, rounds:
             own, n, part = _unpack(start), 0, np.random.default_rng().integers(1 << 30)
             for batch in batches:
                 ids = [i for t in batch.column(0) for i in (*(number.get(w, _UNKNOWN) for w in tokens_of(t.as_py())), _END)]
-                stream = np.array(ids, np.int64)
-                for _ in range(max(1, min(6, _FEW // max(1, len(stream))))):  # a small shard is gone over again
-                    train(own, stream)
+                train(own, np.array(ids, np.int64))
                 n += len(ids)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([_pack(own)], pa.binary())], ["part", "n", "net"])

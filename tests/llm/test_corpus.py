@@ -82,6 +82,16 @@ def test_scores(spark):
     assert len(lm_scoring.score_documents(df.limit(0), learn).collect()) == 0
 
 
+def test_network_learns_from_every_document_once_a_round(spark):
+    texts = spark.createDataFrame([(i, "w1 w2 w3 w2") for i in range(60)], "doc_id long, text string").coalesce(1)
+    counts = lm_scoring.count_tokens(texts)
+    got = lm_scoring.fit(texts, counts, rounds=1)
+    number = {w: n for n, w in enumerate(counts.words, 2)}
+    want = lm_scoring.new_network(np.r_[0, 60, counts.counts].astype(float))
+    lm_scoring.train(want, np.array(([number[w] for w in b"w1 w2 w3 w2".split()] + [1]) * 60))
+    assert all(np.allclose(got.weights[k], want.weights[k], atol=1e-5) for k in want.weights)
+
+
 def test_output_is_a_distribution():
     net = lm_scoring.new_network(np.array([50.0, 20, 9, 5, 3, 2, 1, 1]), classes=3)
     states = np.random.default_rng(1).standard_normal((1, lm_scoring.SIZE)).astype(np.float32)
