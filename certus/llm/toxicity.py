@@ -29,12 +29,17 @@ WORD_SIZE, CHARACTER_SIZE, SIZE, ATTENTION = 16, 16, 12, 16
 _CACHE = 150_000
 _LANES = 2048
 _TEXTS = 512
+#: A longer word is taken in pieces of so many characters; neighbouring pieces share three, so no run of four is lost.
+_PIECE, _SHARED = 64, 3
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 def words_in(text: str | None) -> list[str]:
-    """Lower-case words without ASCII marks at their ends; a word of marks only stays as it is."""
-    return [w.strip(_EDGE) or w for w in (text or "").lower().split()]
+    """Lower-case words without ASCII marks at their ends; a word of marks only stays as it is. Pieces of long words."""
+    words = [w.strip(_EDGE) or w for w in (text or "").lower().split()]
+    if all(len(w) <= _PIECE for w in words):
+        return words
+    return [w[at : at + _PIECE] for w in words for at in range(0, max(1, len(w) - _SHARED), _PIECE - _SHARED)]
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -49,12 +54,17 @@ def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 def character_runs(word: str) -> list[int]:
     """Buckets of the word's runs of 3 and 4 characters, its ends marked, and of its first 4."""
-    marked = f"<{word[:64]}>".encode()
+    marked = f"<{word}>".encode()
     runs = [marked[i : i + n] for n in (3, 4) for i in range(max(1, len(marked) - n + 1))] + [b"^" + marked[:5]]
     return [zlib.crc32(r) % BUCKETS for r in runs]
 
 
-_runs_of = functools.lru_cache(maxsize=_CACHE)(character_runs)
+_cached_runs = functools.lru_cache(maxsize=_CACHE)(character_runs)
+
+
+def _runs_of(word: str) -> list[int]:
+    """Runs of a word; those of pieces of unspaced text seldom come again and aren't kept."""
+    return _cached_runs(word) if len(word) <= _PIECE // 2 else character_runs(word)
 
 
 def window_starts(n: int) -> range:
@@ -92,11 +102,12 @@ class Network:
             self.cache, self.table = {}, np.zeros((0, 6 * SIZE), np.float32)
         new = list(set(words).difference(self.cache))
         if new:
-            w = self.weights
-            x = self.inputs(new)[0]
-            gates = np.concatenate([x @ w["wf"] + w["bf"], x @ w["wb"] + w["bb"]], 1)
+            w, gates = self.weights, [self.table]
+            for at in range(0, len(new), _LANES):
+                x = self.inputs(new[at : at + _LANES])[0]
+                gates.append(np.concatenate([x @ w["wf"] + w["bf"], x @ w["wb"] + w["bb"]], 1))
             self.cache.update(zip(new, range(len(self.cache), len(self.cache) + len(new))))
-            self.table = np.concatenate([self.table, gates])
+            self.table = np.concatenate(gates)
         return np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
 
 

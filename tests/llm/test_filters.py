@@ -108,3 +108,18 @@ def test_toxic_words_are_learned(spark):
     assert toxicity.score_texts(net, [long, None, "", "..."])[0] >= 0.5
     assert all(0 <= s <= 1 for s in toxicity.score_texts(net, [None, "", "...", "é" * 9000]))
     assert toxicity.score_texts(toxicity.train([], []), ["a b"])[0] < 0.01
+
+
+def test_all_of_an_unspaced_run_is_scored():
+    rnd = random.Random(8)
+    letters = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    run = lambda y: letters(300) + ("".join("zzq" + letters(3) for _ in range(12)) if y else letters(72)) + letters(100)
+    train = [(run(i % 2), i % 2) for i in range(200)]
+    net = toxicity.train([t for t, _ in train], [y for _, y in train])
+    held = [run(i % 2) for i in range(40)]
+    assert np.mean((toxicity.score_texts(net, held) >= 0.5) == np.arange(40) % 2) > 0.9
+    word = "".join(chr(0x4E00 + i) for i in range(1000))
+    pieces = toxicity.words_in("ab " + word + " cd")
+    assert pieces[0] == "ab" and pieces[-1] == "cd" and max(map(len, pieces)) == 64
+    assert all(any(word[i : i + 4] in p for p in pieces) for i in range(997))
+    assert [toxicity.words_in("x" * n) for n in (64, 65)] == [["x" * 64], ["x" * 64, "x" * 4]]
