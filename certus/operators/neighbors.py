@@ -1,56 +1,122 @@
 """Nearest neighbours on a few features, and the Tomek and edited-neighbour cleaners of the majority class.
 
-Distances are direct differences, ordered by (distance, id); a row isn't its own neighbour. Queries are a stated set and
-are compared with all rows in blocks: each block of queries meets each block of points once, keeps its k nearest, and
-those are merged, so that tasks and what they hand on stay small.
+Distances are direct differences, ordered by (distance, id); a row isn't its own neighbour. The search is exact. Rows at
+one place are one location, which keeps its k + 1 smallest ids. Locations are cut to strips of about equal numbers along
+a fixed oblique direction; two points are never nearer than their difference along it. A query first searches its own
+strip, which bounds its k-th distance, and then the other strips that this distance reaches. Within a strip, a second
+direction bounds what a block of queries has to look at.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from certus.operators.sampling import balance_plan, class_counts, undersample
 from certus.plans.staging import staged
 
-BLOCK = 2048
-#: Rows that are compared exactly; beyond that the cleaners refuse, and a caller may sample or pick ``random``.
-MAX_EXACT_ROWS = 2_000_000
-
-
-def _blocks(df: DataFrame, key: str, n: int) -> DataFrame:
-    return df.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // BLOCK)))).cast("int"))
+#: Locations of a strip, about, and queries that one task compares with a strip.
+STRIP = 16_384
+_QUERIES = 256
+
+
+def _directions(n: int) -> np.ndarray:
+    """Two unit vectors at right angles, none along an axis, so that values that repeat in one feature don't pile up."""
+    turned = np.random.default_rng(20_240_607).standard_normal((n, 2)) + 0.1
+    return np.linalg.qr(turned)[0][:, :2] if n > 1 else np.array([[1.0, 0.0]])
+
+
+def _along(features: list[str], direction: np.ndarray) -> Column:
+    return sum((F.col(f).cast("double") * float(w) for f, w in zip(features, direction)), F.lit(0.0))
+
+
+def _smallest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, squared distance) of the k points nearest to each x, of equal distances the smaller ids."""
+    d = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        d += (x[:, j, None] - y[None, :, j]) ** 2
+    k = min(k, len(y))
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k else np.empty((len(x), 1))
+    row, at = np.nonzero(d <= edge)
+    order = np.lexsort((ids[at], d[row, at], row))
+    row, at = row[order], at[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], at[rank < k], d[row, at][rank < k]
+
+
+def _search(rows: pd.DataFrame, features: list[str], k: int) -> pd.DataFrame:
+    """Queries (side 0, with the reach that is to be searched, or infinite) and points (side 1) of a strip."""
+    a = rows[rows["__side"] == 0].sort_values("__v")
+    b = rows[rows["__side"] == 1].sort_values("__v")
+    x, y, v, w = a[features].to_numpy(float), b[features].to_numpy(float), a["__v"].to_numpy(), b["__v"].to_numpy()
+    ids, place, reach, carry = b["__id"].to_numpy(), a["__place"].to_numpy(), a["__reach"].to_numpy(), b["__carry"].to_numpy()
+    slack = 1e-9 * (1 + max(np.abs(v).max(initial=0), np.abs(w).max(initial=0)))
+    out = []
+    for at in range(0, len(x) if len(y) else 0, _QUERIES):
+        some, near = x[at : at + _QUERIES], v[at : at + _QUERIES]
+        far = reach[at : at + _QUERIES]
+        if not np.isfinite(far).all():
+            # the points around in the second direction give each query a distance within which k points lie
+            lo, hi = max(0, np.searchsorted(w, near[0]) - 4 * k), np.searchsorted(w, near[-1]) + 4 * k
+            row, _, d = _smallest(some, y[lo:hi], ids[lo:hi], k)
+            bound = np.full(len(some), np.inf)
+            if min(hi, len(w)) - lo >= k:
+                np.put(bound, row, np.sqrt(d))  # the last of a row's is its largest
+            far = np.minimum(far, bound)
+        lo, hi = np.searchsorted(w, (near - far).min() - slack), np.searchsorted(w, (near + far).max() + slack, side="right")
+        row, col, d = _smallest(some, y[lo:hi], ids[lo:hi], k)
+        out.append(pd.DataFrame({"place": place[at + row], "neighbour": ids[lo:hi][col], "d2": d, "carry": carry[lo:hi][col]}))
+    return pd.concat(out) if out else pd.DataFrame({"place": [], "neighbour": [], "d2": [], "carry": []})
 
 
 def nearest(queries: DataFrame, points: DataFrame, key: str, features: list[str], k: int, carry: str) -> DataFrame:
-    """(key, rank, neighbour, d2, carry of the neighbour) of each query's k nearest points."""
-    n_points, n_queries = points.count(), queries.count()
-    q = _blocks(queries, key, n_queries).select(F.col("__block").alias("__q"), F.lit(0).alias("__side"), F.col(key).alias("__id"), F.lit(None).cast("int").alias("__carry"), *features)
-    p = _blocks(points, key, n_points).select(F.col("__block").alias("__p"), F.lit(1).alias("__side"), F.col(key).alias("__id"), F.col(carry).cast("int").alias("__carry"), *features)
-    every_p, every_q = F.sequence(F.lit(0), F.lit(max(0, -(-n_points // BLOCK) - 1))), F.sequence(F.lit(0), F.lit(max(0, -(-n_queries // BLOCK) - 1)))
-    tiles = q.withColumn("__p", F.explode(every_p)).unionByName(p.withColumn("__q", F.explode(every_q)))
-    kind = queries.schema[key].dataType.simpleString()
-
-    def tile(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows[rows["__side"] == 0], rows[rows["__side"] == 1].sort_values("__id")
-        x, y = a[features].to_numpy(float), b[features].to_numpy(float)
-        ids, out = b["__id"].to_numpy(), []
-        for at in range(0, len(a), 256):
-            d = np.zeros((len(x[at : at + 256]), len(y)))
-            for j in range(len(features)):
-                d += (x[at : at + 256, j, None] - y[None, :, j]) ** 2
-            own = a["__id"].to_numpy()[at : at + 256]
-            d[own[:, None] == ids[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]  # of equal distances the smaller id
-            out.append(pd.DataFrame({"id": np.repeat(own, best.shape[1]), "neighbour": ids[best].ravel(), "d2": np.take_along_axis(d, best, 1).ravel(), "carry": b["__carry"].to_numpy()[best].ravel()}))
-        found = pd.concat(out) if out else pd.DataFrame({"id": [], "neighbour": [], "d2": [], "carry": []})
-        return found[np.isfinite(found["d2"])]
-
-    parts = tiles.groupBy("__q", "__p").applyInPandas(tile, f"id {kind}, neighbour {kind}, d2 double, carry int")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "neighbour"))
-    return parts.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("id").alias(key), "rank", "neighbour", "d2", F.col("carry").alias(carry))
+    """(key, rank, neighbour, d2, carry of the neighbour) of each query's k nearest points.
+
+    Rows with a null among the features take no part. carry is a whole number.
+    """
+    kind, first = queries.schema[key].dataType.simpleString(), _directions(len(features))
+    columns = [F.col(f).cast("double").alias(f) for f in features]
+    known = lambda df: df.dropna(subset=features)
+    smallest = F.row_number().over(Window.partitionBy(*features).orderBy("__id"))
+    entries = known(points).select(F.col(key).alias("__id"), F.col(carry).cast("int").alias("__carry"), *columns).withColumn("__n", smallest).filter(F.col("__n") <= k + 1)
+    entries = staged(entries.withColumns({"__t": _along(features, first[:, 0]), "__v": _along(features, first[:, 1])}), "locations")
+    n = entries.filter("__n = 1").count()
+    # a cut for each strip
+    strips = max(1, n // STRIP)
+    cuts = sorted(set(entries.filter("__n = 1").approxQuantile("__t", [i / strips for i in range(1, strips)], 0.2 / strips))) if strips > 1 else []
+    splits = [float("-inf"), *cuts, float("inf")]
+    strip_of = lambda df, column, out: Bucketizer(splits=splits, inputCol=column, outputCol=out).transform(df).withColumn(out, F.col(out).cast("int")) if cuts else df.withColumn(out, F.lit(0))
+    entries = strip_of(entries, "__t", "__strip").select("__strip", F.lit(1).alias("__side"), F.lit(None).cast("bigint").alias("__place"), F.lit(None).cast("double").alias("__reach"), "__id", "__carry", "__v", *features)
+    places = known(queries).select(*columns).distinct().withColumns({"__t": _along(features, first[:, 0]), "__v": _along(features, first[:, 1]), "__place": F.monotonically_increasing_id()})
+    places = staged(strip_of(places, "__t", "__own").withColumn("__reach", F.lit(float("inf"))), "query-places")
+
+    def searched(visits: DataFrame) -> DataFrame:
+        # strips that many queries visit are searched by several tasks
+        parts = visits.groupBy("__strip").agg(F.ceil(F.count("*") / STRIP).alias("__parts"))
+        dealt = visits.join(parts, "__strip").withColumn("__part", F.pmod(F.xxhash64("__place"), F.col("__parts")))
+        copied = entries.join(parts, "__strip").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__parts") - 1)))
+        sides = dealt.select("__strip", "__part", F.lit(0).alias("__side"), "__place", "__reach", F.lit(None).cast(kind).alias("__id"), F.lit(None).cast("int").alias("__carry"), "__v", *features)
+        both = sides.unionByName(copied.select(*sides.columns))
+        return both.groupBy("__strip", "__part").applyInPandas(lambda rows: _search(rows, features, k + 1), f"place bigint, neighbour {kind}, d2 double, carry int")
+
+    found = staged(searched(places.withColumn("__strip", F.col("__own"))), "nearest-own-strip")
+    if cuts:
+        kth = found.groupBy("place").agg(F.count("*").alias("n"), F.sqrt(F.max("d2")).alias("far"))
+        reach = F.when(F.col("n") > k, F.col("far") * (1 + 1e-9) + 1e-9 * (1 + F.abs("__t"))).otherwise(float("inf"))
+        reached = places.drop("__reach").join(kth, F.col("__place") == F.col("place"), "left").withColumn("__reach", F.coalesce(reach, F.lit(float("inf"))))
+        reached = strip_of(strip_of(reached.withColumns({"__low": F.col("__t") - F.col("__reach"), "__high": F.col("__t") + F.col("__reach")}), "__low", "__from"), "__high", "__to")
+        visits = reached.withColumn("__strip", F.explode(F.sequence("__from", "__to"))).filter("__strip != __own").select(*places.columns, "__strip")
+        found = found.unionByName(searched(visits))
+    best = F.row_number().over(Window.partitionBy("place").orderBy("d2", "neighbour"))
+    lists = found.withColumn("n", best).filter(F.col("n") <= k + 1).groupBy("place").agg(F.sort_array(F.collect_list(F.struct("d2", "neighbour", "carry"))).alias("__found"))
+    at_place = places.select("__place", *(F.col(f).alias(f"__f_{f}") for f in features)).join(lists, F.col("__place") == F.col("place")).drop("place", "__place")
+    same = [F.col(f).cast("double") == F.col(f"__f_{f}") for f in features]
+    rows = known(queries).select(key, *features).join(at_place, same)
+    others = F.slice(F.filter("__found", lambda e: e["neighbour"] != F.col(key)), 1, k)
+    return rows.select(key, F.posexplode(others).alias("at", "one")).select(key, (F.col("at") + 1).alias("rank"), F.col("one.neighbour").alias("neighbour"), F.col("one.d2").alias("d2"), F.col("one.carry").alias(carry))
 
 
 def tomek_removed(df: DataFrame, key: str, target: str, features: list[str], majority: int) -> DataFrame:
@@ -84,8 +150,6 @@ def clean(df: DataFrame, key: str, target: str, features: list[str], method: str
     has_null = df.agg(F.max(F.greatest(*(F.col(c).isNull().cast("int") for c in features), F.lit(0)))).first()[0]
     if method == "random" or has_null:
         return undersample(df, key, target, ratio, seed, counts)
-    if sum(counts.values()) > MAX_EXACT_ROWS:
-        raise ValueError(f"{method} compares {MAX_EXACT_ROWS} rows at most")
     left = df
     if method in ("tomek", "hybrid"):
         left = staged(left.join(tomek_removed(left, key, target, features, plan.majority), key, "left_anti"), "cleaned")

@@ -52,6 +52,29 @@ def test_cleaners_agree_with_brute_force(table):
     assert {r["k"] for r in neighbors.enn_removed(table, "k", "y", ["a", "b"], 1).collect()} == enn
 
 
+@pytest.mark.parametrize("shape", ["cloud", "one column repeats", "few places", "three features"])
+def test_nearest_over_many_strips(spark, monkeypatch, shape):
+    monkeypatch.setattr(neighbors, "STRIP", 40)
+    rnd = random.Random(8)
+    rows = []
+    for i in range(700):
+        a, b = rnd.gauss(0, 1), rnd.gauss(0, 1)
+        if shape == "one column repeats":
+            a = 0.5 if i % 3 else a
+        if shape == "few places":
+            a, b = round(a), 1.0
+        rows.append((i, i % 4, float(a) * (100 if i == 5 else 1), b, 1.0 if shape != "three features" else rnd.random()))
+    df = spark.createDataFrame(rows, "k int, y int, a double, b double, c double").repartition(5)
+    features = ["a", "b", "c"] if shape == "three features" else ["a", "b"]
+    at = {r[0]: r[2 : 2 + len(features)] for r in rows}
+    want = set()
+    for k in range(0, 700, 7):
+        near = sorted((sum((p - q) ** 2 for p, q in zip(at[k], x)), j) for j, x in at.items() if j != k)[:3]
+        want |= {(k, n, j, j % 4) for n, (_, j) in enumerate(near, 1)}
+    found = neighbors.nearest(df.filter("k % 7 = 0"), df, "k", features, 3, "y").collect()
+    assert {(r["k"], r["rank"], r["neighbour"], r["y"]) for r in found} == want and len(found) == len(want)
+
+
 def test_nulls_make_cleaning_random(table):
     holed = table.withColumn("a", F.when(F.col("k") != 3, F.col("a")))
     a = {r["k"] for r in neighbors.clean(holed, "k", "y", ["a", "b"], "enn", 2.0).filter("kept").collect()}
