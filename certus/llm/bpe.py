@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding with rank files.
 
-New pre-tokens of a batch are bucketed by length and held as padded matrices of token ids. In each round every row
-merges its leftmost pair of minimum rank; finished rows leave, and the others are compacted by one column.
+The distinct pre-tokens of some megabytes of text are bucketed by length and held as padded matrices of token ids. In each
+round every row merges its leftmost pair of minimum rank; finished rows leave, and the others are compacted by one column.
+Texts are taken apart and ids put together by Arrow's dictionaries and gathers, without a step for each word.
 """
 
 from __future__ import annotations
@@ -12,17 +13,20 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certus.llm.pretokens import PairTable, UnitCache, split_units
+from certus.llm.pretokens import PairTable, split_texts, units_to_pieces
+from certus.llm.words import slices, text_slices
 
 #: Longer pre-tokens (runs without a break) are merged one at a time with a heap, as a matrix would cost n * n.
 LONG_PIECE = 2048
 
 _NEVER = np.int32((1 << 31) - 1)
-#: Texts whose units are held at once.
-_TEXTS = 512
+#: Bytes of text that are encoded, and ids that are decoded, at once, about.
+_BYTES, _IDS = 6 << 20, 2 << 20
 
 
 def read_ranks(path: str) -> bytes:
@@ -47,48 +51,57 @@ class _Vocabulary:
         merged = np.array(merged, np.int64)
         self.pairs = PairTable(np.array(left, np.int64), np.array(right, np.int64), merged, merged)
         self.ranks = ranks
+        self.known = pa.array(list(ranks), pa.binary())
+        self.known_ids = np.array(list(ranks.values()), np.int32)
+        self.by_id = pa.array([self.token_bytes.get(i) for i in range(max(self.token_bytes) + 1)], pa.binary())
         pair = np.arange(1 << 16)
         self.first_rank = self._rank(self.byte_ids[pair >> 8], self.byte_ids[pair & 255])
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece, as the bytes of an int32 array."""
-        out: list[bytes] = [b""] * len(pieces)
-        buckets: dict[int, list[int]] = {}
-        for n, piece in enumerate(pieces):
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                out[n] = whole.to_bytes(4, "little")
-            elif len(piece) > LONG_PIECE:
-                out[n] = self._merge_long(piece).tobytes()
-            else:
-                buckets.setdefault((len(piece) - 1).bit_length(), []).append(n)
-        for width, rows in buckets.items():
-            step = max(1, (1 << 19) >> width)
-            for at in range(0, len(rows), step):
-                self._merge_rows(pieces, rows[at : at + step], out)
-        return out
-
-    def _merge_rows(self, pieces: list[bytes], rows: list[int], out: list[bytes]) -> None:
-        lengths = np.array([len(pieces[n]) for n in rows])
+        lists = self.encode_array(pa.array(pieces, pa.binary()))
+        return [ids.values.to_numpy().tobytes() for ids in lists]
+
+    def encode_array(self, pieces: pa.Array) -> pa.Array:
+        """Ids (list<int32>) of an array of pieces (binary, none null or empty)."""
+        _, offsets, data = pieces.buffers()
+        begins = np.frombuffer(offsets, np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+        raw = np.frombuffer(data or b"", np.uint8)
+        at = pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(at >= 0)
+        finished = [(whole, np.ones(len(whole), np.int64), self.known_ids[at[whole]])]
+        rest = np.flatnonzero(at < 0)
+        lengths = np.diff(begins)[rest]
+        for n, size in zip(rest[lengths > LONG_PIECE].tolist(), lengths[lengths > LONG_PIECE].tolist()):
+            ids = self._merge_long(raw[begins[n] : begins[n] + size].tobytes())
+            finished.append((np.array([n]), np.array([len(ids)]), ids))
+        width = np.ceil(np.log2(np.maximum(lengths, 1))).astype(int)
+        width[lengths > LONG_PIECE] = -1
+        for bucket in np.unique(width[width >= 0]).tolist():
+            rows = rest[width == bucket]
+            step = max(1, (1 << 19) >> bucket)
+            for k in range(0, len(rows), step):
+                self._merge_rows(raw, begins, rows[k : k + step], finished)
+        owner, sizes, ids = (np.concatenate(c) for c in zip(*finished))
+        place = np.empty(len(pieces), np.int64)
+        place[owner] = np.arange(len(owner))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(ids, pa.int32())).take(pa.array(place))
+
+    def _merge_rows(self, data: np.ndarray, begins: np.ndarray, owner: np.ndarray, finished: list) -> None:
+        lengths = begins[owner + 1] - begins[owner]
         width = int(lengths.max())
         filled = np.arange(width) < lengths[:, None]
-        raw = np.zeros((len(rows), width), np.int32)
-        raw[filled] = np.frombuffer(b"".join(pieces[n] for n in rows), np.uint8)
+        raw = np.where(filled, data[np.minimum(begins[owner, None] + np.arange(width), len(data) - 1)], 0).astype(np.int32)
         ids = self.byte_ids[raw]
         rank = self.first_rank[(raw[:, :-1] << 8) | raw[:, 1:]]
         rank[~filled[:, 1:]] = _NEVER
-        owner = np.asarray(rows)
         while True:
             at = rank.argmin(1)  # the first of equal ranks
             row = np.arange(len(at))
             best = rank[row, at]
             done = best == _NEVER
             if done.any():
-                sizes = lengths[done] * 4
-                flat = ids[done][np.arange(ids.shape[1]) < lengths[done][:, None]].tobytes()
-                ends = np.cumsum(sizes)
-                for n, b, e in zip(owner[done].tolist(), (ends - sizes).tolist(), ends.tolist()):
-                    out[n] = flat[b:e]
+                finished.append((owner[done], lengths[done], ids[done][np.arange(ids.shape[1]) < lengths[done][:, None]]))
                 live = ~done
                 ids, rank, owner, lengths, at, best = ids[live], rank[live], owner[live], lengths[live], at[live], best[live]
                 if not len(at):
@@ -142,8 +155,23 @@ def _vocabulary(content: bytes) -> _Vocabulary:
 
 
 @functools.lru_cache(maxsize=4)
-def _unit_ids(content: bytes, pattern: str) -> UnitCache:
-    return UnitCache(pattern, _vocabulary(content).encode_pieces, b"".join)
+def _compiled(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern)
+
+
+def _joined(lists: pa.Array, counts: np.ndarray) -> pa.Array:
+    """Lists put together: the first counts[0] of them are one list, and so on."""
+    ends = np.r_[0, np.cumsum(counts)]
+    return pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy()[ends], pa.int32()), lists.values)
+
+
+def _encode_some(texts: pa.Array, vocabulary: _Vocabulary, pattern: regex.Pattern) -> pa.Array:
+    units, codes, counts = split_texts(texts)
+    pieces, per_unit = units_to_pieces(units, pattern)
+    distinct = pieces.dictionary_encode()
+    by_piece = vocabulary.encode_array(distinct.dictionary.cast(pa.binary())) if len(pieces) else pa.array([], pa.list_(pa.int32()))
+    by_unit = _joined(by_piece.take(distinct.indices), per_unit)
+    return _joined(by_unit.take(pa.array(codes)), counts)
 
 
 def bpe_encode(text: Column, ranks: bytes, pattern: str) -> Column:
@@ -155,30 +183,28 @@ def bpe_encode(text: Column, ranks: bytes, pattern: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        cache, parts = _unit_ids(ranks, pattern), []
-        for at in range(0, len(texts), _TEXTS):
-            units = [split_units(t or "") for t in texts.slice(at, _TEXTS).to_pylist()]
-            cache.prepare(units)
-            after = cache.after.__getitem__
-            parts += [cache.first[head] + b"".join(map(after, tail)) for head, tail in units]
-        ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32), pa.int32()))
+        texts = texts.fill_null("")
+        parts = [_encode_some(texts.slice(at, n), _vocabulary(ranks), _compiled(pattern)) for at, n in text_slices(texts, _BYTES)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return encode(text)
 
 
 def bpe_decode(ids: Column, ranks: bytes) -> Column:
-    """The bytes (binary) that a column of token ids stands for; null gives no bytes. Unknown ids raise KeyError."""
+    """The bytes (binary) that a column of token ids stands for; null gives no bytes. Unknown ids raise an error."""
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
-        token, out = _vocabulary(ranks).token_bytes.__getitem__, []
-        for at in range(0, len(lists), _TEXTS):
-            some = lists.slice(at, _TEXTS)
-            flat = some.flatten().to_numpy(zero_copy_only=False).tolist()  # far faster than a list's to_pylist
-            ends = np.cumsum(some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            out += [b"".join(map(token, flat[b:e])) for b, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
-        return pa.array(out, pa.binary())
+        tokens, out = _vocabulary(ranks).by_id, []
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        for at, n in slices(sizes, _IDS):
+            found = tokens.take(lists.slice(at, n).flatten())
+            if found.null_count:
+                raise KeyError("an id that the vocabulary doesn't have")
+            _, offsets, data = found.buffers()
+            ends = np.frombuffer(offsets, np.int32)[: len(found) + 1][np.r_[0, np.cumsum(sizes[at : at + n])]]
+            out.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), data]))
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     return decode(ids)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 MISS = np.int64(1 << 40)
@@ -24,6 +26,54 @@ def split_units(text: str) -> tuple[str, list[str]]:
     return units[0], units[1:]
 
 
+#: A blank that doesn't start a unit: white space of any kind or the end follows.
+_LOOSE = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
+
+
+def split_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct units of all texts (with their blank), the unit's number at each place, and each text's count of places."""
+    split = pc.split_pattern(texts, " ")
+    loose = np.flatnonzero(pc.match_substring_regex(texts, _LOOSE).to_numpy(zero_copy_only=False))
+    if len(loose):
+        others = pa.array([_CUT.split(t) for t in texts.take(pa.array(loose)).to_pylist()], split.type)
+        place = np.arange(len(texts))
+        place[loose] = len(texts) + np.arange(len(loose))
+        split = pa.concat_arrays([split, others]).take(pa.array(place))
+    flat, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy() - split.offsets[0].as_py()
+    heads = flat.take(pa.array(ends[:-1])).dictionary_decode().dictionary_encode()
+    codes = flat.indices.to_numpy().copy()
+    codes[ends[:-1]] = len(flat.dictionary) + heads.indices.to_numpy()
+    units = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(""), flat.dictionary, pa.scalar(" ")), heads.dictionary])
+    return units, codes, np.diff(ends)
+
+
+def units_to_pieces(units: pa.Array, pattern: regex.Pattern) -> tuple[pa.Array, np.ndarray]:
+    """Pre-tokens of the units, one unit after the other, and how many each has."""
+    letters = pc.utf8_is_alpha(pc.replace_substring_regex(units, "^ ", "")).to_numpy(zero_copy_only=False)  # one pre-token, as most are
+    several = np.flatnonzero(~letters)
+    mixed = units.take(pa.array(several)).to_pylist()
+    # those that start with a blank can stand next to each other, as they do in texts
+    led = [u for u in mixed if u[:1] == " "]
+    found, sizes = pattern.findall("".join(led)), np.array([len(u) for u in led], np.int64)
+    starts = np.cumsum([0, *map(len, found)])
+    if len(led) and starts[-1] == sizes.sum() and np.isin(np.cumsum(sizes), starts).all():
+        counts = np.bincount(np.searchsorted(np.cumsum(sizes), starts[:-1], side="right"), minlength=len(led))
+    else:
+        lists = [pattern.findall(u) for u in led]
+        found, counts = [p for some in lists for p in some], np.array([len(some) for some in lists], np.int64)
+    rest = [pattern.findall(u) for u in mixed if u[:1] != " "]
+    per_mixed = np.empty(len(mixed), np.int64)
+    is_led = np.array([u[:1] == " " for u in mixed], bool)
+    per_mixed[is_led] = counts
+    per_mixed[~is_led] = [len(some) for some in rest]
+    per_unit = np.ones(len(units), np.int64)
+    per_unit[several] = per_mixed
+    # bring the pieces into the units' order
+    source = pa.concat_arrays([units.filter(pa.array(letters)), pa.array(found, pa.string()), pa.array([p for some in rest for p in some], pa.string())])
+    owner = np.concatenate([np.flatnonzero(letters), np.repeat(several[is_led], per_mixed[is_led]), np.repeat(several[~is_led], per_mixed[~is_led])])
+    return source.take(pa.array(np.argsort(owner, kind="stable"))), per_unit
+
+
 class PairTable:
     """Open-addressing hash table from a pair of token ids to (rank, merged id), looked up by whole arrays."""
 
