@@ -62,6 +62,12 @@ def test_rows_without_id_have_no_component(spark):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    df = spark.createDataFrame([(3, "a b c d e"), (5, "a b c d e"), (5, "p q r s t"), (9, "p q r s t"), (8, None), (8, "k l m n"), (2, "k l m n"), (7, "z")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(df).collect())
+    assert got == [(2, 2), (3, 3), (5, 3), (5, 3), (7, 7), (8, 2), (8, 2), (9, 3)]
+
+
 def test_signatures_within_the_distance_share_a_key():
     rng = np.random.default_rng(0)
     for _ in range(200):
