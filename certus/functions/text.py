@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certus.schema import ENTRIES, TOKENS
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are made by a generator of one row.
+
+    The optimizer copies a projection's expressions into every filter above it, and those of the projections below into
+    them; a generator stops that, so costly columns that several others need are computed once for a row.
+    """
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends; SQL's trim takes blanks only."""
     return F.btrim(c, F.lit(" \t\n\r\f\u000b"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certus.functions.text import finite, strip
+from certus.functions.text import computed_once, finite, strip
 
 ANSWERS = ("YES", "NO")
 Extractor = Callable[[Column], dict[str, Column]]
@@ -79,11 +79,11 @@ def with_features(df: DataFrame, tokens_col: str = "top_logprobs", extra: list[E
     """``df`` with the 20 features of the token array, and those of ``extra`` extractors (later names win).
 
     A null array gives the values of no token to the features over all tokens, and null to those over answers.
-    Softmaxes are made in a projection of their own, so that they are computed once.
+    Token lists and softmaxes are made by generators, so that they are computed once, whatever filters follow.
     """
     tokens = F.col(tokens_col)
-    given = df.withColumns({"__all": F.coalesce(tokens, F.array().cast(df.schema[tokens_col].dataType)), "__answers": answer_tokens(tokens)})
-    given = given.withColumns({"__p_all": softmax(F.col("__all")), "__p_answers": softmax(F.col("__answers"))})
+    given = computed_once(df, {"__all": F.coalesce(tokens, F.array().cast(df.schema[tokens_col].dataType)), "__answers": answer_tokens(tokens)})
+    given = computed_once(given, {"__p_all": softmax(F.col("__all")), "__p_answers": softmax(F.col("__answers"))})
     every, answers, p, q = (F.col(c) for c in ("__all", "__answers", "__p_all", "__p_answers"))
     features = entropy_features(every, p, "_top_5") | confidence_features(every, p, "", True) | logprob_gap_features(every, "")
     filtered = entropy_features(answers, q, "_filtered") | confidence_features(answers, q, "_filtered", False) | logprob_gap_features(answers, "_filtered")

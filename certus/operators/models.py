@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from certus.functions.text import clipped
 from certus.operators import metrics
 from certus.operators.sampling import folds
+from certus.plans.staging import staged
 
 
 @dataclass(frozen=True)
@@ -125,39 +126,51 @@ def ridge(sums: dict, features: list[str], alpha: float = 1.0, positive_weight:
     return Linear(tuple(features), tuple(at.tolist()), tuple(scale.tolist()), tuple(w.tolist()), intercept)
 
 
-def calibrate_sigmoid(df: DataFrame, model: Linear, target: str, steps: int = 8) -> Linear:
-    """Fit the sigmoid on labelled rows by Newton steps; each sums gradients in one aggregation.
+def calibrate_folds(df: DataFrame, fold: str, fits: list[Linear], target: str, steps: int = 8) -> list[Linear]:
+    """Each model with a sigmoid fitted on the labelled rows of the fold of its number, by Newton steps.
 
-    Targets are smoothed by the class counts. Rows that trained the model should be left out.
+    A step sums the gradients of all folds in one aggregation over staged scores. Targets are smoothed by the class
+    counts. A fold without labelled rows: ValueError.
     """
-    s = df.filter(F.col(target).isNotNull()).select(model.score().alias("s"), F.col(target).cast("double").alias("y"))
-    n = s.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
-    if not n["n"]:
+    score = F.lit(None).cast("double")
+    for i, m in enumerate(fits):
+        score = F.when(F.col(fold) == i, m.score()).otherwise(score)
+    s = staged(df.filter(F.col(target).isNotNull()).select(F.col(fold).alias("fold"), score.alias("s"), F.col(target).cast("double").alias("y")), "fold-scores")
+    n = {r["fold"]: (r["p"], r["n"]) for r in s.groupBy("fold").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()}
+    if any(i not in n for i in range(len(fits))):
         raise ValueError("no labelled rows")
-    pos, neg = n["p"], n["n"] - n["p"]
-    goal = F.when(F.col("y") == 1, (pos + 1) / (pos + 2)).otherwise(1 / (neg + 2))
-    a, b = 1.0, float(np.log((pos + 1) / (neg + 1)))
+    pick = lambda values: F.element_at(F.array(*(F.lit(float(v)) for v in values)), F.col("fold") + 1)
+    pos, neg = [n[i][0] for i in range(len(fits))], [n[i][1] - n[i][0] for i in range(len(fits))]
+    goal = F.when(F.col("y") == 1, pick((p + 1) / (p + 2) for p in pos)).otherwise(pick(1 / (q + 2) for q in neg))
+    a, b = [1.0] * len(fits), [float(np.log((p + 1) / (q + 1))) for p, q in zip(pos, neg)]
     for _ in range(steps):
-        p = 1 / (1 + F.exp(-(F.lit(a) * F.col("s") + b)))
-        d, h = p - goal, p * (1 - p)
-        g = s.agg(F.sum(d * F.col("s")), F.sum(d), F.sum(h * F.col("s") * F.col("s")), F.sum(h * F.col("s")), F.sum(h)).first()
-        step = np.linalg.solve(np.array([[g[2], g[3]], [g[3], g[4]]]) + 1e-9 * np.eye(2), np.array([g[0], g[1]]))
-        a, b = a - float(step[0]), b - float(step[1])
-    return Linear(model.features, model.mean, model.std, model.weight, model.intercept, a, b)
+        p = 1 / (1 + F.exp(-(pick(a) * F.col("s") + pick(b))))
+        rows = s.select("fold", "s", (p - goal).alias("d"), (p * (1 - p)).alias("h"))
+        sums = rows.groupBy("fold").agg(F.sum(F.col("d") * F.col("s")).alias("ds"), F.sum("d").alias("d"), F.sum(F.col("h") * F.col("s") * F.col("s")).alias("hss"), F.sum(F.col("h") * F.col("s")).alias("hs"), F.sum("h").alias("h"))
+        for g in sums.collect():  # a row for each fold
+            i = g["fold"]
+            step = np.linalg.solve(np.array([[g["hss"], g["hs"]], [g["hs"], g["h"]]]) + 1e-9 * np.eye(2), np.array([g["ds"], g["d"]]))
+            a[i], b[i] = a[i] - float(step[0]), b[i] - float(step[1])
+    return [Linear(m.features, m.mean, m.std, m.weight, m.intercept, a[i], b[i]) for i, m in enumerate(fits)]
+
+
+def calibrate_sigmoid(df: DataFrame, model: Linear, target: str, steps: int = 8) -> Linear:
+    """The model with a sigmoid fitted on labelled rows; rows that trained the model should be left out."""
+    return calibrate_folds(df.withColumn("__fold", F.lit(0)), "__fold", [model], target, steps)[0]
 
 
-def calibrated_probability(df: DataFrame, features: list[str], target: str, key: str, k: int = 3, alpha: float = 1.0, method: str = "sigmoid", seed: int = 42):
+def calibrated_probability(df: DataFrame, features: list[str], target: str, key: str, k: int = 3, alpha: float = 1.0, method: str = "sigmoid", seed: int = 42, positive_weight: float = 1.0):
     """A function from a table to its column ``probability``: the mean of k models, each calibrated on its own fold.
 
-    method: sigmoid, or isotonic.
+    method: sigmoid, or isotonic. The folds are staged, as every step reads them.
     """
     if method not in ("sigmoid", "isotonic"):
         raise ValueError(f"unknown calibration: {method}")
-    parted = folds(df.filter(F.col(target).isNotNull()), key, target, k, seed)
+    parted = staged(folds(df.filter(F.col(target).isNotNull()), key, target, k, seed), "folds")
     sums = class_sums(parted, features, target, "fold")
-    models = [ridge(sums, features, alpha, without=i) for i in range(k)]
+    models = [ridge(sums, features, alpha, positive_weight, without=i) for i in range(k)]
     if method == "sigmoid":
-        fitted = [calibrate_sigmoid(parted.filter(F.col("fold") == i), m, target) for i, m in enumerate(models)]
+        fitted = calibrate_folds(parted, "fold", models, target)
         return lambda table: table.withColumn("probability", sum((m.probability() for m in fitted), F.lit(0.0)) / k)
     steps = []
     for i, m in enumerate(models):
@@ -179,7 +192,7 @@ def search_ridge(df: DataFrame, features: list[str], target: str, key: str, cost
 
     Every configuration scores the fold it hasn't seen, all in one job; for ``cost`` less is better.
     """
-    parted = folds(df.filter(F.col(target).isNotNull()), key, target, k, seed)
+    parted = staged(folds(df.filter(F.col(target).isNotNull()), key, target, k, seed), "folds")
     sums = class_sums(parted, features, target, "fold")
     grid = list(itertools.product(alphas, costs.positive_weights()))
     scored = []
@@ -207,6 +220,39 @@ def fit_boosted(df: DataFrame, features: list[str], target: str, trees: int = 30
     return lambda t: own(t).drop("probability", "rawPrediction", "prediction", "__features", *(f"__f_{f}" for f in features)).withColumnRenamed("probability_", "probability")
 
 
+def draw_settings(n: int, costs: Costs = Costs(), trees: tuple[int, int] = (50, 200), seed: int = 42) -> list[dict]:
+    """Seeded random settings of boosted trees: trees, depth 3 to 5, step 0.05 to 0.3 evenly in its logarithm, subsample
+    0.7 to 1, and a weight of the positive class. Spark's trees have no leaf penalties."""
+    rng = np.random.default_rng(seed)
+    weights = costs.positive_weights()
+    return [
+        {"trees": int(rng.integers(*trees)), "depth": int(rng.integers(3, 6)), "step": float(np.exp(rng.uniform(np.log(0.05), np.log(0.3)))), "subsample": float(rng.uniform(0.7, 1.0)), "positive_weight": float(weights[rng.integers(len(weights))])}
+        for _ in range(n)
+    ]
+
+
+def search_boosted(df: DataFrame, features: list[str], target: str, key: str, n_iter: int = 10, costs: Costs = Costs(), metric: str = "f1", k: int = 3, trees: tuple[int, int] = (50, 200), seed: int = 42):
+    """(probability function of the trees refitted with the best settings, table of settings and mean metrics over folds).
+
+    Each of ``n_iter`` drawn settings is fitted k times, without one fold, and scores that fold; for ``cost`` less is
+    better.
+    """
+    parted = staged(folds(df.filter(F.col(target).isNotNull()), key, target, k, seed).select(target, "fold", *features), "folds")
+    drawn, scored = draw_settings(n_iter, costs, trees, seed), None
+    for n, setting in enumerate(drawn):
+        for fold in range(k):
+            fitted = fit_boosted(parted.filter(F.col("fold") != fold), features, target, seed=seed, **setting)
+            rows = fitted(parted.filter(F.col("fold") == fold)).select(F.lit(n).alias("config"), "fold", F.col(target).alias("y"), (F.col("probability") >= 0.5).cast("int").alias("prediction"))
+            scored = rows if scored is None else scored.unionByName(rows)
+    names = ("f1", "f1_macro", "precision", "recall", "accuracy", "balanced_accuracy", "cost")
+    by_fold = metrics.business_cost(metrics.rates(metrics.confusion(scored, "y", "prediction", ["config", "fold"])), costs.miss, costs.review)
+    means = by_fold.groupBy("config").agg(*(F.avg(m).alias(m) for m in names))
+    settings = df.sparkSession.createDataFrame([(n, d["trees"], d["depth"], d["step"], d["subsample"], d["positive_weight"]) for n, d in enumerate(drawn)], "config int, trees int, depth int, step double, subsample double, positive_weight double")
+    table = staged(settings.join(means, "config"), "search")
+    best = table.orderBy(F.col(metric).asc() if metric == "cost" else F.col(metric).desc(), "config").first()
+    return fit_boosted(parted, features, target, seed=seed, **drawn[best["config"]]), table
+
+
 def min_max_scores(df: DataFrame, score: Column) -> DataFrame:
     """``probability`` for models without one: scores brought to 0..1 by their extremes over all rows."""
     scored = df.withColumn("__s", score)

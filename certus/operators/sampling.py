@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from certus.plans.staging import staged
+
 
 def seeded_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(key).cast("string")))
@@ -126,6 +128,16 @@ def stage_report(stages: dict[str, DataFrame], target: str) -> DataFrame:
     return out
 
 
+def reduction_report(before: dict[str, DataFrame], after: dict[str, DataFrame], target: str) -> DataFrame:
+    """(stage, pos, neg, total, ratio, pos_after, neg_after, total_after, ratio_after, removed, reduction_pct) for each
+    name in both; the reduction is 0 where there was nothing."""
+    first = stage_report(before, target)
+    then = stage_report(after, target).select("stage", *(F.col(c).alias(f"{c}_after") for c in ("pos", "neg", "total", "ratio")))
+    both = first.join(then, "stage")
+    removed = F.col("total") - F.col("total_after")
+    return both.withColumns({"removed": removed, "reduction_pct": F.coalesce(F.try_divide(100.0 * removed, F.col("total")), F.lit(0.0))})
+
+
 def split_and_balance(df: DataFrame, key: str, target: str, features: list[str], method: str = "random", train_ratio: float = 6.0, test_ratio: float = 3.0, share: float = 0.2, seed: int = 42, least: int = 10) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(balanced train, balanced test, removed train, removed test).
 
@@ -137,12 +149,12 @@ def split_and_balance(df: DataFrame, key: str, target: str, features: list[str],
     counts = class_counts(df, target)
     check_size(counts, least)
     balance_plan(counts, train_ratio)
-    parted = split(df.filter(F.col(target).isNotNull()), key, target, share, seed)
+    parted = staged(split(df.filter(F.col(target).isNotNull()), key, target, share, seed), "split")
     train, test = parted.filter("NOT is_test").drop("is_test"), parted.filter("is_test").drop("is_test")
-    marked_train = clean(train, key, target, features, method, train_ratio, seed)
+    marked_train = staged(clean(train, key, target, features, method, train_ratio, seed), "balanced-train")
     kept, removed = marked_train.filter("kept").drop("kept"), marked_train.filter("NOT kept").drop("kept")
     if method in ("tomek", "hybrid"):
         test = test.unionByName(removed.filter(F.col(target) == 1))
         removed = removed.filter(F.col(target) != 1)
-    marked_test = clean(test, key, target, features, method, test_ratio, seed)
+    marked_test = staged(clean(test, key, target, features, method, test_ratio, seed), "balanced-test")
     return kept, marked_test.filter("kept").drop("kept"), removed, marked_test.filter("NOT kept").drop("kept")

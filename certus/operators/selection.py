@@ -8,6 +8,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from certus.operators import stats
+from certus.plans.staging import staged
+
 
 def gram_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
     """Sums of products of all pairs of columns, over rows without null, from one aggregation."""
@@ -50,12 +53,32 @@ def inflation_table(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def forest_importance(df: DataFrame, columns: list[str], target: str, trees: int = 100, seed: int = 42) -> DataFrame:
     """(feature, importance, selected): selected above the mean importance. Rows with nulls are left out."""
-    ready = VectorAssembler(inputCols=columns, outputCol="features").transform(df.dropna(subset=[*columns, target]))
+    rows = staged(df.select(target, *columns).dropna(), "forest-rows")  # each level of the trees reads them
+    ready = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
     model = RandomForestClassifier(labelCol=target, numTrees=trees, seed=seed).fit(ready.select("features", F.col(target).cast("double").alias(target)))
     values = model.featureImportances.toArray()
     return df.sparkSession.createDataFrame([(c, float(v), int(v > values.mean())) for c, v in zip(columns, values)], "feature string, importance double, selected int")
 
 
+def select_features(df: DataFrame, columns: list[str], target: str, trees: int = 100, top: int = 15, least_r: float = 0.1, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """The vote of correlation with the target, mutual information and forest importance, as ``vote`` gives it.
+
+    Collinear columns (|r| over 0.9) and inflated ones go first. Columns without any value in over half of the rows are
+    left out, as the forest and the inflation need rows without nulls.
+    """
+    ready = staged(df.select(target, *columns), "selection")
+    high = {r["feature"] for r in stats.missing_report(ready, columns).collect() if r["high_missing"]}
+    columns = [c for c in columns if c not in high]
+    r = {x["feature"]: x for x in stats.target_correlations(ready, columns, target, alpha).collect()}
+    pairs = [(x["f1"], x["f2"]) for x in stats.collinear_pairs(stats.correlations(ready, columns)).collect()]
+    gone = set(stats.drop_collinear(pairs, {c: x["r"] for c, x in r.items()}))
+    left, _ = drop_inflated(gram_matrix(ready, [c for c in columns if c not in gone]), [c for c in columns if c not in gone])
+    by_r = [c for c in left if r[c]["r"] is not None and abs(r[c]["r"]) > least_r and r[c]["significant"]]
+    by_mi = [x["feature"] for x in stats.mutual_information(ready, left, target).orderBy(F.desc("mi"), "feature").limit(top).collect()]
+    by_forest = [x["feature"] for x in forest_importance(ready, left, target, trees, seed).filter("selected = 1").collect()]
+    return vote(df.sparkSession, {"statistical": by_r, "mutual_info": by_mi, "random_forest": by_forest}, left)
+
+
 def needed_votes(n_methods: int) -> int:
     return min(2, max(1, n_methods // 2))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certus.functions.text import parse_entries, parse_tokens
+from certus.functions.text import computed_once, parse_entries, parse_tokens
 from certus.schema import TOKENS
 
 
@@ -41,8 +41,9 @@ def prepare(records: DataFrame, max_records: int | None = None, parse_strings: b
     max_records: only so many, the first by content_id.
     """
     content_id = F.col("content_id").cast("string")
-    checked = records.select(content_id.alias("content_id"), tokens_of(records, parse_strings).alias("top_logprobs"))
-    checked = checked.withColumn("reason", reject_reason(F.col("content_id"), F.col("top_logprobs")))
+    # made once, as the filters below would copy the parsing
+    parsed = computed_once(records.withColumn("__id", content_id), {"__tokens": tokens_of(records, parse_strings)})
+    checked = parsed.select(F.col("__id").alias("content_id"), F.col("__tokens").alias("top_logprobs"), reject_reason(F.col("__id"), F.col("__tokens")).alias("reason"))
     valid = checked.filter("reason IS NULL").drop("reason")
     if max_records is not None:
         valid = valid.orderBy("content_id").limit(max_records)

@@ -13,23 +13,32 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one, but only in local mode: on a cluster
+    each executor would write to its own disk."""
     global _own_dir
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="certus-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
     return f"file://{_own_dir}"
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark)}/certus-{uuid.uuid4().hex}-{name}"
+
+
 def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Any executor can read the table again after another one is lost, so nothing upstream is recomputed.
+    Any executor can read the table again after another one is lost, so nothing upstream is recomputed. What reads such a
+    table may run later than the caller knows, so it stays until the folder is cleared.
     """
-    path = f"{shared_dir(df.sparkSession)}/certus-{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from certus.functions.uncertainty import with_entry_features, with_features
 from certus.operators import metrics, models, preprocess, sampling, validate
+from certus.plans.staging import staged
 from certus.sources.records import read_records
 
 
@@ -30,11 +31,31 @@ def score_file(spark: SparkSession, path: str, model: models.Linear, threshold:
     return scored, rejected
 
 
-def experiment(table: DataFrame, key: str, target: str, features: list[str], method: str = "random", costs: models.Costs = models.Costs(), seed: int = 42) -> tuple[float, DataFrame, DataFrame]:
-    """(tuned threshold, metrics at 0.5 and there, error analysis of the test rows): split, balance, fit, evaluate."""
-    train, test, _, _ = sampling.split_and_balance(table, key, target, features, method, seed=seed)
-    probability = models.calibrated_probability(train, features, target, key, seed=seed)
-    scored = probability(test)
+def experiment(table: DataFrame, key: str, target: str, features: list[str], method: str = "hybrid", costs: models.Costs = models.Costs(), seed: int = 42, train_ratio: float = 6.0, test_ratio: float = 6.0, metric: str = "f1", parts: tuple | None = None) -> tuple[float, DataFrame, DataFrame]:
+    """(tuned threshold, metrics at 0.5 and there, error analysis of the test rows).
+
+    Split, balance, search the ridge's penalty and class weight by folds, calibrate with the best ones, evaluate. The
+    table, the balanced parts, the folds and the scores are staged, as several jobs read each. ``parts`` may hold the
+    result of ``split_and_balance``.
+    """
+    train, test, _, _ = parts or sampling.split_and_balance(staged(table, "experiment"), key, target, features, method, train_ratio, test_ratio, seed=seed)
+    searched = models.search_ridge(train, features, target, key, costs, metric=metric, seed=seed)[1]
+    best = searched.orderBy(F.col(metric).asc() if metric == "cost" else F.col(metric).desc(), "alpha", "positive_weight").first()
+    probability = models.calibrated_probability(train, features, target, key, alpha=best["alpha"], seed=seed, positive_weight=best["positive_weight"])
+    scored = staged(probability(test), "scored")
     tuned, report = models.holdout(scored, target, costs)
     analysed = metrics.error_analysis(scored, "probability") if "llm_prediction" in scored.columns else scored.withColumn("meta_model_confidence", F.col("probability"))
     return tuned, report, analysed
+
+
+def all_experiments(table: DataFrame, key: str, target: str, features: list[str], refits: tuple[str, ...] = ("f1", "cost"), method: str = "hybrid", costs: models.Costs = models.Costs(), seed: int = 42) -> DataFrame:
+    """A row for each experiment (ridge, refitted on each metric) with its tuned threshold and test metrics, best test_f1
+    first. All share one split."""
+    parts = sampling.split_and_balance(staged(table, "experiment"), key, target, features, method, 6.0, 6.0, seed=seed)
+    out = None
+    for metric in refits:
+        tuned, report, _ = experiment(table, key, target, features, method, costs, seed, metric=metric, parts=parts)
+        row = report.filter(F.col("threshold") == tuned).limit(1)
+        row = row.select(F.lit(f"Ridge_{metric}").alias("experiment_name"), F.col("threshold").alias("optimal_threshold"), *(F.col(c).alias(f"test_{c}") for c in ("f1", "f1_macro", "precision", "recall", "accuracy", "balanced_accuracy", "cost")))
+        out = row if out is None else out.unionByName(row)
+    return out.orderBy(F.desc("test_f1"), "experiment_name")

@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certus.adapters import answer_log, answer_log_sql, features_sql
+from certus.functions.text import clipped
 from certus.functions.uncertainty import FEATURES, with_features
 from certus.operators import metrics, models, neighbors, preprocess, sampling, selection, stats, validate
 from certus.plans import workloads
-from certus.schema import CONCEPTS
+from certus.plans.staging import new_path, staged
+from certus.schema import CONCEPTS, ENTRIES, TOKENS
+from certus.sources.records import read_json_lines, read_records
+from certus.sources.sinks import write_predictions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -68,7 +72,7 @@ def uq_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _features(spark, sf_dir).select("k", *(r6(F.log10(F.col(c) + 1), c) if "ratio" in c else r6(c) for c in FEATURES))
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _records(spark: SparkSession, sf_dir: str, keep: list[str] = ()) -> DataFrame:
     """Raw records with JSON answers: white space around questions and answers, invalid answers, missing truth and ids."""
     log = _log(spark, sf_dir)
     question = F.expr("case concept " + " ".join(f"when '{c}' then '  {q[-1].upper()}\n'" for c, (_, q) in CONCEPTS.items()) + " end")
@@ -77,7 +81,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.struct(F.lit("an unrelated question").alias("question"), F.lit("YES").alias("answer"), F.col("top_logprobs"), F.lit(None).cast("string").alias("error"))
     text = F.when(F.col("k") % 13 == 0, "not json").otherwise(F.to_json(F.array(other, entry)))
     truth = {label: F.when((F.col("concept") == c) & (F.col("k") % 5 != 0), F.col("ground_truth")) for c, (label, _) in CONCEPTS.items()}
-    return log.select(F.when(F.col("k") % 17 != 0, F.col("content_id")).alias("content_id"), *(v.alias(k) for k, v in truth.items()), text.alias("logprobs_data"))
+    return log.select(F.when(F.col("k") % 17 != 0, F.col("content_id")).alias("content_id"), *(v.alias(k) for k, v in truth.items()), text.alias("logprobs_data"), *keep)
 
 
 _ROWS = f"select r.*, c.concept as asked, case when c.concept <> r.concept or r.k % 5 = 0 then 'missing ground truth' when r.k % 13 = 0 then 'no question' when r.k % 11 = 0 then 'bad answer' else 'kept' end as reason from ({_A}) r cross join (values ('ADULT'),('KIDS'),('DIMC'),('DAT')) c(concept) where r.k % 17 <> 0"
@@ -104,10 +108,27 @@ def uq_concept_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess.concept_stats(_log(spark, sf_dir))
 
 
-@query(f"select concept, count(*) as n, count(distinct concept) as n_questions from ({_ROWS}) where reason = 'kept' group by concept")
+_ASKED = "case concept " + " ".join(f"when '{c}' then '  '||'{q[-1].upper()}'||chr(10)" for c, (_, q) in CONCEPTS.items()) + " end"
+
+
+@query(f"select concept, q as question_used, count(*) as n, case when length(q) > 40 then left(q, 40)||'...' else q end as preview from (select concept, {_ASKED} as q from ({_ROWS}) where reason = 'kept') group by all")
 def uq_question_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = preprocess.question_usage(preprocess.samples(preprocess.concept_rows(_records(spark, sf_dir))))
-    return used.groupBy("concept").agg(F.sum("n").alias("n"), F.count("*").alias("n_questions"))
+    return preprocess.question_usage(preprocess.samples(preprocess.concept_rows(_records(spark, sf_dir))), preview=40)
+
+
+@query(f"select 'input records' as what, count(*) as n from ({_A}) union all select 'output samples', count(*) from ({_ROWS}) where reason = 'kept'")
+def uq_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _records(spark, sf_dir)
+    return preprocess.totals(records, preprocess.samples(preprocess.concept_rows(records)))
+
+
+_WITH_FEATURES = f"select r.k::varchar || '_' || r.concept as content_concept_id, r.is_correct, {', '.join(f'round(f.{c}, 6) as {c}' for c in SHORT.values())} from ({_ROWS}) r join ({features_sql()}) f on r.k = f.k where r.reason = 'kept'"
+
+
+@query(_WITH_FEATURES)
+def uq_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw records to labelled samples with features."""
+    return workloads.feature_table(_records(spark, sf_dir)).select("content_concept_id", "is_correct", *(r6(c) for c in SHORT.values()))
 
 
 @query(f"select round(100e0*avg(ground_truth::double), 6) as pct_ground_truth_positive, round(100e0*avg((answer = 'YES')::int::double), 6) as pct_yes from ({_A})")
@@ -137,6 +158,68 @@ def uq_first_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.prepare(_scoring_records(spark, sf_dir), max_records=100)[0].select("content_id")
 
 
+_LABELS = [label for label, _ in CONCEPTS.values()]
+
+
+@query(f"select case when k % 17 <> 0 then k::varchar end as content_id, " + ", ".join(f"(case when concept = '{c}' and k % 5 <> 0 then ground_truth end)::int as label_{c}" for c in CONCEPTS) + f" from ({_A}) where k % 23 <> 0")
+def uq_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training records written as lines, with commas behind them and every 23rd cut off, and read tolerantly."""
+    records = _records(spark, sf_dir, keep=["k"])
+    line = F.to_json(F.struct("content_id", *_LABELS, "logprobs_data"))
+    lines = records.select(F.when(F.col("k") % 23 == 0, F.substring(line, 1, 12)).when(F.col("k") % 2 == 0, F.concat(line, F.lit(", "))).otherwise(line).alias("value"))
+    path = new_path(spark, "lines.jsonl")
+    lines.write.text(path)
+    return read_json_lines(spark, path).select("content_id", *(F.col(f"`{label}`").alias(f"label_{c}") for c, (label, _) in CONCEPTS.items()))
+
+
+_VALID_SQL = f"select {_REASON} as reason, count(*) as n, sum(case when k % 17 <> 0 then k else 0 end)::bigint as id_sum from ({_A}) {{}} group by all"
+
+
+def _by_reason(records: DataFrame) -> DataFrame:
+    valid, rejected = validate.prepare(records)
+    both = valid.select("content_id", F.lit("valid").alias("reason")).unionByName(rejected)
+    return both.groupBy("reason").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("content_id").cast("bigint"), F.lit(0))).alias("id_sum"))
+
+
+@query(_VALID_SQL.format(""))
+def uq_read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records to score, written as lines with blank and broken ones between them, read by their suffix and checked."""
+    path = new_path(spark, "records.jsonl")
+    line = F.to_json(F.struct("content_id", F.from_json("top_logprobs", TOKENS).alias("top_logprobs"), F.from_json("logprobs_data", ENTRIES).alias("logprobs_data")))
+    lines = _scoring_records(spark, sf_dir).select(F.explode(F.array(line, F.lit(""), F.lit("[1]"), F.lit('{"content_id": '))).alias("value"))
+    lines.write.text(path)
+    return _by_reason(read_records(spark, path))
+
+
+@query(_VALID_SQL.format("where k % 3 <> 0"))
+def uq_read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a cell of JSON, written as CSV and read back."""
+    path = new_path(spark, "records.csv")
+    _scoring_records(spark, sf_dir).filter("top_logprobs IS NOT NULL").select("content_id", "top_logprobs").write.csv(path, header=True, quote='"', escape='"')
+    return _by_reason(read_records(spark, path))
+
+
+@query(_VALID_SQL.format("where k % 3 <> 0"))
+def uq_read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of records, one list of about a hundred in each file, other items among them."""
+    path = new_path(spark, "records.json")
+    item = F.to_json(F.struct("content_id", F.from_json("top_logprobs", TOKENS).alias("top_logprobs")))
+    some = _scoring_records(spark, sf_dir).filter("top_logprobs IS NOT NULL").select(item.alias("item"))
+    files = max(1, some.count() // 100)
+    lists = some.groupBy(F.pmod(F.xxhash64("item"), F.lit(files)).alias("file")).agg(F.concat(F.lit("[7, "), F.concat_ws(", ", F.collect_list("item")), F.lit("]")).alias("value"))
+    lists.repartition(files, "file").select("value", "file").write.partitionBy("file").text(path)
+    return _by_reason(read_records(spark, path))
+
+
+@query(f"select (count(*) filter (where k % 7 <> 0))::bigint as n_values, (count(*) filter (where {SHORT['h']} <> 0))::bigint as n_inverse, round(max(least(1e0/nullif({SHORT['h']},0), 5e0)),6) as most from ({features_sql()})")
+def uq_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Infinities become null, values are cut, and columns with one value or too few are found."""
+    f = _features(spark, sf_dir).select("is_correct", F.when(F.col("k") % 7 != 0, F.lit(1.0)).alias("constant"), F.when(F.col(SHORT["h"]) == 0, float("inf")).otherwise(1 / F.when(F.col(SHORT["h"]) != 0, F.col(SHORT["h"]))).alias("inverse"), F.lit(None).cast("double").alias("empty"))
+    clean = stats.cleaned(f, ["constant", "inverse", "empty"], "is_correct")
+    left = [c for c in stats.usable_features(clean) if c not in ("is_correct", *stats.constant_columns(clean, ["empty"]))]
+    return clean.select(*left).agg(F.count("constant").alias("n_values"), F.count("inverse").alias("n_inverse"), F.round(F.max(clipped(F.col("inverse"), 5.0)), 6).alias("most"))
+
+
 def _stat_sql(s: str) -> str:
     m = f"(select avg({s}) from d)"
     central = lambda k: f"avg(pow({s}-{m},{k}))"
@@ -196,21 +279,23 @@ def uq_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.inflation_table(_short(spark, sf_dir), ["h", "g"]).select("feature", F.round("vif", 4).alias("vif"))
 
 
+@query(f"with d as ({_S}) " + " union all ".join(f"select '{s}' as feature, (abs(corr({s},y)) > 0.1e0)::int as selected from d" for s in SHORT))
+def uq_statistical_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """|r| over 0.1 with the target; at these sizes such an r is always significant."""
+    r = stats.target_correlations(_short(spark, sf_dir), list(SHORT), "y")
+    return r.select("feature", F.coalesce((F.abs("r") > 0.1) & (F.col("significant") == 1), F.lit(False)).cast("int").alias("selected"))
+
+
 @query()
 def uq_forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.forest_importance(_short(spark, sf_dir), list(SHORT), "y", trees=20)
+    f = _features(spark, sf_dir)
+    return selection.forest_importance(f, [c for c in FEATURES if c != "model_max_softmax_prob_filtered"], "is_correct", trees=100)
 
 
 @query()
 def uq_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, names = _short(spark, sf_dir), list(SHORT)
-    r = stats.target_correlations(d, names, "y").collect()
-    by_r = [x["feature"] for x in r if x["r"] is not None and abs(x["r"]) > 0.1 and x["p"] < 0.05]
-    by_mi = [x["feature"] for x in stats.mutual_information(d, names, "y").orderBy(F.desc("mi"), "feature").limit(8).collect()]
-    pairs = [(x["f1"], x["f2"]) for x in stats.collinear_pairs(stats.correlations(d, names)).collect()]
-    gone = stats.drop_collinear(pairs, {x["feature"]: x["r"] for x in r})
-    stay, _ = selection.drop_inflated(selection.gram_matrix(d, names), names)
-    return selection.vote(spark, {"correlation": by_r, "mutual_information": by_mi, "not_collinear": [n for n in names if n not in gone], "not_inflated": stay}, names)
+    """The vote over correlation, mutual information and a forest of 100 trees, on what is left of all 20 features."""
+    return selection.select_features(_features(spark, sf_dir), list(FEATURES), "is_correct", trees=100)
 
 
 def _quota_sql(table: str, rest: str) -> str:
@@ -238,29 +323,52 @@ def uq_stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.stage_report({"train": parted.filter("NOT is_test"), "test": parted.filter("is_test")}, "is_correct").withColumn("ratio", F.round("ratio", 6))
 
 
+@query(f"with a as ({_A}), r as (select *, row_number() over (partition by is_correct order by md5('42:'||k), k) as rn, count(*) filter (is_correct = 0) over () as n0 from a), s as (select sum(is_correct)::bigint as pos, sum(1-is_correct)::bigint as neg, sum((is_correct = 1 and rn <= 2*n0)::int)::bigint as pos_after from r) select 'all' as stage, pos, neg, pos+neg as total, round(pos::double/neg,6) as ratio, pos_after, neg as neg_after, pos_after+neg as total_after, round(pos_after::double/neg,6) as ratio_after, pos-pos_after as removed, round(100e0*(pos-pos_after)/(pos+neg),6) as reduction_pct from s")
+def uq_reduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    kept = sampling.undersample(log, "k", "is_correct", 2.0, 42).filter("kept")
+    report = sampling.reduction_report({"all": log}, {"all": kept}, "is_correct")
+    return report.withColumns({c: F.round(c, 6) for c in ("ratio", "ratio_after", "reduction_pct")})
+
+
 _NN_FEATURES = ["lp1", "lp2"]
-_CUSTOMER = f"select k, is_correct as y, lp1, lp2 from ({answer_log_sql('customer')})"
-_NN = "select a.k, a.y, b.k as nk, b.y as ny, row_number() over (partition by a.k order by pow(a.lp1-b.lp1,2)+pow(a.lp2-b.lp2,2), b.k) as rn from d a join d b on a.k <> b.k"
+_NN = "select a.k, any_value(a.y) as y, unnest(min_by(b, struct_pack(d := pow(a.lp1-b.lp1,2)+pow(a.lp2-b.lp2,2), k := b.k), {n})) as b from {q} a join d b on a.k <> b.k group by a.k"
+_POINTS = f"with d as (select k, is_correct as y, lp1, lp2 from ({_A}))"
 
 
-@query(f"with d as ({_CUSTOMER}), n as ({_NN}), f as (select * from n where rn = 1) select x.k from f x join f z on x.nk = z.k and z.nk = x.k where x.y = 1 and x.ny = 0")
+@query(f"{_POINTS}, m as ({_NN.format(q='(select * from d where y = 0)', n=1)}), h as (select d.* from d semi join (select b.k from m where b.y = 1) x on d.k = x.k), z as ({_NN.format(q='h', n=1)}) select distinct z.k from z join m on z.b.k = m.k and m.b.k = z.k")
 def uq_tomek(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbors.tomek_removed(_log(spark, sf_dir, "customer"), "k", "is_correct", _NN_FEATURES, 1)
+    return neighbors.tomek_removed(_log(spark, sf_dir), "k", "is_correct", _NN_FEATURES, 1)
 
 
-@query(f"with d as ({_CUSTOMER}), n as ({_NN}) select distinct k from n where rn <= 3 and y = 1 and ny = 0")
+@query(f"{_POINTS}, n as ({_NN.format(q='(select * from d where y = 1)', n=3)}) select distinct k from n where b.y = 0")
 def uq_enn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbors.enn_removed(_log(spark, sf_dir, "customer"), "k", "is_correct", _NN_FEATURES, 1)
+    return neighbors.enn_removed(_log(spark, sf_dir), "k", "is_correct", _NN_FEATURES, 1)
 
 
 @query()
 def uq_hybrid_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _log(spark, sf_dir, "customer")
-    kept_train, kept_test, gone_train, gone_test = sampling.split_and_balance(log, "k", "is_correct", _NN_FEATURES, "hybrid", 2.0, 2.0)
+    """Tested against brute force on small tables."""
+    kept_train, kept_test, gone_train, gone_test = sampling.split_and_balance(_log(spark, sf_dir), "k", "is_correct", _NN_FEATURES, "hybrid", 2.0, 2.0)
     parts = {"kept_train": kept_train, "kept_test": kept_test, "removed_train": gone_train, "removed_test": gone_test}
     return sampling.stage_report(parts, "is_correct")
 
 
+_SIDES = "b as (select r.k, r.is_correct, (rn <= quota)::int as is_test from r join q on r.is_correct = q.is_correct), s as (select *, row_number() over (partition by is_test, is_correct order by md5('42:'||k), k) as place, count(*) filter (is_correct = 0) over (partition by is_test) as n0 from b)"
+
+
+@query(_quota_sql("events", "").rstrip() + f", {_SIDES} select k, is_test, (is_correct = 0 or place <= 2*n0)::int as kept from s")
+def uq_random_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split, then cut the majority of either side to twice the minority; features with nulls take this way, too."""
+    log = _log(spark, sf_dir).withColumn("holed", F.when(F.col("k") % 9 != 0, F.col("lp1")))
+    kept_train, kept_test, gone_train, gone_test = sampling.split_and_balance(log, "k", "is_correct", ["holed"], "enn", 2.0, 2.0)
+    out = None
+    for part, is_test, kept in ((kept_train, 0, 1), (kept_test, 1, 1), (gone_train, 0, 0), (gone_test, 1, 0)):
+        rows = part.select("k", F.lit(is_test).alias("is_test"), F.lit(kept).alias("kept"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 _CONF = f"(select sum((is_correct=1 and p>=0.6e0)::int)::bigint as tp, sum((is_correct=0 and p>=0.6e0)::int)::bigint as fp, sum((is_correct=0 and p<0.6e0)::int)::bigint as tn, sum((is_correct=1 and p<0.6e0)::int)::bigint as fn from ({_A}))"
 
 
@@ -329,13 +437,13 @@ def uq_detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.detection_summary(metrics.error_analysis(_log(spark, sf_dir), "p", 0.6))
 
 
-_ACC = "avg(({c}=ground_truth)::int::double)"
-_F1 = "2e0*sum(({c}=1 and ground_truth=1)::int)/(sum(({c}=1)::int)+sum(ground_truth))"
+_SIX = {"f1": "2e0*tp/(2*tp+fp+fn)", "f1_macro": "(2e0*tp/(2*tp+fp+fn)+2e0*tn/(2*tn+fp+fn))/2", "precision": "tp::double/(tp+fp)", "recall": "tp::double/(tp+fn)", "accuracy": "(tp+tn)::double/(tp+fp+tn+fn)", "balanced_accuracy": "(tp::double/(tp+fn)+tn::double/(tn+fp))/2"}
+_BOTH = " union all ".join(f"select '{name}' as answers, sum(({c}=1 and ground_truth=1)::int)::bigint as tp, sum(({c}=1 and ground_truth=0)::int)::bigint as fp, sum(({c}=0 and ground_truth=0)::int)::bigint as tn, sum(({c}=0 and ground_truth=1)::int)::bigint as fn from ({_FLIP})" for name, c in (("original", "yes"), ("flipped", "flipped")))
 
 
-@query(f"select 'accuracy' as metric, round({_ACC.format(c='yes')},6) as original, round({_ACC.format(c='flipped')},6) as flipped, round({_ACC.format(c='flipped')}-{_ACC.format(c='yes')},6) as delta from ({_FLIP}) union all select 'f1', round({_F1.format(c='yes')},6), round({_F1.format(c='flipped')},6), round({_F1.format(c='flipped')}-{_F1.format(c='yes')},6) from ({_FLIP})")
+@query(f"with c as ({_BOTH}), m as (" + " union all ".join(f"select answers, '{m}' as metric, {e} as v from c" for m, e in _SIX.items()) + ") select o.metric, round(o.v,6) as original, round(f.v,6) as flipped, round(f.v-o.v,6) as delta from m o join m f on o.metric = f.metric where o.answers = 'original' and f.answers = 'flipped'")
 def uq_flip_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = metrics.flip_comparison(metrics.error_analysis(_log(spark, sf_dir), "p", 0.6)).filter(F.col("metric").isin("accuracy", "f1"))
+    c = metrics.flip_comparison(metrics.error_analysis(_log(spark, sf_dir), "p", 0.6))
     return c.select("metric", r6("original"), r6("flipped"), r6("delta"))
 
 
@@ -377,18 +485,51 @@ def uq_min_max_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.min_max_scores(_short(spark, sf_dir), F.col("h")).select("k", r6("probability"))
 
 
+@query(f"select concept as experiment_name, round(avg(is_correct::double),6) as test_f1 from ({_A}) group by concept order by 2 desc, 1 limit 1")
+def uq_best_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of a table of results."""
+    results = _log(spark, sf_dir).groupBy(F.col("concept").alias("experiment_name")).agg(r6(F.avg("is_correct"), "test_f1"))
+    return metrics.best_result(results, "test_f1")
+
+
+@query(f"select k::varchar as content_id, round(q,6) as meta_model_probability, (q>=0.5e0)::int as meta_model_prediction, 0.5e0 as threshold_used from (select k, 1e0/(1e0+exp(-(1.5e0*(0.2e0-0.7e0*(model_outcome_entropy_top_5-0.5e0)/0.4e0+0.3e0*(model_logprob_gap+3e0)/2e0)-0.1e0))) as q from ({features_sql()}) where {_REASON} = 'valid')")
+def uq_score_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of records to a file of predictions: written, read, checked, scored, written as CSV and read back."""
+    path, out = new_path(spark, "records.parquet"), new_path(spark, "predictions")
+    _scoring_records(spark, sf_dir).write.parquet(path)
+    scored, _ = workloads.score_file(spark, path, _LINEAR, 0.5)
+    write_predictions(scored.withColumn("meta_model_probability", F.round("meta_model_probability", 6)), out, "csv")
+    return spark.read.schema("content_id string, meta_model_probability double, meta_model_prediction int, threshold_used double").csv(out, header=True)
+
+
+_FITTED = ["h", "g", "lgn"]
+
+
 @query()
 def uq_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _short(spark, sf_dir)
-    return workloads.experiment(d, "k", "y", ["h", "g", "lgn"])[1]
+    """Hybrid balancing, search of the ridge, calibration, and evaluation at 0.5 and the tuned threshold."""
+    return workloads.experiment(_short(spark, sf_dir), "k", "y", _FITTED)[1]
+
+
+@query()
+def uq_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of results, best test_f1 first."""
+    return workloads.all_experiments(_short(spark, sf_dir), "k", "y", _FITTED, method="random")
 
 
 @query()
 def uq_ridge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.search_ridge(_short(spark, sf_dir), ["h", "g", "lgn"], "y", "k")[1]
+    return models.search_ridge(staged(_short(spark, sf_dir), "features"), _FITTED, "y", "k")[1]
+
+
+@query()
+def uq_boosted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two random settings of 5 to 9 trees, two folds; the operator's defaults are 10 settings of 50 to 199 trees."""
+    return models.search_boosted(staged(_short(spark, sf_dir), "features"), _FITTED, "y", "k", n_iter=2, k=2, trees=(5, 10))[1]
 
 
 @query()
 def uq_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _short(spark, sf_dir)
-    return models.fit_boosted(d, ["h", "g", "lgn"], "y", trees=10)(d).select("k", r6("probability"))
+    """Trees of the training rows score the test rows."""
+    parted = staged(sampling.split(_short(spark, sf_dir), "k", "y"), "split")
+    return models.fit_boosted(parted.filter("NOT is_test"), _FITTED, "y", trees=10)(parted.filter("is_test")).select("k", r6("probability"))
