@@ -2,39 +2,41 @@
 
 Word counts of all training documents are a Spark aggregation. The frequent words are the network's vocabulary; a word
 outside it is scored as the unknown word times its smoothed share of the rarer words. The network is trained by
-truncated backpropagation on all training documents: tasks train copies on their own rows, once a round at every size,
-and the copies are averaged, in groups, after each round. Scoring carries a document's state through all of its words.
+truncated backpropagation on all training documents, each once: tasks train copies on their own rows, and the copies are
+averaged, in groups, after each round. Scoring carries a document's state through all of its words.
 """
 
 from __future__ import annotations
 
 import io
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certus.llm import gru
-from certus.llm.words import words_of
+from certus.llm.words import split_words, text_slices, words_of
 from certus.plans.staging import staged
 
 #: Words that the network tells apart, with the unknown word (0) and the end (1).
-VOCABULARY = 4096
+VOCABULARY = 2048
 #: Most frequent words whose counts each task holds; counts of the others come by a join.
 HEAD = 150_000
-#: One of so many training documents trains the network: all of them.
-ONE_IN = 1
-#: Passes over the training documents, at every size.
+#: Times that copies are averaged: each round goes once over its share of the training documents.
 ROUNDS = 2
-SIZE = 32
+SIZE = 24
 EMBEDDING = 16
-CLASSES = 64
-_TRAINER_WORDS = 500_000
-_LANES, _STEPS = 64, 32
+CLASSES = 48
+#: Text that trains one copy in a round, about.
+_SHARD_BYTES = 8 << 20
+#: Text that is cut to words at once, about.
+_BYTES = 8 << 20
+_LANES, _STEPS = 512, 16
+RATE = 0.03
 _GROUP = 512
 _UNKNOWN, _END = 0, 1
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -47,13 +49,11 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found: Counter[bytes] = Counter()
-        for text in batch.column(0):
-            found.update(tokens_of(text.as_py()))
-            if len(found) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
-                found = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+        for at, n in text_slices(batch.column(0), _BYTES):
+            words, codes, _ = split_words(batch.column(0).slice(at, n), lower=True)
+            seen = np.bincount(codes, minlength=len(words))
+            there = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(there)), pa.array(seen[there])], ["word", "n"])
 
 
 @dataclass
@@ -118,7 +118,7 @@ def new_network(counts: np.ndarray, classes: int = CLASSES, size: int = SIZE, em
         "embed": small(n, embedding),
         "w": small(embedding, 3 * size),
         "bw": np.zeros(3 * size, np.float32),
-        "wc": 0.1 * small(size, len(by_class)),
+        "wc": 0.1 * small(len(by_class), size),
         "bc": np.log(by_class).astype(np.float32),
         "wo": 0.1 * small(n, size),
         "bo": np.log(p / by_class[np.searchsorted(bounds, np.arange(n), side="right") - 1]).astype(np.float32),
@@ -126,105 +126,127 @@ def new_network(counts: np.ndarray, classes: int = CLASSES, size: int = SIZE, em
     return Network(weights, bounds)
 
 
+def _log_softmax_at(logits: np.ndarray, goal: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of the goals (columns are tokens), and all probabilities, in the place of the logits."""
+    if limit > 80:  # else no exponential overflows
+        logits -= logits.max(0)
+    column = np.arange(logits.shape[1])
+    out = logits[goal, column]
+    np.exp(logits, out=logits)
+    total = logits.sum(0)
+    logits /= total
+    return out - np.log(total), logits
+
+
+def _largest(weights: np.ndarray, bias: np.ndarray) -> float:
+    """The largest size that a logit can have, as states are between -1 and 1."""
+    return float(np.abs(weights).sum(1).max() + np.abs(bias).max())
+
+
 def _output(net: Network, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log-probabilities of the targets; with ``grads`` also adds gradients there and returns the states'."""
+    """Natural log-probabilities of the targets, from states (size by tokens); with ``grads`` also puts the gradients of
+    their sum's negative there and returns the states'."""
     w, bounds = net.weights, net.bounds
     cls = np.searchsorted(bounds, targets, side="right") - 1
-    row = np.arange(len(targets))
-    logits = states @ w["wc"] + w["bc"]
-    logits -= logits.max(1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(1)
-    out = logits[row, cls] - np.log(total)
-    d_states = None
+    column, d_states = np.arange(len(targets)), None
+    logits = w["wc"] @ states
+    logits += w["bc"][:, None]
+    out, d = _log_softmax_at(logits, cls, _largest(w["wc"], w["bc"]))
     if grads is not None:
-        d = e / total[:, None]
-        d[row, cls] -= 1
-        d /= len(targets)
-        grads["wc"] += states.T @ d
-        grads["bc"] += d.sum(0)
-        d_states = d @ w["wc"].T
-    order = np.argsort(cls, kind="stable")
+        d[cls, column] -= 1
+        grads["wc"], grads["bc"] = d @ states.T, d.sum(1)
+        grads["wo"], grads["bo"] = np.zeros_like(w["wo"]), np.zeros_like(w["bo"])
+        d_states = w["wc"].T @ d
+    several = np.flatnonzero(np.diff(bounds)[cls] > 1)  # other classes have one word only
+    order = several[np.argsort(cls[several], kind="stable")]
     cuts = np.searchsorted(cls[order], np.arange(len(bounds)))
-    for c in range(len(bounds) - 1):
-        rows = order[cuts[c] : cuts[c + 1]]
-        if not len(rows) or bounds[c + 1] - bounds[c] == 1:
-            continue
-        a, b = bounds[c], bounds[c + 1]
-        some, place = states[rows], targets[rows] - a
-        inside = some @ w["wo"][a:b].T + w["bo"][a:b]
-        inside -= inside.max(1, keepdims=True)
-        e = np.exp(inside)
-        total = e.sum(1)
-        at = np.arange(len(rows))
-        out[rows] += inside[at, place] - np.log(total)
+    inner, place, found = np.take(states, order, axis=1), targets[order], np.empty(len(order), np.float32)
+    d_inner = np.empty_like(inner) if grads is not None else None
+    limit = _largest(w["wo"], w["bo"])
+    for c in np.flatnonzero(np.diff(cuts)).tolist():
+        rows, a, b = slice(cuts[c], cuts[c + 1]), bounds[c], bounds[c + 1]
+        logits = w["wo"][a:b] @ inner[:, rows]
+        logits += w["bo"][a:b, None]
+        goal = place[rows] - a
+        found[rows], d = _log_softmax_at(logits, goal, limit)
         if grads is not None:
-            d = e / total[:, None]
-            d[at, place] -= 1
-            d /= len(targets)
-            grads["wo"][a:b] += d.T @ some
-            grads["bo"][a:b] += d.sum(0)
-            d_states[rows] += d @ w["wo"][a:b]
+            d[goal, np.arange(len(goal))] -= 1
+            grads["wo"][a:b] = d @ inner[:, rows].T
+            grads["bo"][a:b] = d.sum(1)
+            d_inner[:, rows] = w["wo"][a:b].T @ d
+    out[order] += found
+    if grads is not None:
+        d_states[:, order] += d_inner
     return out, d_states
 
 
-def train(net: Network, stream: np.ndarray, rate: float = 0.004) -> None:
+def _gate_inputs(w: dict[str, np.ndarray]) -> np.ndarray:
+    """Input to the gates (3 * size) from each word of the vocabulary, a column each."""
+    return np.ascontiguousarray((w["embed"] @ w["w"] + w["bw"]).T)
+
+
+def train(net: Network, stream: np.ndarray, rate: float = RATE, adam: gru.Adam | None = None) -> None:
     """One pass over a stream of ids in which each document ends with the end id, in lanes side by side."""
     if len(stream) < 2:
         return
     w = net.weights
-    adam = gru.Adam(w, rate)
+    adam = adam or gru.Adam(w, rate)
     lanes = max(1, min(_LANES, len(stream) // _STEPS))
     length = len(stream) // lanes
     target = stream[: lanes * length].reshape(lanes, length).T
     source = np.vstack([np.full((1, lanes), _END), target[:-1]])
-    h = np.zeros((lanes, w["u"].shape[0]), np.float32)
+    h = np.zeros((w["u"].shape[1], lanes), np.float32)
     for at in range(0, length, _STEPS):
         ids, goal = source[at : at + _STEPS], target[at : at + _STEPS]
         carry = (ids != _END).astype(np.float32)
-        embedded = w["embed"][ids]
-        states, kept = gru.forward(embedded @ w["w"] + w["bw"], h, carry, w["u"], w["bu"])
-        grads = {k: np.zeros_like(v) for k, v in w.items()}
-        _, d_states = _output(net, states.reshape(-1, states.shape[-1]), goal.ravel(), grads)
+        states, kept = gru.forward(np.take(_gate_inputs(w), ids, axis=1), h, carry, w["u"], w["bu"])
+        grads: dict[str, np.ndarray] = {}
+        d_states = _output(net, states.reshape(len(states), -1), goal.ravel(), grads)[1]
         dx, recurrent = gru.backward(d_states.reshape(states.shape), kept, carry, w["u"])
         grads |= recurrent
-        flat = dx.reshape(-1, dx.shape[-1])
-        grads["w"] += embedded.reshape(-1, embedded.shape[-1]).T @ flat
-        grads["bw"] += flat.sum(0)
-        np.add.at(grads["embed"], ids.ravel(), flat @ w["w"].T)
+        # sums by word, then through the embedding
+        order = np.argsort(ids, axis=None, kind="stable")
+        seen, heads = np.unique(ids.ravel()[order], return_index=True)
+        by_word = np.add.reduceat(np.take(dx.reshape(len(dx), -1), order, axis=1), heads, axis=1)
+        grads["bw"], grads["w"] = by_word.sum(1), (by_word @ w["embed"][seen]).T
+        grads["embed"] = np.zeros_like(w["embed"])
+        grads["embed"][seen] = by_word.T @ w["w"].T
+        for g in grads.values():
+            g /= np.float32(goal.size)
         adam.step(grads)
-        h = states[-1]
+        h = states[:, -1]
 
 
 def score(net: Network, documents: list[np.ndarray]) -> np.ndarray:
     """Natural log-probability of each list of ids with its end, from the state that the end leaves."""
     w = net.weights
-    gates = w["embed"] @ w["w"] + w["bw"]
-    out = np.zeros(len(documents))
-    order = sorted(range(len(documents)), key=lambda n: -len(documents[n]))
+    gates, out = _gate_inputs(w), np.zeros(len(documents))
+    lengths = np.array([len(d) + 1 for d in documents])
+    flat = np.concatenate([x for d in documents for x in (d, (_END,))]) if len(documents) else np.empty(0, np.int64)
+    begins = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
     for at in range(0, len(order), _GROUP):
         rows = order[at : at + _GROUP]
-        lengths = np.array([len(documents[n]) + 1 for n in rows])
-        h = np.zeros((len(rows), w["u"].shape[0]), np.float32)
-        last = np.full(len(rows), _END)
-        for begin in range(0, int(lengths[0]), _STEPS * 4):  # a window of steps; the state goes on to the next
-            live = int((lengths > begin).sum())
-            width = min(_STEPS * 4, int(lengths[0]) - begin)
-            target = np.full((width, live), _END)
-            for k in range(live):
-                part = documents[rows[k]][begin : begin + width]
-                target[: len(part), k] = part
-            states = np.empty((width, live, h.shape[1]), np.float32)
-            h, source = h[:live], np.vstack([last[None, :live], target[:-1]])
-            n_live = (lengths[None, :live] > begin + np.arange(width)[:, None]).sum(1)
+        begin, length = begins[rows], lengths[rows]
+        h, last = np.zeros((w["u"].shape[1], len(rows)), np.float32), np.full(len(rows), _END)
+        for done in range(0, int(length[0]), _STEPS * 4):  # a window of steps; the state goes on to the next
+            width = min(_STEPS * 4, int(length[0]) - done)
+            place = done + np.arange(width)[:, None]
+            n_live = (length > place).sum(1)  # documents are in order of falling length
+            live = int(n_live[0])
+            target = flat[begin[:live] + np.minimum(place, length[:live] - 1)]
+            source = np.vstack([last[None, :live], target[:-1]])
+            states = np.empty((len(h), width, live), np.float32)
+            h = h[:, :live]
             for t in range(width):
                 m = n_live[t]
-                h[:m] = gru.step(gates[source[t, :m]], h[:m], w["u"], w["bu"])
-                states[t, :m] = h[:m]
-            inside = np.arange(live)[None, :] < n_live[:, None]
-            flat, goal, owner = states[inside], target[inside], np.broadcast_to(np.arange(live), inside.shape)[inside]
-            logs = np.concatenate([_output(net, flat[i : i + 16_384], goal[i : i + 16_384])[0] for i in range(0, len(flat), 16_384)])
-            out[rows[:live]] += np.bincount(owner, logs.astype(float), live)
+                h = gru.step(np.take(gates, source[t, :m], axis=1), h[:, :m], w["u"], w["bu"])
+                states[:, t, :m] = h
+            inside = np.flatnonzero(np.arange(live) < n_live[:, None])
+            goal, owner = target.ravel()[inside], inside % live
+            for some in np.array_split(np.arange(len(inside)), -(-len(inside) // 16_384)):
+                logs = _output(net, np.take(states.reshape(len(states), -1), inside[some], axis=1), goal[some])[0]
+                out[rows[:live]] += np.bincount(owner[some], logs.astype(float), live)
             last = target[-1]
     return out
 
@@ -242,52 +264,78 @@ def _unpack(data: bytes) -> Network:
 
 
 def _averaged(packed: list[bytes], n: list[int]) -> bytes:
-    nets = [_unpack(p) for p in packed]
-    total = max(1, sum(n))
-    weights = {k: sum(net.weights[k] * np.float32(m / total) for net, m in zip(nets, n)) if sum(n) else nets[0].weights[k] for k in nets[0].weights}
+    nets, total = [_unpack(p) for p in packed], sum(n)
+    weights = {k: sum(net.weights[k] * np.float32(m / total) for net, m in zip(nets, n)) for k in nets[0].weights}
     return _pack(Network(weights, nets[0].bounds))
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [r for b in batches for r in b.to_pylist()]
-    if rows:
-        yield pa.RecordBatch.from_pylist([{"part": 0, "n": sum(r["n"] for r in rows), "net": _averaged([r["net"] for r in rows], [r["n"] for r in rows])}], pa.schema([("part", pa.int64()), ("n", pa.int64()), ("net", pa.binary())]))
+def _ids_of(texts: pa.Array, number: dict[str, int]) -> np.ndarray:
+    """The texts as one stream of ids, an end after each."""
+    words, codes, counts = split_words(texts, lower=True)
+    ids = np.fromiter((number.get(w, _UNKNOWN) for w in words.to_pylist()), np.int64, len(words))[codes]
+    return np.insert(ids, np.cumsum(counts), _END)
 
 
-def fit(texts: DataFrame, counts: Counts, vocabulary: int = VOCABULARY, rounds: int = ROUNDS, one_in: int = ONE_IN) -> Network:
-    """Train on one in ``one_in`` rows of ``texts`` (doc_id, text), by hash of the id; a round is one pass over them."""
+def fit(texts: DataFrame, counts: Counts, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> Network:
+    """Train on all rows of ``texts`` (doc_id, text), each once.
+
+    Rows are dealt to rounds and to shards by a hash. In a round each shard trains a copy of the network, and the copies
+    are averaged by their numbers of tokens. Shards hold about _SHARD_BYTES of text, so their number grows with the input.
+    """
     words = counts.words[: vocabulary - 2]
-    number = {w: n for n, w in enumerate(words, 2)}
+    number = {w.decode(): n for n, w in enumerate(words, 2)}
     head = counts.counts[: vocabulary - 2]
     unknown = counts.tokens - counts.documents - int(head.sum())
     # ids follow falling counts but for the first two, which are classes of their own by their weight
     net = new_network(np.r_[unknown, counts.documents, head].astype(float))
-    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text")
-    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    trainers = max(1, size // (6 * _TRAINER_WORDS))
-    spread = staged(sample.repartition(trainers), "lm-shards")
+    hashed = texts.select("text", F.xxhash64("doc_id", "text").alias("place"))
+    size = hashed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, round(size / rounds / _SHARD_BYTES))
 
-    for _ in range(rounds):
+    for turn in range(rounds):
         start = _pack(net)
 
         def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, n, part = _unpack(start), 0, np.random.default_rng().integers(1 << 30)
+            """(text, part) in order of parts to a row for each part."""
+            own, adam, n, part = None, None, 0, -1
+            packed = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([_pack(own)], pa.binary())], ["part", "n", "net"])
             for batch in batches:
-                ids = [i for t in batch.column(0) for i in (*(number.get(w, _UNKNOWN) for w in tokens_of(t.as_py())), _END)]
-                train(own, np.array(ids, np.int64))
-                n += len(ids)
+                parts = batch.column(1).to_numpy()
+                heads = np.flatnonzero(np.r_[True, np.diff(parts) != 0]) if len(parts) else parts
+                for begin, end in zip(heads.tolist(), [*heads[1:].tolist(), len(parts)]):
+                    if parts[begin] != part:
+                        if n:
+                            yield packed()
+                        own, n, part = _unpack(start), 0, int(parts[begin])
+                        adam = gru.Adam(own.weights, RATE)
+                    some = batch.column(0).slice(begin, end - begin)
+                    for at, k in text_slices(some, _BYTES):
+                        ids = _ids_of(some.slice(at, k), number)
+                        train(own, ids, adam=adam)
+                        n += len(ids)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([_pack(own)], pa.binary())], ["part", "n", "net"])
-
-        copies = staged(spread.mapInArrow(trained, "part bigint, n bigint, net binary"), "lm-copies")
-        while (left := copies.count()) > 16:
-            copies = staged(copies.repartition(-(-left // 16)).mapInArrow(_merged, "part bigint, n bigint, net binary"), "lm-copies")
-        rows = copies.orderBy("n", F.sha2("net", 256)).collect()  # 16 copies at most
-        if rows:
-            net = _unpack(_averaged([r["net"] for r in rows], [r["n"] for r in rows]))
+                yield packed()
+
+        mine = hashed.filter(F.pmod("place", F.lit(rounds)) == turn).withColumn("part", F.pmod(F.xxhash64("place"), F.lit(shards)))
+        dealt = mine.repartition(shards, "part").sortWithinPartitions("part", "place").select("text", "part")
+        copies = staged(dealt.mapInArrow(trained, "part bigint, n bigint, net binary"), "lm-copies")
+        while copies.count() > 1:
+            copies = staged(_averages(copies), "lm-copies")
+        for r in copies.collect():  # one row
+            net = _unpack(r["net"])
     return net
 
 
+def _averages(copies: DataFrame) -> DataFrame:
+    """Averages of up to 16 neighbouring copies each, numbered anew."""
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        return pd.DataFrame({"part": [rows["part"].iloc[0] // 16], "n": [rows["n"].sum()], "net": [_averaged(rows["net"].tolist(), rows["n"].tolist())]})
+
+    return copies.groupBy(F.floor(F.col("part") / 16)).applyInPandas(merged, "part bigint, n bigint, net binary")
+
+
 def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), **how) -> DataFrame:
     """(doc_id, keep, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
@@ -310,27 +358,24 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = _unpack(packed)
         words, n = head.value
-        place = {w: k for k, w in enumerate(words)}
+        place = {w.decode(): k for k, w in enumerate(words)}
         log_count = np.log10(np.r_[n, 0] + 1.0)
         for whole in batches:
-            for at in range(0, len(whole), 2048):
-                batch = whole.slice(at, 2048)
-                ids, rows, tails = [], [], []
-                for text in batch.column(1):
-                    found = tokens_of(text.as_py())
-                    at_head = np.fromiter((place.get(w, -1) for w in found), np.int64, len(found))
-                    in_head = at_head >= 0
-                    seen = log_count[at_head[in_head]]
-                    rare = at_head >= vocabulary - 2
-                    ids.append(np.where(in_head & ~rare, at_head + 2, _UNKNOWN))
-                    tails.append([found[k].decode() for k in np.flatnonzero(~in_head)])
-                    base = seen.sum() + np.log10(ends + 1.0) - (len(seen) + 1) * np.log10(smoothing)
-                    within = log_count[at_head[rare]].sum() - rare.sum() * np.log10(rare_smoothing)
-                    rows.append((len(found) + 1, int(in_head.sum()) + (ends > 0), base, within))
-                from_net = score(net, ids) / np.log(10)
-                columns = list(zip(*rows)) or [()] * 4
+            for at, rows in text_slices(whole.column(1), _BYTES):
+                batch = whole.slice(at, rows)
+                found, codes, lengths = split_words(batch.column(1), lower=True)
+                at_head = np.fromiter((place.get(w, -1) for w in found.to_pylist()), np.int64, len(found))[codes]
+                owner = np.repeat(np.arange(rows), lengths)
+                in_head, rare = at_head >= 0, at_head >= vocabulary - 2
+                summed = lambda some: np.bincount(owner[some], log_count[at_head[some]], rows)
+                seen, n_rare = np.bincount(owner[in_head], minlength=rows), np.bincount(owner[rare], minlength=rows)
+                base = summed(in_head) + np.log10(ends + 1.0) - (seen + 1) * np.log10(smoothing)
+                within = summed(rare) - n_rare * np.log10(rare_smoothing)
+                ids = np.split(np.where(in_head & ~rare, at_head + 2, _UNKNOWN), np.cumsum(lengths)[:-1])
+                tail = np.r_[0, np.cumsum(lengths - seen)]
+                tails = pa.ListArray.from_arrays(pa.array(tail, pa.int32()), found.take(pa.array(codes[~in_head])))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k) for k in range(batch.num_columns) if k != 1), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(np.array(columns[3], float) + from_net), pa.array(tails, pa.list_(pa.string()))],
+                    [*(batch.column(k) for k in range(batch.num_columns) if k != 1), pa.array(lengths + 1), pa.array(seen + (ends > 0)), pa.array(base), pa.array(within + score(net, ids) / np.log(10)), tails],
                     [*(f.name for k, f in enumerate(batch.schema) if k != 1), "n_tokens", "known", "base", "net", "tail"],
                 )
 

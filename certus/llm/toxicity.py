@@ -1,45 +1,86 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over overlapping windows of words.
 
 A word enters as its own vector, if the training texts have it often enough, beside the mean of the vectors of its
-character runs. The network is trained in numpy on a bounded sample of labelled documents; a document's score is that of
-its most toxic window, and every window of every text is scored.
+character runs. The network is trained in numpy on a bounded sample of labelled documents, all of their windows; a
+document's score is that of its most toxic window, and every window of every text is scored. Every fifth training
+document is held back: it says when the network was best, and where the cut between the classes lies.
 """
 
 from __future__ import annotations
 
-import functools
-import zlib
-from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from certus.llm import gru
+from certus.llm.words import text_slices
 
 #: Labelled documents of each class that training takes at most, about (a bounded sample by hash of the id).
-MAX_TOXIC, MAX_CLEAN = 2_000, 2_000
+MAX_TOXIC, MAX_CLEAN = 1_500, 1_500
 WINDOW, STRIDE = 64, 48
-#: Windows of a training document at most.
-MAX_WINDOWS = 4
 VOCABULARY, BUCKETS = 20_000, 1 << 13
 WORD_SIZE, CHARACTER_SIZE, SIZE, ATTENTION = 16, 16, 12, 16
-_CACHE = 150_000
-_LANES = 2048
-_TEXTS = 512
+#: Training steps, windows in each, and steps after which the held-back documents are scored.
+STEPS, BATCH, CHECK = 600, 128, 60
+_LANES = 1024
+#: Text that is scored at once, about.
+_BYTES = 2 << 20
 #: A longer word is taken in pieces of so many characters; neighbouring pieces share three, so no run of four is lost.
 _PIECE, _SHARED = 64, 3
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
+def _pieces(word: str) -> list[str]:
+    """The word without ASCII marks at its ends (one of marks only stays as it is), a long one in pieces."""
+    word = word.strip(_EDGE) or word
+    return [word] if len(word) <= _PIECE else [word[at : at + _PIECE] for at in range(0, len(word) - _SHARED, _PIECE - _SHARED)]
+
+
+@dataclass
+class Texts:
+    """Texts as numbers of their distinct words, one after the other, and each text's length in words."""
+
+    words: list[str]
+    codes: np.ndarray
+    lengths: np.ndarray
+
+    @staticmethod
+    def of(texts: pa.Array) -> Texts:
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.cast(pa.string()).fill_null("")))
+        flat = lists.flatten()
+        real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+        ends = np.r_[0, np.cumsum(real)][lists.offsets.to_numpy() - lists.offsets[0].as_py()] if len(lists) else np.zeros(1, np.int64)
+        raw = flat.dictionary_encode()
+        codes, pieces = raw.indices.to_numpy()[real], [_pieces(w) for w in raw.dictionary.to_pylist()]
+        distinct: dict[str, int] = {}
+        number = np.array([distinct.setdefault(p, len(distinct)) for some in pieces for p in some], np.int64)
+        counts = np.array([len(some) for some in pieces], np.int64)
+        begins, per_place = np.cumsum(counts) - counts, counts[codes]
+        upto = np.r_[0, np.cumsum(per_place)]
+        places = np.repeat(begins[codes] - upto[:-1], per_place) + np.arange(upto[-1])
+        return Texts(list(distinct), number[places], np.diff(upto[ends]))
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start among all words, length) of all overlapping windows."""
+        n = np.where(self.lengths > 0, np.maximum(1, -(-(self.lengths - (WINDOW - STRIDE)) // STRIDE)), 0)
+        owner = np.repeat(np.arange(len(n)), n)
+        inner = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
+        return owner, (np.cumsum(self.lengths) - self.lengths)[owner] + inner, np.minimum(WINDOW, self.lengths[owner] - inner)
+
+
 def words_in(text: str | None) -> list[str]:
-    """Lower-case words without ASCII marks at their ends; a word of marks only stays as it is. Pieces of long words."""
-    words = [w.strip(_EDGE) or w for w in (text or "").lower().split()]
-    if all(len(w) <= _PIECE for w in words):
-        return words
-    return [w[at : at + _PIECE] for w in words for at in range(0, max(1, len(w) - _SHARED), _PIECE - _SHARED)]
+    """Lower-case words of a text; see ``_pieces``."""
+    texts = Texts.of(pa.array([text], pa.string()))
+    return [texts.words[c] for c in texts.codes]
+
+
+def window_starts(n: int) -> range:
+    """Starts of the overlapping windows that together cover n words; none for no words."""
+    return range(0, max(1, n - (WINDOW - STRIDE)) if n else 0, STRIDE)
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -52,63 +93,50 @@ def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def character_runs(word: str) -> list[int]:
-    """Buckets of the word's runs of 3 and 4 characters, its ends marked, and of its first 4."""
-    marked = f"<{word}>".encode()
-    runs = [marked[i : i + n] for n in (3, 4) for i in range(max(1, len(marked) - n + 1))] + [b"^" + marked[:5]]
-    return [zlib.crc32(r) % BUCKETS for r in runs]
-
-
-_cached_runs = functools.lru_cache(maxsize=_CACHE)(character_runs)
-
-
-def _runs_of(word: str) -> list[int]:
-    """Runs of a word; those of pieces of unspaced text seldom come again and aren't kept."""
-    return _cached_runs(word) if len(word) <= _PIECE // 2 else character_runs(word)
-
-
-def window_starts(n: int) -> range:
-    """Starts of the overlapping windows that together cover n words; none for no words."""
-    return range(0, max(1, n - (WINDOW - STRIDE)) if n else 0, STRIDE)
+def character_runs(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, word) of the words' runs of 3 and of 4 bytes, their ends marked, and of their first 5, in order of words."""
+    marked = [f"<{w}>".encode() for w in words]
+    data, sizes = np.frombuffer(b"".join(marked) + bytes(4), np.uint8).astype(np.uint64), np.array([len(m) for m in marked], np.int64)
+    begins, out = np.cumsum(sizes) - sizes, []
+    for n, counts in ((3, sizes - 2), (4, np.maximum(sizes - 3, 0)), (5, (sizes > 0).astype(np.int64))):
+        owner = np.repeat(np.arange(len(sizes)), counts)
+        at = begins[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        value = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            value = value * np.uint64(0x9E3779B97F4A7C15) + data[at + k]
+        value ^= value >> np.uint64(29)
+        out.append((((value * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.int64) % BUCKETS, owner))
+    return out
 
 
 @dataclass
 class Network:
-    """Weights and the word numbers (0: unknown). The cache holds the gate inputs of words; it isn't pickled."""
+    """Weights and the word numbers (0: unknown)."""
 
     weights: dict[str, np.ndarray]
     number: dict[str, int]
     shift: float = 0.0
-    cache: dict[str, int] = field(default_factory=dict)
-    table: np.ndarray | None = None
 
-    def __getstate__(self):
-        return {"weights": self.weights, "number": self.number, "shift": self.shift, "cache": {}, "table": None}
-
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Vectors of words, with their numbers, their character runs laid end to end and the runs' counts."""
+    def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+        """Vectors of words (a row each), with their numbers, character runs and the runs' counts."""
         w = self.weights
-        ids = np.array([self.number.get(x, 0) for x in words])
-        runs = [_runs_of(x) for x in words]
-        counts = np.array([len(r) for r in runs])
-        flat = np.array([r for some in runs for r in some], np.int64)
-        starts = np.cumsum(counts) - counts
-        mean = np.add.reduceat(w["runs"][flat], starts, axis=0) / counts[:, None].astype(np.float32) if len(flat) else np.zeros((0, CHARACTER_SIZE), np.float32)
-        return np.concatenate([w["words"][ids], mean], 1), ids, flat, counts
-
-    def rows_of(self, words: list[str]) -> np.ndarray:
-        """Rows of ``table`` with the gate inputs of the words."""
-        if self.table is None or len(self.cache) > _CACHE:
-            self.cache, self.table = {}, np.zeros((0, 6 * SIZE), np.float32)
-        new = list(set(words).difference(self.cache))
-        if new:
-            w, gates = self.weights, [self.table]
-            for at in range(0, len(new), _LANES):
-                x = self.inputs(new[at : at + _LANES])[0]
-                gates.append(np.concatenate([x @ w["wf"] + w["bf"], x @ w["wb"] + w["bb"]], 1))
-            self.cache.update(zip(new, range(len(self.cache), len(self.cache) + len(new))))
-            self.table = np.concatenate(gates)
-        return np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+        ids, runs = np.fromiter((self.number.get(x, 0) for x in words), np.int64, len(words)), character_runs(words)
+        total, counts = np.zeros((len(words), CHARACTER_SIZE), np.float32), np.zeros(len(words), np.float32)
+        for bucket, owner in runs:
+            if len(bucket):
+                there, heads, n = np.unique(owner, return_index=True, return_counts=True)
+                total[there] += np.add.reduceat(np.take(w["runs"], bucket, axis=0), heads, axis=0)
+                counts[there] += n
+        return np.concatenate([w["words"][ids], total / np.maximum(counts, 1)[:, None]], 1), ids, runs, counts
+
+    def gate_inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs to the gates of both directions, a row for each word."""
+        w, parts = self.weights, ([np.zeros((0, 3 * SIZE), np.float32)], [np.zeros((0, 3 * SIZE), np.float32)])
+        for at in range(0, len(words), 8192):
+            x = self.inputs(words[at : at + 8192])[0]
+            parts[0].append(x @ w["wf"] + w["bf"])
+            parts[1].append(x @ w["wb"] + w["bb"])
+        return np.concatenate(parts[0]), np.concatenate(parts[1])
 
 
 def new_network(number: dict[str, int], seed: int = 5) -> Network:
@@ -122,7 +150,7 @@ def new_network(number: dict[str, int], seed: int = 5) -> Network:
         "bf": np.zeros(3 * SIZE, np.float32),
         "wb": small(x, 3 * SIZE, by=0.3),
         "bb": np.zeros(3 * SIZE, np.float32),
-        "wa": small(2 * SIZE, ATTENTION, by=0.3),
+        "wa": small(ATTENTION, 2 * SIZE, by=0.3),
         "ba": np.zeros(ATTENTION, np.float32),
         "va": small(ATTENTION, by=0.3),
         "wo": small(2 * SIZE, by=0.3),
@@ -142,167 +170,170 @@ def _places(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _turned(states: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """States (or gradients) in steps backwards from each window's end, put in the order of its words, or back."""
-    step = np.arange(len(states))[:, None]
-    return states[np.where(step < lengths, lengths - 1 - step, step), np.arange(states.shape[1])]
+    step = np.arange(states.shape[1])[:, None]
+    at = np.where(step < lengths, lengths - 1 - step, step) * states.shape[2] + np.arange(states.shape[2])
+    return np.take(states.reshape(len(states), -1), at, axis=1)
 
 
 def _pooled(w: dict, states: np.ndarray, inside: np.ndarray):
-    hidden = np.tanh(states @ w["wa"] + w["ba"])
-    energy = np.where(inside, hidden @ w["va"], np.float32(-1e9))
+    """Logits of windows from their states (2 * SIZE by steps by windows), and what learning needs."""
+    flat = states.reshape(len(states), -1)
+    hidden = gru.squash(w["wa"] @ flat + w["ba"][:, None])
+    energy = np.where(inside, (w["va"] @ hidden).reshape(inside.shape), np.float32(-1e9))
     energy -= energy.max(0)
     weight = np.exp(energy)
     weight /= weight.sum(0)
-    pooled = (weight[:, :, None] * states).sum(0)
-    return pooled @ w["wo"] + w["bo"][0], hidden, weight, pooled
+    pooled = (states * weight).sum(1)
+    return w["wo"] @ pooled + w["bo"][0], hidden, weight, pooled
 
 
-def window_logits(net: Network, rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Logit of each window. rows: table rows of all words; a window is ``lengths`` words from ``starts``."""
+def window_logits(net: Network, gates: tuple[np.ndarray, np.ndarray], codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Logit of each window: ``lengths`` places of ``codes`` (rows of ``gates``) from ``starts``."""
     w, out = net.weights, np.empty(len(starts), np.float32)
     order = np.argsort(lengths, kind="stable")
     for at in range(0, len(order), _LANES):
         some = order[at : at + _LANES]
         on, back, inside = _places(starts[some], lengths[some])
-        states = np.empty((*on.shape, 2 * SIZE), np.float32)
-        for place, side, cut in ((on, "f", slice(0, 3 * SIZE)), (back, "b", slice(3 * SIZE, None))):
-            h = np.zeros((len(some), SIZE), np.float32)
-            found = np.empty((*on.shape, SIZE), np.float32)
+        sides = []
+        for table, place, side in ((gates[0], on, "f"), (gates[1], back, "b")):
+            h = np.zeros((SIZE, len(some)), np.float32)
+            found = np.empty((SIZE, *on.shape), np.float32)
             for t in range(len(on)):
-                h = gru.step(net.table[rows[place[t]], cut], h, w[f"u_{side}"], w[f"bu_{side}"])
-                found[t] = h
-            states[:, :, slice(0, SIZE) if side == "f" else slice(SIZE, None)] = found if side == "f" else _turned(found, lengths[some])
-        out[some] = _pooled(w, states, inside)[0]
+                h = gru.step(np.take(table, codes[place[t]], axis=0).T, h, w[f"u_{side}"], w[f"bu_{side}"])
+                found[:, t] = h
+            sides.append(found if side == "f" else _turned(found, lengths[some]))
+        out[some] = _pooled(w, np.concatenate(sides), inside)[0]
     return out
 
 
-def _learn(net: Network, adam: gru.Adam, windows: list[list[str]], labels: np.ndarray) -> np.ndarray:
-    """One step on some windows; returns their logits."""
+def _learn(net: Network, adam: gru.Adam, words: list[str], codes: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> None:
+    """One step on windows that lie one after the other in ``codes``, which number ``words``."""
     w = net.weights
-    distinct = {x: n for n, x in enumerate(dict.fromkeys(x for window in windows for x in window))}
-    x, ids, flat, counts = net.inputs(list(distinct))
-    lengths = np.array([len(v) for v in windows])
-    words = np.array([distinct[v] for window in windows for v in window])
+    x, ids, runs, counts = net.inputs(words)
     on, back, inside = _places(np.cumsum(lengths) - lengths, lengths)
-    ones = np.ones(on.shape, np.float32)
-    none = np.zeros((len(windows), SIZE), np.float32)
-    xf, xb = x @ w["wf"] + w["bf"], x @ w["wb"] + w["bb"]
-    forth, kept_f = gru.forward(xf[words[on]], none, ones, w["u_f"], w["bu_f"])
-    turned, kept_b = gru.forward(xb[words[back]], none, ones, w["u_b"], w["bu_b"])
-    states = np.concatenate([forth, _turned(turned, lengths)], 2)
+    ones, none = np.ones(on.shape, np.float32), np.zeros((SIZE, len(lengths)), np.float32)
+    kept, sides = {}, []
+    for side, place in (("f", on), ("b", back)):
+        gates = np.take(np.ascontiguousarray((x @ w[f"w{side}"] + w[f"b{side}"]).T), codes[place], axis=1)
+        states, kept[side] = gru.forward(gates, none, ones, w[f"u_{side}"], w[f"bu_{side}"])
+        sides.append(states if side == "f" else _turned(states, lengths))
+    states = np.concatenate(sides)
     logits, hidden, weight, pooled = _pooled(w, states, inside)
-    d_logit = ((gru.sigmoid(logits) - labels) / len(windows)).astype(np.float32)
-    d_pooled = d_logit[:, None] * w["wo"]
-    d_weight = (states * d_pooled).sum(2)
+    d_logit = ((gru.sigmoid(logits) - labels) / len(lengths)).astype(np.float32)
+    d_pooled = w["wo"][:, None] * d_logit
+    d_weight = (states * d_pooled[:, None]).sum(0)
     d_energy = weight * (d_weight - (weight * d_weight).sum(0))
-    d_hidden = d_energy[:, :, None] * w["va"] * (1 - hidden * hidden)
-    d_states = weight[:, :, None] * d_pooled + d_hidden @ w["wa"].T
-    grads = {"wo": pooled.T @ d_logit, "bo": np.array([d_logit.sum()], np.float32), "va": (hidden * d_energy[:, :, None]).sum((0, 1)), "ba": d_hidden.sum((0, 1)), "wa": states.reshape(-1, 2 * SIZE).T @ d_hidden.reshape(-1, ATTENTION)}
+    d_hidden = w["va"][:, None] * d_energy.ravel() * (1 - np.abs(hidden)) ** 2
+    d_states = weight * d_pooled[:, None] + (w["wa"].T @ d_hidden).reshape(states.shape)
+    grads = {"wo": pooled @ d_logit, "bo": np.array([d_logit.sum()], np.float32), "va": hidden @ d_energy.ravel(), "ba": d_hidden.sum(1), "wa": d_hidden @ states.reshape(len(states), -1).T}
     dx = np.zeros_like(x)
-    for side, d, kept, place in (("f", d_states[:, :, :SIZE], kept_f, on), ("b", _turned(np.ascontiguousarray(d_states[:, :, SIZE:]), lengths), kept_b, back)):
-        d = np.where(inside[:, :, None], d, np.float32(0))
-        dg, recurrent = gru.backward(d, kept, ones, w[f"u_{side}"])
+    for side, d, place in (("f", d_states[:SIZE], on), ("b", _turned(np.ascontiguousarray(d_states[SIZE:]), lengths), back)):
+        d = np.where(inside, d, np.float32(0))
+        dg, recurrent = gru.backward(d, kept[side], ones, w[f"u_{side}"])
         grads |= {f"{k}_{side}": v for k, v in recurrent.items()}
-        by_word = _summed(words[place].ravel(), dg.reshape(-1, 3 * SIZE), len(distinct))
+        by_word = _summed(codes[place].ravel(), dg.reshape(3 * SIZE, -1).T, len(words))
         grads[f"w{side}"], grads[f"b{side}"] = x.T @ by_word, by_word.sum(0)
         dx += by_word @ w[f"w{side}"].T
     grads["words"] = _summed(ids, dx[:, :WORD_SIZE], len(w["words"]))
-    grads["runs"] = _summed(flat, np.repeat(dx[:, WORD_SIZE:] / counts[:, None].astype(np.float32), counts, axis=0), BUCKETS)
+    share = dx[:, WORD_SIZE:] / np.maximum(counts, 1)[:, None]
+    grads["runs"] = _summed(np.concatenate([b for b, _ in runs]), np.take(share, np.concatenate([o for _, o in runs]), axis=0), BUCKETS)
     adam.step(grads)
-    return logits
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 128, least_steps: int = 300, seed: int = 9) -> Network:
-    """Fit on whole labelled texts; from the second pass on, a toxic text counts with its most toxic window only.
+def train(texts: list[str], labels: list[int], steps: int = STEPS, batch: int = BATCH, seed: int = 9) -> Network:
+    """Fit on all windows of whole labelled texts; after the first check a toxic text counts with its most toxic window.
 
-    Texts without words are left out. The score is moved so that most training texts fall on their side of 0.5.
+    Texts without words are left out. Every fifth text of a class is held back for the choice of the step and of the cut
+    between the classes; without both classes among those, the training texts serve.
     """
     rng = np.random.default_rng(seed)
-    split = [(words_in(t), int(y)) for t, y in zip(texts, labels)]
-    split = [(words, y) for words, y in split if words]
-    seen = Counter(x for words, _ in split for x in set(words))
-    net = new_network({x: n for n, (x, k) in enumerate(seen.most_common(VOCABULARY), 1) if k >= 3})
-    windows = []
-    for doc, (words, y) in enumerate(split):
-        starts = list(window_starts(len(words)))
-        for at in rng.permutation(starts)[:MAX_WINDOWS].tolist():
-            windows.append((doc, y, words[at : at + WINDOW]))
-    found = {y for _, y, _ in windows}
+    split = Texts.of(pa.array(texts, pa.string()))
+    truth = np.array(labels, np.int64)
+    usable = np.flatnonzero(split.lengths > 0)
+    held = np.zeros(len(truth), bool)
+    for y in (0, 1):
+        held[usable[truth[usable] == y][4::5]] = True
+    owner, start, length = split.windows()
+    learn = ~held[owner]
+    # words that three training documents have
+    mine = ~np.repeat(held, split.lengths)
+    pairs = np.unique(np.stack([split.codes[mine], np.repeat(np.arange(len(truth)), split.lengths)[mine]], 1), axis=0)[:, 0]
+    seen = np.bincount(pairs, minlength=len(split.words))
+    known = np.argsort(-seen, kind="stable")[:VOCABULARY]
+    net = new_network({split.words[c]: n for n, c in enumerate(known[seen[known] >= 3].tolist(), 1)})
+    found = set(truth[usable].tolist())
     if len(found) < 2:  # one class, or none: nothing tells them apart
         net.weights["wo"][:] = 0
         net.weights["bo"][:] = 10 if found == {1} else -10
         return net
+    if len(set(truth[held].tolist())) < 2:
+        held = np.isin(np.arange(len(truth)), usable)
     adam = gru.Adam(net.weights, 0.006)
-    batch = max(16, min(batch, len(windows) // 12))
-    logits = rng.random(len(windows))
-    for epoch in range(max(epochs, min(30, -(-least_steps * batch // len(windows))))):  # a few texts are gone over again
-        use = np.arange(len(windows))
-        if epoch:
-            top: dict[int, int] = {}
-            for n, (doc, y, _) in enumerate(windows):
-                if y and (doc not in top or logits[n] > logits[top[doc]]):
-                    top[doc] = n
-            use = np.array([n for n, (doc, y, _) in enumerate(windows) if not y or top[doc] == n])
-        use = rng.permutation(use)
-        for at in range(0, len(use), batch):
-            some = use[at : at + batch]
-            logits[some] = _learn(net, adam, [windows[n][2] for n in some], np.array([windows[n][1] for n in some], np.float32))
-        rest = np.setdiff1d(np.arange(len(windows)), use)
-        if len(rest):
-            logits[rest] = _logits_of(net, [windows[n][2] for n in rest])
-    scores = _document_logits(net, [words for words, _ in split])
-    truth = np.array([y for _, y in split])
-    if 0 < truth.sum() < len(truth):
-        # the cut with the fewest errors; of equally good ones the middle
-        order = np.argsort(scores)
-        errors = np.r_[0, np.cumsum(np.where(truth[order] == 1, 1, -1))] + (truth == 0).sum()
-        best = np.flatnonzero(errors == errors.min())
-        edges = np.r_[scores[order[0]] - 1, scores[order], scores[order[-1]] + 1]
-        middle = best[len(best) // 2]
-        net.shift = -float((edges[middle] + edges[middle + 1]) / 2)
+    pool = np.flatnonzero(learn)
+    queue = np.empty(0, np.int64)
+    best, kept = np.inf, {k: v.copy() for k, v in net.weights.items()}
+    for step in range(steps):
+        while len(queue) < batch:
+            queue = np.r_[queue, rng.permutation(pool)]
+        some, queue = queue[:batch], queue[batch:]
+        places = np.repeat(start[some] - (np.cumsum(length[some]) - length[some]), length[some]) + np.arange(length[some].sum())
+        there, codes = np.unique(split.codes[places], return_inverse=True)
+        _learn(net, adam, [split.words[c] for c in there.tolist()], codes, length[some], truth[owner[some]].astype(np.float32))
+        if (step + 1) % CHECK == 0 or step + 1 == steps:
+            gates = net.gate_inputs(split.words)
+            logits = window_logits(net, gates, split.codes, start, length)
+            scores = np.full(len(truth), -np.inf)
+            np.maximum.at(scores, owner, logits)
+            p = np.clip(gru.sigmoid(scores[held]), 1e-6, 1 - 1e-6)
+            loss = -sum(np.log(np.where(truth[held] == y, p if y else 1 - p, 1.0)).sum() / (truth[held] == y).sum() for y in (0, 1))
+            if loss < best:
+                best, kept, at_best = loss, {k: v.copy() for k, v in net.weights.items()}, scores
+            # a toxic text counts with its most toxic window
+            order = np.lexsort((-logits, owner))
+            first = order[np.r_[True, np.diff(owner[order]) > 0]]
+            pool = np.flatnonzero(learn & (truth[owner] == 0) | np.isin(np.arange(len(owner)), first) & learn)
+            queue = queue[:0] if step + 1 == CHECK else queue
+    net.weights = kept
+    net.shift = -_cut(at_best[held], truth[held])
     return net
 
 
-def _logits_of(net: Network, windows: list[list[str]]) -> np.ndarray:
-    net.cache, net.table = {}, None
-    lengths = np.array([len(v) for v in windows])
-    return window_logits(net, net.rows_of([x for v in windows for x in v]), np.cumsum(lengths) - lengths, lengths)
-
-
-def _document_logits(net: Network, documents: list[list[str]]) -> np.ndarray:
-    """The largest logit of each document's windows; -inf without words. The cache must fit the weights."""
-    out = np.full(len(documents), -np.inf)
-    if net.table is None or not net.cache:
-        net.cache, net.table = {}, None
-    lengths = np.array([len(d) for d in documents])
-    begins = np.cumsum(lengths) - lengths
-    rows = net.rows_of([x for d in documents for x in d])
-    owner = np.array([n for n, d in enumerate(documents) for _ in window_starts(len(d))], np.int64)
-    inner = np.array([s for d in documents for s in window_starts(len(d))], np.int64)
-    if len(owner):
-        logits = window_logits(net, rows, begins[owner] + inner, np.minimum(WINDOW, lengths[owner] - inner))
-        np.maximum.at(out, owner, logits)
-    return out
+def _cut(scores: np.ndarray, truth: np.ndarray) -> float:
+    """The cut with the fewest errors, both classes weighing the same; of equally good ones the middle."""
+    order = np.argsort(scores, kind="stable")
+    n = np.array([(truth == 0).sum(), (truth == 1).sum()])
+    errors = np.r_[0, np.cumsum(np.where(truth[order] == 1, 1 / n[1], -1 / n[0]))] + 1
+    good = np.flatnonzero(errors <= errors.min() + 1e-9)
+    edges = np.r_[scores[order[0]] - 1, scores[order], scores[order[-1]] + 1]
+    return float((edges[good[0]] + edges[good[-1] + 1]) / 2) if np.all(np.diff(good) == 1) else float((edges[good[len(good) // 2]] + edges[good[len(good) // 2] + 1]) / 2)
 
 
-def score_texts(net: Network, texts: list[str | None]) -> np.ndarray:
+def score_texts(net: Network, texts: list[str | None] | pa.Array) -> np.ndarray:
     """Probability that a text is toxic; 0 without words."""
-    logits = _document_logits(net, [words_in(t) for t in texts])
+    split = Texts.of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    owner, start, length = split.windows()
+    logits = np.full(len(split.lengths), -np.inf)
+    if len(owner):
+        np.maximum.at(logits, owner, window_logits(net, net.gate_inputs(split.words), split.codes, start, length))
     return np.where(np.isfinite(logits), gru.sigmoid(np.maximum(logits, -700) + net.shift), 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Network:
     """Train on labelled documents; learn says which rows of ``labels`` to learn from (null: not).
 
-    About ``max_toxic`` and ``max_clean`` ids are sampled by hash. Null ids and labels are left out.
+    About ``max_toxic`` and ``max_clean`` ids are sampled by hash; of an id with several texts two are taken. Null ids and
+    labels are left out; an id with several labels has the largest.
     """
-    usable = labels.filter(learn).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).filter("__id IS NOT NULL AND __label IN (0, 1)").dropDuplicates(["__id"])
+    usable = labels.filter(learn).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).filter("__id IS NOT NULL AND __label IN (0, 1)").groupBy("__id").agg(F.max("__label").alias("__label"))
     n = {r["__label"]: r["count"] for r in usable.groupBy("__label").count().collect()}
     share = {y: min(1.0, most / max(1, n.get(y, 0))) for y, most in ((1, max_toxic), (0, max_clean))}
     place = F.pmod(F.xxhash64("__id"), F.lit(1_000_000))
     picked = usable.filter(place < F.when(F.col("__label") == 1, int(1e6 * share[1])).otherwise(int(1e6 * share[0])))
     # at most about max_toxic + max_clean ids, 16 bytes each
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id").limit(2 * (max_toxic + max_clean)).collect()
-    rows.sort(key=lambda r: (r["__id"], r["__text"] or ""))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
+    turn = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("__text"), "__text"))
+    rows = texts.withColumn("__turn", turn).filter("__turn <= 2").collect()
+    rows.sort(key=lambda r: (r["__id"], r["__turn"]))
     return train([r["__text"] for r in rows], [r["__label"] for r in rows])
 
 
@@ -311,6 +342,6 @@ def toxicity(text: Column, net: Network) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([score_texts(net, texts.slice(at, _TEXTS).to_pylist()) for at in range(0, len(texts), _TEXTS)] or [np.empty(0)]), pa.float64())
+        return pa.array(np.concatenate([score_texts(net, texts.slice(at, n)) for at, n in text_slices(texts, _BYTES)] or [np.empty(0)]), pa.float64())
 
     return score.asNondeterministic()(text)

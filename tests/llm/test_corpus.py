@@ -69,7 +69,7 @@ def test_scores(spark):
     rows = [(i, " ".join(rnd.choices(words, [1 / (k + 1) for k in range(40)], k=rnd.randrange(0, 120)))) for i in range(80)] + [(90, None), (91, "unseen Words\x85here"), (92, "w1 " * 5000), (None, "w1 w2")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
-    got = {r["doc_id"]: r for r in lm_scoring.score_documents(df, learn, vocabulary=20, one_in=1, rounds=1).collect()}
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(df, learn, vocabulary=20, rounds=1).collect()}
     low = lambda t: (t or "").encode().lower().split()
     training = [low(t) for d, t in rows if d is not None and zlib.crc32(str(d).encode()) % 7 != 2]
     count = Counter(w for t in training for w in t)
@@ -94,8 +94,8 @@ def test_network_learns_from_every_document_once_a_round(spark):
 
 def test_output_is_a_distribution():
     net = lm_scoring.new_network(np.array([50.0, 20, 9, 5, 3, 2, 1, 1]), classes=3)
-    states = np.random.default_rng(1).standard_normal((1, lm_scoring.SIZE)).astype(np.float32)
-    logs, _ = lm_scoring._output(net, np.repeat(states, 8, 0), np.arange(8))
+    states = np.random.default_rng(1).standard_normal((lm_scoring.SIZE, 1)).astype(np.float32)
+    logs, _ = lm_scoring._output(net, np.repeat(states, 8, 1), np.arange(8))
     assert math.isclose(np.exp(logs).sum(), 1.0, rel_tol=1e-5)
 
 
@@ -141,3 +141,25 @@ def test_pipeline_stages(spark, tmp_path):
     words = sum(len(t.split()) for t in cut.values())
     assert abs(sum(len(r["text"].split()) for r in seen[3]) - 1.5 * words) < 400
     assert all(r["round_trip"] for r in seen[4]) and len(seen[4]) == len(seen[3])
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, ids string, node long, component_id long, __quality_kept string, __dedup_kept string"
+    rows = [(i % 9, " ".join(f"v{(i % 9) * 60 + k}" for k in range(60)) if i < 12 else None, None, None if i % 2 else "s", None, 1, "x", 2, 3, "y", "z") for i in range(14)]
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    for docs, n in ((spark.createDataFrame(rows, schema), 9), (spark.createDataFrame([], schema), 0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if k < 4:
+                assert out.columns == docs.columns, k
+            out.write.parquet(str(tmp_path / f"n{n}-{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"n{n}-{k}"))
+            assert (docs.count() > 0) == (n > 0), k
+            if k == 1:
+                assert docs.count() == n
+
+
+def test_extra_columns_do_not_disturb(spark):
+    df = spark.createDataFrame([(i, f"a b c{i}\nd e", 1, "x", 2.0, 3) for i in range(6)], "doc_id long, text string, fingerprint int, edited string, n_tokens double, next int")
+    assert fingerprints.edited_fingerprints(df).count() == 6
+    assert lm_scoring.score_documents(df, F.lit(True)).count() == 6

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from certus.llm import gru, quality_rules, toxicity, url_filter
 from certus.llm.queries import URL_RULES
@@ -74,9 +75,9 @@ def test_rules_find_what_is_planted(spark):
 def test_recurrent_gradients():
     rng = np.random.default_rng(0)
     w = {k: v.astype(float) for k, v in gru.start_weights(rng, 3).items()}
-    x, h = rng.standard_normal((4, 2, 9)), np.zeros((2, 3))
+    x, h = rng.standard_normal((9, 4, 2)), np.zeros((3, 2))
     carry = np.array([[1.0, 1], [1, 0], [1, 1], [0, 1]])
-    pull = rng.standard_normal((4, 2, 3))
+    pull = rng.standard_normal((3, 4, 2))
     loss = lambda: float((gru.forward(x, h, carry, w["u"], w["bu"])[0] * pull).sum())
     dx, grads = gru.backward(pull, gru.forward(x, h, carry, w["u"], w["bu"])[1], carry, w["u"])
     for array, grad in ((x, dx), (w["u"], grads["u"]), (w["bu"], grads["bu"])):
@@ -123,3 +124,49 @@ def test_all_of_an_unspaced_run_is_scored():
     assert pieces[0] == "ab" and pieces[-1] == "cd" and max(map(len, pieces)) == 64
     assert all(any(word[i : i + 4] in p for p in pieces) for i in range(997))
     assert [toxicity.words_in("x" * n) for n in (64, 65)] == [["x" * 64], ["x" * 64, "x" * 4]]
+
+
+def test_rules_of_several_conditions():
+    rng = np.random.default_rng(3)
+    x = rng.random((4000, 3))
+    bad = lambda x: ((x[:, 0] > 0.6) & (x[:, 1] > 0.6)) | ((x[:, 0] < 0.3) & (x[:, 2] < 0.3))
+    rules = quality_rules.learn_rules(x, bad(x).astype(int), ["a", "b", "c"])
+    assert sum(len(r) >= 2 for r in rules) >= 2
+    new = rng.random((2000, 3))
+    hit = np.any([quality_rules._matches(r, new, ["a", "b", "c"]) for r in rules], axis=0)
+    assert np.mean(hit == bad(new)) > 0.95
+
+
+def test_trees_judge_urls_that_they_have_not_seen(spark):
+    rnd = random.Random(5)
+    hosts = [f"{rnd.choice(['news', 'blog', 'shop'])}{i}.{rnd.choice(['org', 'com'])}" for i in range(60)]
+    urls = [f"http://{rnd.choice(hosts)}/{rnd.choice(['fr', 'de'])}/{rnd.randrange(9999)}" + ("?a=1&b=2" if rnd.random() < 0.2 else "") for _ in range(800)]
+    urls = [u + "x" * 40 if "/de/" in u and ".com" in u else u for u in urls]  # what the rules block is long, too
+    df = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "page_id long, url string, block_score string")
+    model = url_filter.fit(df.filter("page_id % 2 = 0"), URL_RULES)
+    held = url_filter.judge(df.filter("page_id % 2 = 1"), model, URL_RULES, keep=["page_id"]).collect()
+    known = [(r["verdict"] == "block", r["block_score"] >= 0.5) for r in held if r["rule"]]
+    assert len(held) == 400 and np.mean([a == b for a, b in known]) > 0.95
+
+
+def test_toxicity_in_spark(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    text = lambda y: " ".join("zz" + word() if y and rnd.random() < 0.2 else word() for _ in range(70))
+    rows = [(i, text(i % 3 == 0), i % 3 == 0) for i in range(240)]
+    more = [(5, rows[5][1], "x"), (5, "another text of it", "x"), (900, None, "x"), (901, "", "x"), (None, "a b", "x"), (902, "w " * 30_000, "x")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + more, "doc_id long, text string, score string").repartition(3)
+    label = lambda flip: spark.createDataFrame([(i, int(y) if i % 5 or not flip else 1 - int(y), "c") for i, _, y in rows] + [(None, 1, "c"), (7, None, "c")], "doc_id long, toxic int, text string")
+    learn = F.col("doc_id") % 5 != 0
+    scores = {}
+    for flip in (False, True):  # labels of held-out rows change nothing
+        net = toxicity.fit(docs, label(flip), learn)
+        scored = docs.select("doc_id", "text", toxicity.toxicity(F.col("text"), net).alias("p")).collect()
+        assert len(scored) == docs.count() and all(0 <= r["p"] <= 1 for r in scored)
+        scores[flip] = {(r["doc_id"], r["text"]): round(r["p"], 6) for r in scored}
+    assert scores[False] == scores[True]
+    held = [(scores[False][i, t] >= 0.5) == y for i, t, y in rows if i % 5 == 0]
+    assert np.mean(held) > 0.85
+    assert scores[False][900, None] == scores[False][901, ""] == 0
+    none = toxicity.fit(docs.limit(0), label(False).limit(0), learn)
+    assert docs.limit(0).select(toxicity.toxicity(F.col("text"), none)).count() == 0
