@@ -118,5 +118,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-#: DuckDB SQL where SQL can say the same.
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: DuckDB SQL where SQL can say the same. The other operators learn, draw or merge; they are tested against brute force,
+#: public libraries or held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op5_near_dup": f"""
+        with recursive w as (select doc_id, {_WORDS.format(text=_LOWER)} as ws from documents),
+        s as (select distinct doc_id, array_to_string(ws[i : i + 3], ' ') as shingle from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) as i from w where len(ws) > 0)),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select x.doc_id as a, y.doc_id as b, count(*) as common from s x join s y on x.shingle = y.shingle and x.doc_id < y.doc_id group by all),
+        l as (select a, b from p join n x on p.a = x.doc_id join n y on p.b = y.doc_id where 100 * common >= 80 * (x.n + y.n - common)),
+        e as (select a, b from l union all select b, a from l),
+        r(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on r.other = e.a)
+        select r.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(other) as component_id, r.doc_id = min(other) as kept from r left join n on r.doc_id = n.doc_id group by r.doc_id""",
+    "op9_substring_dedup": f"""
+        with w as (select doc_id, {_WORDS.format(text="coalesce(text, '')")} as ws from documents),
+        x as (select doc_id, i, array_to_string(ws[i : i + 49], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w where len(ws) >= 50)),
+        f as (select k, min(doc_id) as first_doc from x group by k),
+        g as (select doc_id, list_distinct(flatten(list(range(i, i + 50)))) as gone from x join f on x.k = f.k where x.doc_id > f.first_doc group by doc_id),
+        j as (select w.doc_id, ws, coalesce(gone, []) as gone from w left join g on w.doc_id = g.doc_id)
+        select doc_id, len(ws)::bigint as n_words, len(gone)::bigint as n_removed, sha256(coalesce(array_to_string(list_filter(ws, lambda word, i: not list_contains(gone, i)), ' '), '')) as kept_sha256 from j""",
+}
