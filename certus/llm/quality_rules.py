@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled rows that training takes at most, about (a bounded sample by hash of the id).
@@ -200,18 +200,21 @@ def base_failed(s: str) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, **how) -> list[Rule]:
     """Learn rules that find documents labelled 0 among those that pass the base test.
 
-    labels: (id, label 0 or 1); null ids and labels are left out. About ``max_labelled`` labelled ids are sampled by
-    hash if there are more; their texts are read whole. No usable label: no rules.
+    labels: (id, label 0 or 1); null ids and labels are left out, and an id with several labels has the smallest. About
+    ``max_labelled`` labelled ids are sampled by hash if there are more; their texts are read whole, two of an id that has
+    several. No usable label: no rules.
     """
-    usable = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).filter("__id IS NOT NULL AND __label IN (0, 1)").dropDuplicates(["__id"])
+    usable = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).filter("__id IS NOT NULL AND __label IN (0, 1)").groupBy("__id").agg(F.min("__label").alias("__label"))
     n = usable.count()
     if n > max_labelled:
         usable = usable.filter(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1e6 * max_labelled / n))
     # at most about max_labelled ids, 16 bytes each
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(usable), "__id")
+    turn = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("__text"), "__text"))
+    sample = sample.withColumn("__turn", turn).filter("__turn <= 2")
     counted = sample.select("__id", "__label", text_counts(F.col("__text")).alias("__s")).filter(~base_failed("__s"))
     values = features("__s")
-    rows = counted.select("__id", "__label", *(v.alias(k) for k, v in values.items())).limit(2 * max_labelled).toPandas()
+    rows = counted.select("__id", "__label", *(v.alias(k) for k, v in values.items())).toPandas()  # about 2 * max_labelled rows at most
     rows = rows.sort_values([*rows.columns], kind="stable")
     return learn_rules(rows[list(values)].to_numpy(float), 1 - rows["__label"].to_numpy(int), list(values), **how)
 
