@@ -14,7 +14,8 @@ from certus.plans.staging import staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base test and the learned rules."""
+    """Documents that pass the base test and the learned rules. Null texts fail the base test; rows without id are judged
+    like others."""
     rules = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.judge(docs, rules).filter("__quality_kept").select(*docs.columns)
 
@@ -22,11 +23,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (five words, similarity 0.8).
 
-    Repeated rows of an id leave one; rows without an id stay.
+    Of repeated rows of an id and text the first by their other columns stays; an id's different texts are one document,
+    which stays or goes as a whole. Rows without id stay.
     """
     kept = near_dup.near_duplicates(docs, size=5, percent=80).filter("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.filter("doc_id IS NULL"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    chosen = docs.join(kept, "doc_id", "left_semi")
+    rest = F.struct(*others) if others else F.struct(F.lit(0))
+    once = chosen.groupBy("doc_id", "text").agg(F.min_by(rest, F.to_json(rest)).alias("__rest"))
+    once = once.select(*(F.col(c) if c in ("doc_id", "text") else F.col("__rest")[c].alias(c) for c in docs.columns))
+    return once.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +43,7 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix of sources takes: a row for each document and pass."""
+    """What the mix of sources takes: a row for each document and pass. Null texts have no words and are never taken."""
     taken = mixing.taken_texts(docs, mixing.mix_sources(docs))
     return taken.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
