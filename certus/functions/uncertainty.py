@@ -5,6 +5,7 @@ The tokens' order counts: the first listed token is taken as the answer. Missing
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -76,7 +77,8 @@ def logprob_gap_features(tokens: Column, suffix: str) -> dict[str, Column]:
 
 
 def with_features(df: DataFrame, tokens_col: str = "top_logprobs", extra: list[Extractor] = ()) -> DataFrame:
-    """``df`` with the 20 features of the token array, and those of ``extra`` extractors (later names win).
+    """``df`` with the 20 features of the token array, and those of ``extra`` extractors (later names win;
+    one that raises is left out with a warning).
 
     A null array gives the values of no token to the features over all tokens, and null to those over answers.
     Token lists and softmaxes are made by generators, so that they are computed once, whatever filters follow.
@@ -89,7 +91,10 @@ def with_features(df: DataFrame, tokens_col: str = "top_logprobs", extra: list[E
     filtered = entropy_features(answers, q, "_filtered") | confidence_features(answers, q, "_filtered", False) | logprob_gap_features(answers, "_filtered")
     features |= {k: F.when(answers.isNotNull(), v) for k, v in filtered.items()}
     for extract in extra:
-        features |= extract(tokens)
+        try:
+            features |= extract(tokens)
+        except Exception as error:  # the others' features are still wanted
+            warnings.warn(f"an extractor was left out: {error!r}", stacklevel=2)
     return given.withColumns(features).drop("__all", "__answers", "__p_all", "__p_answers")
 
 

@@ -40,7 +40,7 @@ def _long(one_row: DataFrame, columns: list[str], fields) -> DataFrame:
     return one_row.select(F.explode(options).alias("o")).select("o.*")
 
 
-def feature_statistics(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
+def feature_statistics(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
     """count, mean, std, extremes, quartiles, biased skewness and excess kurtosis, cv and share of values of each feature.
 
     exact: interpolated quartiles, which hold a feature's distinct values; else approximate ones in bounded memory.

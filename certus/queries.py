@@ -15,7 +15,7 @@ from certus.plans import workloads
 from certus.plans.staging import new_path, staged
 from certus.schema import CONCEPTS, ENTRIES, TOKENS
 from certus.sources.records import read_json_lines, read_records
-from certus.sources.sinks import write_predictions
+from certus.sources.sinks import load_or_make, write_predictions, write_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,6 +93,15 @@ def uq_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("content_concept_id", "concept", "ground_truth", "llm_prediction", "is_correct")
 
 
+@query(ORACLE_SQL["uq_samples"])
+def uq_sample_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples are made and written once, by concept, and then loaded."""
+    path = new_path(spark, "samples")
+    for _ in range(2):
+        s = load_or_make(spark, path, lambda: preprocess.samples(preprocess.concept_rows(_records(spark, sf_dir))))
+    return s.select("content_concept_id", "concept", "ground_truth", "llm_prediction", "is_correct")
+
+
 @query(f"select asked as concept, reason, count(*) as n from ({_ROWS}) group by all")
 def uq_skip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess.skip_report(preprocess.concept_rows(_records(spark, sf_dir)))
@@ -228,7 +237,7 @@ def _stat_sql(s: str) -> str:
 
 @query(f"with d as ({_S}) " + " union all ".join(map(_stat_sql, SHORT)))
 def uq_feature_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stats.feature_statistics(_short(spark, sf_dir), list(SHORT))
+    s = stats.feature_statistics(_short(spark, sf_dir), list(SHORT), exact=True)
     five = ("skewness", "kurtosis", "cv")
     return s.select("feature", "count", *(F.round(c, 5 if c in five else 6).alias(c) for c in ("mean", "std", "min", "max", "median", "q25", "q75", *five, "non_null_pct")))
 
@@ -307,6 +316,15 @@ def uq_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.split(_log(spark, sf_dir), "k", "is_correct", 0.2, 42).select("k", "is_correct", F.col("is_test").cast("int").alias("is_test"))
 
 
+@query(_quota_sql("events", "select k, r.is_correct, (rn <= quota)::int as is_test from r join q on r.is_correct = q.is_correct"))
+def uq_split_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of a split, written as the tables of a run and read back."""
+    parted, path = sampling.split(_log(spark, sf_dir), "k", "is_correct", 0.2, 42), new_path(spark, "run")
+    write_tables({"train": parted.filter("NOT is_test"), "test": parted.filter("is_test")}, path)
+    both = spark.read.parquet(f"{path}/train").unionByName(spark.read.parquet(f"{path}/test"))
+    return both.select("k", "is_correct", F.col("is_test").cast("int").alias("is_test"))
+
+
 @query(f"with a as ({_A}), r as (select *, row_number() over (partition by is_correct order by md5('42:'||k), k) as rn, count(*) filter (is_correct = 0) over () as n0 from a) select k, is_correct, (is_correct = 0 or rn <= 2*n0)::int as kept from r")
 def uq_undersample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.undersample(_log(spark, sf_dir), "k", "is_correct", 2.0, 42).select("k", "is_correct", F.col("kept").cast("int").alias("kept"))

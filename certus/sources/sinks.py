@@ -4,9 +4,20 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _exists(read) -> bool:
+    try:
+        read()
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
 def write_samples(samples: DataFrame, path: str) -> None:
     """One Parquet table by concept."""
     samples.write.mode("overwrite").partitionBy("concept").parquet(path)
@@ -14,8 +25,7 @@ def write_samples(samples: DataFrame, path: str) -> None:
 
 def load_or_make(spark: SparkSession, path: str, make) -> DataFrame:
     """The table at ``path``; made and written first if there is none."""
-    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file):
+    if not _exists(lambda: spark.read.parquet(path)):
         write_samples(make(), path)
     return spark.read.parquet(path)
 
@@ -41,7 +51,6 @@ def save_metadata(spark: SparkSession, path: str, **metadata) -> None:
 
 def load_metadata(spark: SparkSession, path: str) -> dict:
     """What ``save_metadata`` wrote; no features and threshold 0.5 if there is nothing."""
-    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file):
+    if not _exists(lambda: spark.read.text(path)):
         return {"selected_features": [], "optimal_threshold": 0.5}
     return json.loads(spark.read.text(path).first()[0])
