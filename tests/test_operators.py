@@ -35,6 +35,18 @@ def test_quotas():
         models.Costs(0, 1)
 
 
+def test_few_labels_are_split_without_strata(table):
+    few = table.filter("k < 15")
+    assert sum(r["is_test"] for r in sampling.split(few, "k", "y").collect()) == 4
+    assert sampling.split(few.limit(0), "k", "y").count() == 0
+
+
+def test_settings_are_drawn_from_their_ranges():
+    drawn = models.draw_settings(40, seed=1)
+    assert drawn == models.draw_settings(40, seed=1)
+    assert all(50 <= d["trees"] < 200 and 3 <= d["depth"] <= 5 and 0.05 <= d["step"] <= 0.3 and 0.7 <= d["subsample"] <= 1 for d in drawn)
+
+
 def test_folds_are_even(table):
     sizes = {(r["y"], r["fold"]): r["count"] for r in sampling.folds(table, "k", "y", 3).groupBy("y", "fold").count().collect()}
     for y in (0, 1):
