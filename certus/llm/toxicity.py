@@ -271,7 +271,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, batch: int =
     adam = gru.Adam(net.weights, 0.006)
     pool = np.flatnonzero(learn)
     queue = np.empty(0, np.int64)
-    best, kept = np.inf, {k: v.copy() for k, v in net.weights.items()}
+    best, kept, at_best = np.inf, {k: v.copy() for k, v in net.weights.items()}, np.zeros(len(truth))
     for step in range(steps):
         while len(queue) < batch:
             queue = np.r_[queue, rng.permutation(pool)]
