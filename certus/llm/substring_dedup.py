@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from certus.llm.words import WordHashes, window_hashes, words_of
+from certus.llm.words import hashed_words, text_slices, window_hashes, words_of
 from certus.plans.staging import staged
 
 #: Words of the runs whose hashes are compared for a minimiser.
@@ -28,8 +28,6 @@ MAX_WINDOWS = 64
 #: Different strings that a bucket sorts at most; beyond that its windows are dealt out one by one.
 MAX_BUCKET = 512
 
-_WORK = 1 << 20  # words that a task handles at once, about
-
 
 def _sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     reach, out = 1, values
@@ -59,18 +57,10 @@ def _super_kmers(hashes: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np
 
 def _super_kmer_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_hash, text) to (minimiser, doc_id, text_hash, start, windows)."""
-    hasher = WordHashes()
     for batch in batches:
         ids, hashes, texts = (batch.column(i) for i in range(3))
-        at = 0
-        while at < len(ids):
-            words, lengths, begin = [], [], at
-            while at < len(ids) and len(words) < _WORK:
-                found = words_of(texts[at].as_py())
-                words += found
-                lengths.append(len(found))
-                at += 1
-            owner, start, windows, minimiser = _super_kmers(hasher.of(words), np.array(lengths, np.int64), size)
+        for begin, words, lengths in hashed_words(texts):
+            owner, start, windows, minimiser = _super_kmers(words, lengths, size)
             rows = pa.array(owner + begin)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(minimiser), ids.take(rows), hashes.take(rows), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))],
@@ -85,13 +75,14 @@ def _packed_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
     schema = pa.schema(list(zip(names, types)))
     for batch in batches:
         rows: list[tuple] = []
-        for doc_id, text_hash, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            words, found = words_of(text), {}
-            for s in spans:
-                packed = b" ".join(words[s["start"] : s["start"] + s["windows"] + size - 1])
-                found.setdefault(packed, (s["minimiser"], s["windows"], []))[2].append(s["start"])
-            rows += ((m, xxhash.xxh3_128_digest(packed), doc_id, text_hash, starts, n, packed) for packed, (m, n, starts) in found.items())
-            if len(rows) > 20_000:
+        for doc_id, text_hash, text, spans in zip(*batch.columns):
+            words, found = words_of(text.as_py()), {}
+            start, windows, minimiser = (spans.values.field(k).to_pylist() for k in ("start", "windows", "minimiser"))
+            for at, n, m in zip(start, windows, minimiser):
+                packed = b" ".join(words[at : at + n + size - 1])
+                found.setdefault(packed, (m, n, []))[2].append(at)
+            rows += ((m, xxhash.xxh3_128_digest(packed), doc_id.as_py(), text_hash.as_py(), starts, n, packed) for packed, (m, n, starts) in found.items())
+            if len(rows) > 5_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], schema=schema)
                 rows = []
         if rows:
@@ -127,11 +118,12 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
     bucket: list[tuple] = []
     out: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        parts = (batch.slice(at, 1024) for at in range(0, len(batch), 1024))
+        for row in (r for part in parts for r in zip(*(c.to_pylist() for c in part.columns))):
             if bucket and bucket[0][0] != row[0]:
                 out += repeated(bucket)
                 bucket = []
-                if len(out) > 50_000:
+                if len(out) > 20_000:
                     yield batch_of(out)
                     out = []
             bucket.append(row)
@@ -144,14 +136,15 @@ def _side_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
     A window reaches over half of its other words beyond its minimiser's run, to the left or else to the right; equal
     windows have equal words there.
     """
-    hasher, reach = WordHashes(), (size - RUN) // 2
+    reach = (size - RUN) // 2
     names = ["side", "doc_id", "text_hash", "starts", "packed", "offsets"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32())]
     for batch in batches:
         rows: list[tuple] = []
         for minimiser, doc_id, text_hash, starts, packed in zip(*(batch.column(i).to_pylist() for i in range(5))):
             words = packed.split(b" ")
-            places = np.flatnonzero(window_hashes(hasher.of(words), RUN).view(np.int64) == minimiser).tolist()
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            places = np.flatnonzero(window_hashes(hashes, RUN).view(np.int64) == minimiser).tolist()
             sides: dict[int, list[int]] = {}
             at = 0
             for k in range(len(words) - size + 1):
@@ -207,7 +200,8 @@ def repeated_windows(docs: DataFrame, size: int = 50, id_col: str = "doc_id", te
         "crowded-sides",
     )
     agreed = sides.groupBy("side").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("side")
-    singles = sides.join(agreed, "side").select("doc_id", "text_hash", "starts", "packed", "offsets").mapInArrow(lambda it: _single_rows(it, size), "window_key binary, doc_id bigint, text_hash bigint, start int")
+    chosen = sides.join(agreed, "side").select("doc_id", "text_hash", "starts", "packed", "offsets")
+    singles = staged(chosen.mapInArrow(lambda it: _single_rows(it, size), "window_key binary, doc_id bigint, text_hash bigint, start int"), "single-windows")
     least = singles.groupBy("window_key").agg(F.min("doc_id").alias("least"))
     from_windows = singles.join(least, "window_key").filter("doc_id > least").select("doc_id", "text_hash", "start", F.lit(1).alias("windows"))
     return copies.unionByName(from_buckets).unionByName(from_windows)
@@ -221,23 +215,24 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     """
     spans = repeated_windows(docs, size, id_col, text_col, **how).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "windows")).alias(f"{prefix}_spans"))
 
+    names, types = ["n_words", "n_removed", "kept"], [pa.int64(), pa.int64(), pa.string()]
+
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
     def cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        out = []
-        for text, found in zip(texts.to_pylist(), lists.to_pylist()):
-            words = words_of(text)
-            if found:
-                steps = np.zeros(len(words) + 1, np.int64)
-                starts = np.array([s["start"] for s in found])
-                np.add.at(steps, starts, 1)
-                np.add.at(steps, starts + np.array([s["windows"] for s in found]) + size - 1, -1)
-                keep = np.cumsum(steps[:-1]) == 0
-                kept = [words[i] for i in np.flatnonzero(keep)]
-            else:
-                kept = words
-            out.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
-        columns = list(zip(*out)) or [()] * 3
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()))], ["n_words", "n_removed", "kept"])
+        parts = [pa.StructArray.from_arrays([pa.array([], t) for t in types], names)]
+        for at, n in text_slices(texts):
+            out = []
+            for text, found in zip(texts.slice(at, n).to_pylist(), lists.slice(at, n)):
+                words = kept = words_of(text)
+                if found.is_valid:
+                    starts, windows = (found.values.field(k).to_numpy(zero_copy_only=False) for k in ("start", "windows"))
+                    steps = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(steps, starts, 1)
+                    np.add.at(steps, starts + windows + size - 1, -1)
+                    kept = [words[i] for i in np.flatnonzero(np.cumsum(steps[:-1]) == 0)]
+                out.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
+            parts.append(pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names))
+        return pa.concat_arrays(parts)
 
     keyed = docs.withColumns({f"{prefix}_id": F.col(id_col).cast("bigint"), f"{prefix}_hash": F.xxhash64(text_col)})
     spans = spans.withColumnsRenamed({"doc_id": f"{prefix}_id", "text_hash": f"{prefix}_hash"})

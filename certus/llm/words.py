@@ -25,23 +25,6 @@ def text_slices(texts: pa.Array, most: int = BYTES) -> list[tuple[int, int]]:
     return slices(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), most)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; emptied between batches when it has ``limit`` entries."""
-
-    def __init__(self, limit: int = 500_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def words_of(text: str | None) -> list[bytes]:
     """The longest runs without blank, tab, \\n, \\v, \\f and \\r."""
     return (text or "").encode().split()
