@@ -35,7 +35,8 @@ CLASSES = 48
 _SHARD_BYTES = 8 << 20
 #: Text that is cut to words at once, about.
 _BYTES = 8 << 20
-_LANES, _STEPS = 512, 16
+#: Lanes at most and steps of a window, and windows that a stream has at least, so that short ones get enough steps.
+_LANES, _STEPS, _WINDOWS = 512, 16, 64
 RATE = 0.03
 _GROUP = 512
 _UNKNOWN, _END = 0, 1
@@ -191,7 +192,7 @@ def train(net: Network, stream: np.ndarray, rate: float = RATE, adam: gru.Adam |
         return
     w = net.weights
     adam = adam or gru.Adam(w, rate)
-    lanes = max(1, min(_LANES, len(stream) // _STEPS))
+    lanes = max(1, min(_LANES, len(stream) // (_STEPS * _WINDOWS)))
     length = len(stream) // lanes
     target = stream[: lanes * length].reshape(lanes, length).T
     source = np.vstack([np.full((1, lanes), _END), target[:-1]])
