@@ -39,7 +39,7 @@ class _Vocabulary:
     def __init__(self, content: bytes):
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
         self.token_bytes = {rank: token for token, rank in ranks.items()}
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.symbol_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         left, right, merged = [], [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -54,8 +54,19 @@ class _Vocabulary:
         self.known = pa.array(list(ranks), pa.binary())
         self.known_ids = np.array(list(ranks.values()), np.int32)
         self.by_id = pa.array([self.token_bytes.get(i) for i in range(max(self.token_bytes) + 1)], pa.binary())
-        pair = np.arange(1 << 16)
-        self.first_rank = self._rank(self.byte_ids[pair >> 8], self.byte_ids[pair & 255])
+        self.first_rank = self._first_ranks()
+
+    def _first_ranks(self) -> np.ndarray:
+        n = len(self.symbol_ids)
+        pair = np.arange(n * n)
+        return self._rank(self.symbol_ids[pair // n], self.symbol_ids[pair % n])
+
+    def _symbols(self, raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Numbers of the symbols that merging starts from, for rows of bytes: here each byte's own."""
+        return raw
+
+    def _pair_rank(self, left: int, right: int) -> int | None:
+        return self.ranks.get(self.token_bytes[left] + self.token_bytes[right])
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece, as the bytes of an int32 array."""
@@ -92,8 +103,9 @@ class _Vocabulary:
         width = int(lengths.max())
         filled = np.arange(width) < lengths[:, None]
         raw = np.where(filled, data[np.minimum(begins[owner, None] + np.arange(width), len(data) - 1)], 0).astype(np.int32)
-        ids = self.byte_ids[raw]
-        rank = self.first_rank[(raw[:, :-1] << 8) | raw[:, 1:]]
+        raw = self._symbols(raw, lengths)
+        ids = self.symbol_ids[raw]
+        rank = self.first_rank[raw[:, :-1] * len(self.symbol_ids) + raw[:, 1:]]
         rank[~filled[:, 1:]] = _NEVER
         while True:
             at = rank.argmin(1)  # the first of equal ranks
@@ -127,11 +139,10 @@ class _Vocabulary:
         return np.minimum(self.pairs.ranks(self.pairs.find(left, right)), _NEVER).astype(np.int32)
 
     def _merge_long(self, piece: bytes) -> np.ndarray:
-        token = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        ranks, text = self.ranks, self.token_bytes
-        n = len(token)
+        n = len(piece)
+        token = self.symbol_ids[self._symbols(np.frombuffer(piece, np.uint8).astype(np.int32)[None], np.array([n]))[0]].tolist()
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r, i, token[i], token[i + 1]) for i in range(n - 1) if (r := ranks.get(text[token[i]] + text[token[i + 1]])) is not None]
+        heap = [(r, i, token[i], token[i + 1]) for i in range(n - 1) if (r := self._pair_rank(token[i], token[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i, a, b = heapq.heappop(heap)
@@ -144,7 +155,7 @@ class _Vocabulary:
                 before[after[j]] = i
             for x in (before[i], i):
                 y = after[x] if x >= 0 else -1
-                if y >= 0 and (r := ranks.get(text[token[x]] + text[token[y]])) is not None:
+                if y >= 0 and (r := self._pair_rank(token[x], token[y])) is not None:
                     heapq.heappush(heap, (r, x, token[x], token[y]))
         return np.array([t for t in token if t >= 0], np.int32)
 
