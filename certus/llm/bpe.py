@@ -198,7 +198,8 @@ def bpe_encode(text: Column, ranks: bytes, pattern: str) -> Column:
         parts = [_encode_some(texts.slice(at, n), _vocabulary(ranks), _compiled(pattern)) for at, n in text_slices(texts, _BYTES)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
-    return encode(text)
+    # so that the optimizer doesn't copy the call into each use of the ids
+    return encode.asNondeterministic()(text)
 
 
 def bpe_decode(ids: Column, ranks: bytes) -> Column:

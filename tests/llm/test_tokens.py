@@ -9,7 +9,9 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from certus.llm import bpe, token_counts
+from certus.llm.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +35,16 @@ def test_encoding_and_decoding(spark, texts):
         assert bytes(r["decoded"]) == text.encode()
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_encoded_once(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert plan_of(QUERIES["op6_byte_bpe"](spark, "/root/testdata/sf0.001")).count("encode(text") == 1
+    assert plan_of(corpus_pipeline.tokens(spark, documents, "")).count("encode(text") == 1
+
+
 def test_long_piece_merges_like_a_short_one():
     vocabulary = bpe._vocabulary(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")))
     for piece in (b"ab" * 500, "été漢".encode() * 90, b"a" * 999):
