@@ -64,32 +64,57 @@ def log_loss(df: DataFrame, truth: str, score: str, eps: float = 2.2204460492503
     return df.agg(F.avg(-F.when(F.col(truth) == 1, F.ln(p)).otherwise(F.ln(1 - p))).alias("log_loss"))
 
 
-def score_counts(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """(score, pos, neg, pos_above, neg_above): counts at each distinct score, and at larger ones.
+def score_counts(df: DataFrame, truth: str, score: str, by: list[str] = ()) -> DataFrame:
+    """(by, score, pos, neg, pos_above, neg_above): counts at each distinct score of a group, and at its larger ones.
 
-    Scores are dealt to ranges; sums within a range and the sums of the ranges above it add up.
+    Scores are dealt to ranges, the same ones for all groups; sums within a group's range and the sums of its ranges above
+    add up, so no task sees a whole group. Groups are few: their ranges are broadcast.
     """
-    spark = df.sparkSession
-    at = df.filter(F.col(truth).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.sum((F.col(truth) == 1).cast("bigint")).alias("pos"), F.sum((F.col(truth) == 0).cast("bigint")).alias("neg"))
+    spark, by = df.sparkSession, list(by)
+    at = df.filter(F.col(truth).isNotNull() & F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum((F.col(truth) == 1).cast("bigint")).alias("pos"), F.sum((F.col(truth) == 0).cast("bigint")).alias("neg"))
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted(set(at.approxQuantile("score", [i / n for i in range(1, n)], 0.25 / n))) or [0.0]
     ranged = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="score", outputCol="range").transform(at)
-    above = Window.partitionBy("range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = Window.partitionBy(*by, "range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = ranged.withColumns({"p": F.sum("pos").over(above) - F.col("pos"), "n": F.sum("neg").over(above) - F.col("neg")})
-    by_range = ranged.groupBy("range").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))
-    # one row for each range
-    before = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = by_range.select("range", (F.sum("rp").over(before) - F.col("rp")).alias("sp"), (F.sum("rn").over(before) - F.col("rn")).alias("sn"))
-    return inner.join(F.broadcast(starts), "range").select("score", "pos", "neg", (F.col("p") + F.col("sp")).alias("pos_above"), (F.col("n") + F.col("sn")).alias("neg_above"))
+    by_range = ranged.groupBy(*by, "range").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))
+    # one row for each range of a group
+    before = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = by_range.select(*by, "range", (F.sum("rp").over(before) - F.col("rp")).alias("sp"), (F.sum("rn").over(before) - F.col("rn")).alias("sn"))
+    return inner.join(F.broadcast(starts), [*by, "range"]).select(*by, "score", "pos", "neg", (F.col("p") + F.col("sp")).alias("pos_above"), (F.col("n") + F.col("sn")).alias("neg_above"))
 
 
-def ranking_metrics(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """(roc_auc, average_precision): ties count half; null with one class only."""
-    c = score_counts(df, truth, score)
-    pos, neg = F.sum("pos"), F.sum("neg")
+def ranking_metrics(df: DataFrame, truth: str, score: str, by: list[str] = ()) -> DataFrame:
+    """(by, roc_auc, average_precision, average_precision_neg): ties count half; null with one class only.
+
+    The last one is that of the negative class by falling certainty of it.
+    """
+    by = list(by)
+    c = score_counts(df, truth, score, by)
+    totals = c.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    # a row for each group
+    c = c.join(F.broadcast(totals), by) if by else c.crossJoin(F.broadcast(totals))
+    pos, neg = F.max("all_pos"), F.max("all_neg")
     wins = F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2))
-    tp = F.col("pos_above") + F.col("pos")
-    return c.agg(F.try_divide(wins.cast("double"), pos * neg).alias("roc_auc"), F.try_divide(F.sum(F.col("pos") * tp / (tp + F.col("neg_above") + F.col("neg"))), pos).alias("average_precision"))
+    tp, tn = F.col("pos_above") + F.col("pos"), F.col("all_neg") - F.col("neg_above")
+    precision = F.col("pos") * tp / (tp + F.col("neg_above") + F.col("neg"))
+    precision_neg = F.col("neg") * tn / (tn + F.col("all_pos") - F.col("pos_above"))
+    return c.groupBy(*by).agg(
+        F.try_divide(wins.cast("double"), pos * neg).alias("roc_auc"),
+        F.try_divide(F.sum(precision), F.when(neg > 0, pos)).alias("average_precision"),
+        F.try_divide(F.sum(precision_neg), F.when(pos > 0, neg)).alias("average_precision_neg"),
+    )
+
+
+#: The metrics that searches choose by; of ``cost`` less is better.
+SEARCHED = ("roc_auc", "balanced_accuracy", "cost", "f1_macro", "f1", "average_precision_neg", "f1_neg", "average_precision", "precision", "recall", "accuracy")
+
+
+def search_metrics(scored: DataFrame, by: list[str], miss: float, review: float, cut: float = 0.5) -> DataFrame:
+    """(by, SEARCHED) from rows (by, y, score), all groups in one pass each for counts and ranks."""
+    marked = scored.withColumn("prediction", (F.col("score") >= cut).cast("int"))
+    counts = business_cost(rates(confusion(marked, "y", "prediction", by)), miss, review)
+    return counts.join(ranking_metrics(scored, "y", "score", by), by).select(*by, *SEARCHED)
 
 
 def roc_points(df: DataFrame, truth: str, score: str) -> DataFrame:

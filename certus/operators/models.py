@@ -7,18 +7,18 @@ from __future__ import annotations
 
 import itertools
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certus.functions.text import clipped
 from certus.operators import metrics
+from certus.operators.boosting import SAMPLE_ROWS, Boosted, Grower, Setting, binned_table, fit_sample, fit_together, held_out_scores, quantile_cuts
 from certus.operators.sampling import folds
 from certus.plans.staging import staged
 
@@ -195,62 +195,85 @@ def search_ridge(df: DataFrame, features: list[str], target: str, key: str, cost
     parted = staged(folds(df.filter(F.col(target).isNotNull()), key, target, k, seed), "folds")
     sums = class_sums(parted, features, target, "fold")
     grid = list(itertools.product(alphas, costs.positive_weights()))
-    scored = []
-    for n, (alpha, weight) in enumerate(grid):
-        score = F.lit(0.0)
-        for fold in range(k):
-            score = F.when(F.col("fold") == fold, ridge(sums, features, alpha, weight, fold).score()).otherwise(score)
-        scored.append(F.struct(F.lit(n).alias("config"), (score >= 0).cast("int").alias("prediction")))
-    long = parted.select(F.col(target).alias("y"), "fold", F.explode(F.array(*scored)).alias("o")).select("y", "fold", "o.*")
-    by_fold = metrics.business_cost(metrics.rates(metrics.confusion(long, "y", "prediction", ["config", "fold"])), costs.miss, costs.review)
-    names = ("f1", "f1_macro", "precision", "recall", "accuracy", "balanced_accuracy", "cost")
-    means = by_fold.groupBy("config").agg(*(F.avg(m).alias(m) for m in names))
-    table = df.sparkSession.createDataFrame([(n, float(a), float(w)) for n, (a, w) in enumerate(grid)], "config int, alpha double, positive_weight double").join(means, "config")
-    best = table.orderBy(F.col(metric).asc() if metric == "cost" else F.col(metric).desc(), "config").first()
-    return ridge(sums, features, best["alpha"], best["positive_weight"]), table.drop("config")
-
-
-def fit_boosted(df: DataFrame, features: list[str], target: str, trees: int = 30, depth: int = 3, step: float = 0.1, subsample: float = 0.8, positive_weight: float = 1.0, seed: int = 42):
-    """Boosted trees; returns a function from a table to its column ``probability``. Null features count as 0."""
-    assemble = VectorAssembler(inputCols=[f"__f_{f}" for f in features], outputCol="__features")
-    ready = lambda t: assemble.transform(t.withColumns({f"__f_{f}": F.coalesce(clipped(F.col(f).cast("double")), F.lit(0.0)) for f in features}))
-    rows = ready(df.filter(F.col(target).isNotNull())).select("__features", F.col(target).cast("double").alias("label"), F.when(F.col(target) == 1, positive_weight).otherwise(1.0).alias("weight"))
-    model = GBTClassifier(featuresCol="__features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=subsample, seed=seed).fit(rows)
-    own = lambda t: model.transform(ready(t)).withColumn("probability_", vector_to_array("probability")[1])
-    return lambda t: own(t).drop("probability", "rawPrediction", "prediction", "__features", *(f"__f_{f}" for f in features)).withColumnRenamed("probability_", "probability")
-
-
-def draw_settings(n: int, costs: Costs = Costs(), trees: tuple[int, int] = (50, 200), seed: int = 42) -> list[dict]:
-    """Seeded random settings of boosted trees: trees, depth 3 to 5, step 0.05 to 0.3 evenly in its logarithm, subsample
-    0.7 to 1, and a weight of the positive class. Spark's trees have no leaf penalties."""
+    fits = [[ridge(sums, features, alpha, weight, fold) for fold in range(k)] for alpha, weight in grid]
+    long = staged(_grid_scores(parted, features, target, fits), "grid-scores")
+    configs = df.sparkSession.createDataFrame([(n, float(a), float(w)) for n, (a, w) in enumerate(grid)], "config int, alpha double, positive_weight double")
+    table, best = _chosen(configs, long, costs, metric, cut=0.0)
+    return ridge(sums, features, *grid[best]), table.drop("config")
+
+
+def _grid_scores(parted: DataFrame, features: list[str], target: str, fits: list[list[Linear]]) -> DataFrame:
+    """(config, fold, y, score) of each row by the models ``fits[config][fold]`` that didn't see its fold."""
+    weight = np.array([[np.array(m.weight) / np.array([s or 1.0 for s in m.std]) for m in by_fold] for by_fold in fits])
+    mean = np.array([[m.mean for m in by_fold] for by_fold in fits])
+    intercept = np.array([[m.intercept for m in by_fold] for by_fold in fits])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y, fold = b.column(0), b.column(1).to_numpy()
+            x = np.stack([b.column(2 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(features))], 1)
+            for config in range(len(fits)):
+                centred = np.nan_to_num(x - mean[config][fold], nan=0.0)
+                score = (centred * weight[config][fold]).sum(1) + intercept[config][fold]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), config, np.int32)), pa.array(fold), y, pa.array(score)], ["config", "fold", "y", "score"])
+
+    columns = [clipped(F.col(f).cast("double")).alias(f"f{i}") for i, f in enumerate(features)]
+    return parted.select(F.col(target).cast("int").alias("y"), F.col("fold").cast("int").alias("fold"), *columns).mapInArrow(rows, "config int, fold int, y int, score double")
+
+
+def _chosen(configs: DataFrame, scored: DataFrame, costs: Costs, metric: str, cut: float = 0.5) -> tuple[DataFrame, int]:
+    """(configs with the means over folds of the metrics, number of the best one) from rows (config, fold, y, score)."""
+    if metric not in metrics.SEARCHED:
+        raise ValueError(f"unknown metric: {metric}")
+    by_fold = metrics.search_metrics(scored, ["config", "fold"], costs.miss, costs.review, cut)
+    means = by_fold.groupBy("config").agg(*(F.avg(m).alias(m) for m in metrics.SEARCHED))
+    # a row for each configuration
+    table = staged(configs.join(means, "config"), "search")
+    order = F.round(metric, 12)
+    return table, table.orderBy(order.asc_nulls_last() if metric == "cost" else order.desc_nulls_last(), "config").first()["config"]
+
+
+def fit_boosted(df: DataFrame, features: list[str], target: str, key: str, setting: Setting = Setting(), cuts=None, rows: int | None = None) -> Boosted:
+    """Boosted trees grown on all labelled rows, or on about ``rows`` of them in one task."""
+    cuts = quantile_cuts(df, features) if cuts is None else cuts
+    table, growers = binned_table(df, features, target, key, cuts), [Grower(setting, len(features))]
+    return (fit_together(table, features, cuts, growers) if rows is None else fit_sample(table, features, cuts, growers, rows))[0]
+
+
+def draw_settings(n: int, costs: Costs = Costs(), trees: tuple[int, int] = (50, 200), seed: int = 42) -> list[Setting]:
+    """Seeded random settings of boosted trees.
+
+    Evenly: trees, depth 3 to 5, shares of rows and features 0.7 to 1, least hessian of a child 3 to 7, the weight of the
+    positive class; evenly in the logarithm: step 0.05 to 0.3, alpha 0.1 to 5, l2 0.5 to 20, gamma 0.001 to 0.1.
+    """
     rng = np.random.default_rng(seed)
     weights = costs.positive_weights()
+    log = lambda low, high: float(np.exp(rng.uniform(np.log(low), np.log(high))))
     return [
-        {"trees": int(rng.integers(*trees)), "depth": int(rng.integers(3, 6)), "step": float(np.exp(rng.uniform(np.log(0.05), np.log(0.3)))), "subsample": float(rng.uniform(0.7, 1.0)), "positive_weight": float(weights[rng.integers(len(weights))])}
+        Setting(
+            trees=int(rng.integers(*trees)), depth=int(rng.integers(3, 6)), step=log(0.05, 0.3), subsample=float(rng.uniform(0.7, 1.0)), columns=float(rng.uniform(0.7, 1.0)),
+            positive_weight=float(weights[rng.integers(len(weights))]), alpha=log(0.1, 5.0), l2=log(0.5, 20.0), gamma=log(1e-3, 0.1), min_child=float(rng.integers(3, 8)), seed=seed,
+        )
         for _ in range(n)
-    ]
+    ]
 
 
-def search_boosted(df: DataFrame, features: list[str], target: str, key: str, n_iter: int = 10, costs: Costs = Costs(), metric: str = "f1", k: int = 3, trees: tuple[int, int] = (50, 200), seed: int = 42):
-    """(probability function of the trees refitted with the best settings, table of settings and mean metrics over folds).
+def search_boosted(df: DataFrame, features: list[str], target: str, key: str, n_iter: int = 10, costs: Costs = Costs(), metric: str = "f1", k: int = 3, trees: tuple[int, int] = (50, 200), seed: int = 42, rows: int = SAMPLE_ROWS) -> tuple[Boosted, DataFrame]:
+    """(trees of the best settings, table of settings and mean metrics over folds).
 
-    Each of ``n_iter`` drawn settings is fitted k times, without one fold, and scores that fold; for ``cost`` less is
-    better.
+    Each of ``n_iter`` drawn settings is fitted k times, without one fold, and scores all rows of that fold. A fit is a
+    task of its own on about ``rows`` rows (all of a smaller table); the best settings are then fitted in the same way.
+    For ``cost`` less is better.
     """
-    parted = staged(folds(df.filter(F.col(target).isNotNull()), key, target, k, seed).select(target, "fold", *features), "folds")
-    drawn, scored = draw_settings(n_iter, costs, trees, seed), None
-    for n, setting in enumerate(drawn):
-        for fold in range(k):
-            fitted = fit_boosted(parted.filter(F.col("fold") != fold), features, target, seed=seed, **setting)
-            rows = fitted(parted.filter(F.col("fold") == fold)).select(F.lit(n).alias("config"), "fold", F.col(target).alias("y"), (F.col("probability") >= 0.5).cast("int").alias("prediction"))
-            scored = rows if scored is None else scored.unionByName(rows)
-    names = ("f1", "f1_macro", "precision", "recall", "accuracy", "balanced_accuracy", "cost")
-    by_fold = metrics.business_cost(metrics.rates(metrics.confusion(scored, "y", "prediction", ["config", "fold"])), costs.miss, costs.review)
-    means = by_fold.groupBy("config").agg(*(F.avg(m).alias(m) for m in names))
-    settings = df.sparkSession.createDataFrame([(n, d["trees"], d["depth"], d["step"], d["subsample"], d["positive_weight"]) for n, d in enumerate(drawn)], "config int, trees int, depth int, step double, subsample double, positive_weight double")
-    table = staged(settings.join(means, "config"), "search")
-    best = table.orderBy(F.col(metric).asc() if metric == "cost" else F.col(metric).desc(), "config").first()
-    return fit_boosted(parted, features, target, seed=seed, **drawn[best["config"]]), table
+    labelled = df.filter(F.col(target).isNotNull())
+    cuts = quantile_cuts(labelled, features)
+    table = binned_table(folds(labelled, key, target, k, seed), features, target, key, cuts, "fold")
+    drawn = draw_settings(n_iter, costs, trees, seed)
+    growers = [Grower(s, len(features), without=fold) for s in drawn for fold in range(k)]
+    fitted = fit_sample(table, features, cuts, growers, rows)
+    configs = df.sparkSession.createDataFrame([(n, *asdict(s).values()) for n, s in enumerate(drawn)], "config int, trees int, depth int, step double, subsample double, columns double, positive_weight double, alpha double, l2 double, gamma double, min_child double, seed int")
+    result, best = _chosen(configs, staged(held_out_scores(table, fitted, k, len(features)), "search-scores"), costs, metric)
+    return fit_sample(table, features, cuts, [Grower(drawn[best], len(features))], rows)[0], result.drop("seed")
 
 
 def min_max_scores(df: DataFrame, score: Column) -> DataFrame:

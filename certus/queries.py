@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from certus.adapters import answer_log, answer_log_sql, features_sql
 from certus.functions.text import clipped
 from certus.functions.uncertainty import FEATURES, with_features
-from certus.operators import metrics, models, neighbors, preprocess, sampling, selection, stats, validate
+from certus.operators import boosting, metrics, models, neighbors, preprocess, sampling, selection, stats, validate
 from certus.plans import workloads
 from certus.plans.staging import new_path, staged
 from certus.schema import CONCEPTS, ENTRIES, TOKENS
@@ -540,14 +540,63 @@ def uq_ridge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.search_ridge(staged(_short(spark, sf_dir), "features"), _FITTED, "y", "k")[1]
 
 
+#: The first split of a tree by every feature, at fixed cuts.
+_CUTS = {"h": [0.05 * i for i in range(1, 31)], "p1": [0.05 * i for i in range(5, 20)], "g": [0.05 * i for i in range(1, 20)], "lg": [0.25 * i for i in range(1, 40)], "lgn": [0.05 * i for i in range(1, 20)]}
+_FIRST = boosting.Setting(positive_weight=0.5, alpha=0.75, l2=2.5, min_child=4.0)
+
+
+def _first_split_sql(s: str) -> str:
+    cuts = ", ".join(f"{c!r}::double" for c in _CUTS[s])
+    row = f"select case when y = 1 then -0.25e0 else 0.5e0 end as g, case when y = 1 then 0.125e0 else 0.25e0 end as h, {s} as v from d"
+    return f"""select '{s}' as feature, * from (
+        with r as ({row}), t as (select sum(g) as g, sum(h) as h, coalesce(sum(g) filter (v is null), 0) as gn, coalesce(sum(h) filter (v is null), 0) as hn from r),
+        c as (select cut, l.null_left, coalesce(sum(r.g) filter (v <= cut or (v is null and l.null_left)), 0) as gl, coalesce(sum(r.h) filter (v <= cut or (v is null and l.null_left)), 0) as hl
+            from r, (select unnest([{cuts}]) as cut), (select unnest([false, true]) as null_left) l group by all),
+        k as (select c.*, t.g - gl as gr, t.h - hl as hr, t.g, t.h from c, t where hl >= 4 and t.h - hl >= 4 and (not null_left or hn > 0)),
+        z as (select *, pow(greatest(abs(gl) - 0.75, 0), 2) / (hl + 2.5) + pow(greatest(abs(gr) - 0.75, 0), 2) / (hr + 2.5) - pow(greatest(abs(g) - 0.75, 0), 2) / (h + 2.5) as gain from k)
+        select round(gain, 5) as gain, round(cut, 6) as cut, null_left, round(-sign(gl) * greatest(abs(gl) - 0.75, 0) / (hl + 2.5), 6) as left_weight, round(-sign(gr) * greatest(abs(gr) - 0.75, 0) / (hr + 2.5), 6) as right_weight
+        from z where gain > 1e-6 order by round(gain, 9) desc, cut, null_left limit 1)"""
+
+
+@query(f"with d as ({_S}) " + " union all ".join(map(_first_split_sql, _CUTS)))
+def uq_first_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gains of the best first splits and the weights of their leaves, from sums by bin with a bin for nulls."""
+    features, cuts = list(_CUTS), tuple(map(tuple, _CUTS.values()))
+    table = boosting.binned_table(_short(spark, sf_dir), features, "y", "k", cuts)
+    found = spark.createDataFrame(boosting.first_splits(table, features, cuts, _FIRST), "feature string, gain double, cut double, null_left boolean, left_weight double, right_weight double")
+    return found.select("feature", F.round("gain", 5).alias("gain"), r6("cut"), "null_left", r6("left_weight"), r6("right_weight"))
+
+
+_SCORED = f"""with d as (select p, k, is_correct as y, ((row_number() over (partition by is_correct order by md5('42:'||k), k)-1) % 3)::int as fold from ({_A})),
+    s as (select 0 as config, fold, y, p as score from d union all select 1, fold, y, round(p, 1) from d),
+    c as (select config, fold, score, sum(y)::double as pos, sum(1-y)::double as neg from s group by all),
+    r as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over (partition by config, fold) as np, sum(neg) over (partition by config, fold) as nn from c window w as (partition by config, fold order by score desc)),
+    k as (select config, fold, sum(neg*(tp-pos+pos/2))/any_value(np*nn) as roc_auc, sum(pos*tp/(tp+fp))/any_value(np) as average_precision, sum(neg*(nn-fp+neg)/(nn-fp+neg+np-tp+pos))/any_value(nn) as average_precision_neg from r group by all),
+    m as (select config, fold, sum((y=1 and score>=0.5)::int)::double as tp, sum((y=0 and score>=0.5)::int)::double as fp, sum((y=0 and score<0.5)::int)::double as tn, sum((y=1 and score<0.5)::int)::double as fn from s group by all)
+    select config, fold, round(roc_auc,6) as roc_auc, round(average_precision,6) as average_precision, round(average_precision_neg,6) as average_precision_neg, round(2*tp/(2*tp+fp+fn),6) as f1, round(coalesce(2*tn/nullif(2*tn+fp+fn,0),0),6) as f1_neg,
+        round((2*tp/(2*tp+fp+fn)+coalesce(2*tn/nullif(2*tn+fp+fn,0),0))/2,6) as f1_macro, round((tp/(tp+fn)+tn/(tn+fp))/2,6) as balanced_accuracy, round(fp*{MISS}e0+tn*({REVIEW}e0-{MISS}e0)+fn*{REVIEW}e0,6) as cost from k join m using (config, fold)"""
+
+
+@query(_SCORED)
+def uq_search_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics that searches choose by, for each (setting, fold) at once; the second setting's scores tie."""
+    parted = sampling.folds(_log(spark, sf_dir), "k", "is_correct", 3, 42)
+    both = F.explode(F.array(F.struct(F.lit(0).alias("config"), F.col("p").alias("score")), F.struct(F.lit(1).alias("config"), F.round("p", 1).alias("score"))))
+    scored = staged(parted.select("fold", F.col("is_correct").alias("y"), both.alias("o")).select("fold", "y", "o.*"), "scores")
+    found = metrics.search_metrics(scored, ["config", "fold"], MISS, REVIEW)
+    return found.select("config", "fold", *(r6(c) for c in ("roc_auc", "average_precision", "average_precision_neg", "f1", "f1_neg", "f1_macro", "balanced_accuracy", "cost")))
+
+
 @query()
 def uq_boosted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two random settings of 5 to 9 trees, two folds; the operator's defaults are 10 settings of 50 to 199 trees."""
-    return models.search_boosted(staged(_short(spark, sf_dir), "features"), _FITTED, "y", "k", n_iter=2, k=2, trees=(5, 10))[1]
+    """Ten random settings of 50 to 199 trees on all features, three folds, all metrics."""
+    return models.search_boosted(staged(_features(spark, sf_dir).select("k", "is_correct", *FEATURES), "features"), list(FEATURES), "is_correct", "k", n_iter=10, k=3)[1]
 
 
 @query()
 def uq_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trees of the training rows score the test rows."""
-    parted = staged(sampling.split(_short(spark, sf_dir), "k", "y"), "split")
-    return models.fit_boosted(parted.filter("NOT is_test"), _FITTED, "y", trees=10)(parted.filter("is_test")).select("k", r6("probability"))
+    """Trees grown on all training rows, a level at a time, score the test rows."""
+    parted = staged(sampling.split(_features(spark, sf_dir).select("k", "is_correct", *FEATURES), "k", "is_correct"), "split")
+    setting = boosting.Setting(trees=20, depth=3, step=0.2, subsample=0.9, columns=0.8, alpha=0.5, l2=2.0, gamma=0.01, min_child=3.0)
+    model = models.fit_boosted(parted.filter("NOT is_test"), list(FEATURES), "is_correct", "k", setting)
+    return parted.filter("is_test").select("k", r6(model.probability(), "probability"))

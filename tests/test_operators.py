@@ -44,7 +44,8 @@ def test_few_labels_are_split_without_strata(table):
 def test_settings_are_drawn_from_their_ranges():
     drawn = models.draw_settings(40, seed=1)
     assert drawn == models.draw_settings(40, seed=1)
-    assert all(50 <= d["trees"] < 200 and 3 <= d["depth"] <= 5 and 0.05 <= d["step"] <= 0.3 and 0.7 <= d["subsample"] <= 1 for d in drawn)
+    assert all(50 <= d.trees < 200 and 3 <= d.depth <= 5 and 0.05 <= d.step <= 0.3 and 0.7 <= d.subsample <= 1 and 0.7 <= d.columns <= 1 for d in drawn)
+    assert all(0.1 <= d.alpha <= 5 and 0.5 <= d.l2 <= 20 and 0.001 <= d.gamma <= 0.1 and d.min_child in range(3, 8) for d in drawn)
 
 
 def test_folds_are_even(table):
