@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from certus.llm.components import smallest_reachable
+from certus.llm.repeats import each_once
 from certus.llm.words import hashed_words, mix, text_slices, window_hashes
 from certus.plans.staging import staged
 
@@ -125,13 +126,22 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(node, text) to (node, shingles array<bigint>)."""
+    """(node, text), ordered by node, to (node, shingles array<bigint>): the different sets of each node."""
+    last, seen = None, set()
     for batch in batches:
         for at, n in text_slices(batch.column(1)):
             some = batch.slice(at, n)
-            sets = [s.view(np.int64) for s in shingle_sets(some.column(1), size)]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([some.column(0), lists], ["node", "shingles"])
+            nodes, sets = [], []
+            for node, found in zip(some.column(0).to_pylist(), shingle_sets(some.column(1), size)):
+                if node != last:
+                    last, seen = node, set()
+                digest = xxhash.xxh3_128_digest(found.tobytes())
+                if digest not in seen:
+                    seen.add(digest)
+                    nodes.append(node)
+                    sets.append(found.view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists], ["node", "shingles"])
 
 
 def _short_errors(a: str, b: str) -> Column:
@@ -162,7 +172,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     linked = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
-    return pairs.join(left, "a").join(right, "b").filter(linked).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(linked).select("a", "b").distinct()
 
 
 def _least_overlap(sizes: Column, percent: int) -> Column:
@@ -220,7 +230,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     about = nodes.select("node", "n", *_SHORT)
     # both sides grow with the input, so it is a merge join at every size
     sharing = stars.select("node").distinct()
-    sets = staged(texts.withColumnRenamed("doc_id", "node").join(sharing.hint("merge"), "node").select("node", "text").mapInArrow(lambda it: _set_rows(it, size), "node bigint, shingles array<bigint>"), "shingle-sets")
+    once = each_once(texts.filter("text IS NOT NULL").withColumn("text_hash", F.xxhash64("text")))
+    sets = staged(once.withColumnRenamed("doc_id", "node").join(sharing.hint("merge"), "node").select("node", "text").mapInArrow(lambda it: _set_rows(it, size), "node bigint, shingles array<bigint>"), "shingle-sets")
 
     ends = stars.filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     tried = staged(ends.join(_named(about, "a_", "a"), "a").join(_named(about, "b_", "b"), "b").filter(_alike("a_", "b_", percent)).select("a", "b"), "pairs")

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from certus.llm.repeats import each_once
 from certus.llm.words import hashed_words, text_slices, window_hashes, words_of
 from certus.plans.staging import staged
 
@@ -177,6 +178,7 @@ def repeated_windows(docs: DataFrame, size: int = 50, id_col: str = "doc_id", te
     if size < RUN:
         raise ValueError(f"windows need at least {RUN} words")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    texts = each_once(texts)
     kmers = staged(texts.mapInArrow(lambda it: _super_kmer_rows(it, size), "minimiser bigint, doc_id bigint, text_hash bigint, start int, windows int"), "super-kmers")
     shared = kmers.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("minimiser")
     spans = kmers.join(shared, "minimiser").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "windows", "minimiser")).alias("spans"))

@@ -79,6 +79,36 @@ def test_signatures_within_the_distance_share_a_key():
         assert set(x) & set(y)
 
 
+def repeated_pair(spark, times):
+    rnd = random.Random(1)
+    words = [f"w{i}" for i in range(300)]
+    one = " ".join(rnd.choice(words) for _ in range(120))
+    return spark.createDataFrame([(d, t) for d, t in ((1, one), (2, one + " more")) for _ in range(times)], "doc_id long, text string").repartition(3)
+
+
+def test_repeated_rows_are_paired_once(spark, monkeypatch):
+    sizes = {}
+
+    def counted(df, name, *more, stage=near_dup.staged):
+        out = stage(df, name, *more)
+        sizes[times, name] = max(sizes.get((times, name), 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "staged", counted)
+    for times in (1, 60):
+        rows = near_dup.near_duplicates(repeated_pair(spark, times)).collect()
+        assert len(rows) == 2 * times and {r["component_id"] for r in rows} == {1}
+    for name in ("shingle-sets", "pairs", "links"):
+        assert sizes[1, name] == sizes[60, name] > 0
+
+
+def test_repeated_rows_have_windows_once(spark):
+    few, many = (substring_dedup.repeated_windows(repeated_pair(spark, times)).count() for times in (1, 60))
+    assert few == many > 0
+    cut = substring_dedup.remove_repeats(repeated_pair(spark, 60)).collect()
+    assert len(cut) == 120 and {r["__dedup_n_removed"] for r in cut} == {0, 120}
+
+
 def brute_removal(rows, size):
     first, split = {}, [(d, (t or "").encode().split()) for d, t in rows]
     for d, w in split:
