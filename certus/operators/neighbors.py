@@ -1,36 +1,97 @@
-"""Nearest neighbours on a few features, and the Tomek and edited-neighbour cleaners of the majority class.
+"""Nearest neighbours on any number of features, and the Tomek and edited-neighbour cleaners of the majority class.
 
 Distances are direct differences, ordered by (distance, id); a row isn't its own neighbour. The search is exact. Rows at
-one place are one location, which keeps its k + 1 smallest ids. Locations are cut to strips of about equal numbers along
-a fixed oblique direction; two points are never nearer than their difference along it. A query first searches its own
-strip, which bounds its k-th distance, and then the other strips that this distance reaches. Within a strip, a second
-direction bounds what a block of queries has to look at.
+one place are one location, which keeps its k + 1 smallest ids. Locations are parted by their nearest pivot (a location
+drawn by hash), and a cell with many of them to rings by the distance from its pivot. A query first searches the ring that
+it would lie in, which bounds its k-th distance, and then the rings that may hold something nearer: by the triangle
+inequality, nothing in a ring is nearer than the difference of the distances from its pivot, and nothing in another cell is
+nearer than the plane half way between the pivots. Within a ring, the distances from the pivot bound what a block of
+queries has to look at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from certus.operators.sampling import balance_plan, class_counts, undersample
 from certus.plans.staging import staged
 
-#: Locations of a strip, about, and queries that one task compares with a strip.
-STRIP = 16_384
+#: Locations of a cell, about, and pivots at most: they and what is known of rings travel with the tasks.
+CELL, PIVOTS = 512, 2048
+#: Locations of a ring, about, and rings of a cell at most.
+RING, RINGS = 16_384, 128
 _QUERIES = 256
 
 
-def _directions(n: int) -> np.ndarray:
-    """Two unit vectors at right angles, none along an axis, so that values that repeat in one feature don't pile up."""
-    turned = np.random.default_rng(20_240_607).standard_normal((n, 2)) + 0.1
-    return np.linalg.qr(turned)[0][:, :2] if n > 1 else np.array([[1.0, 0.0]])
+class _Cells:
+    """Pivots (rows) and the cuts between the rings of each cell; a chunk is a ring of a cell."""
+
+    def __init__(self, pivots: np.ndarray, cuts: dict[int, np.ndarray] | None = None):
+        self.pivots, self.cuts = pivots, cuts or {}
+        self.between = np.sqrt(sum(((pivots[:, j, None] - pivots[None, :, j]) ** 2 for j in range(pivots.shape[1])), np.zeros((len(pivots), len(pivots)))))
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        d = np.zeros((len(x), len(self.pivots)))
+        for j in range(x.shape[1]):
+            d += (x[:, j, None] - self.pivots[None, :, j]) ** 2
+        return np.sqrt(d)
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot of each row, and its distance."""
+        cell, far = np.empty(len(x), np.int64), np.empty(len(x))
+        for at in range(0, len(x), 1024):
+            d = self.distances(x[at : at + 1024])
+            cell[at : at + 1024] = d.argmin(1)
+            far[at : at + 1024] = d.min(1)
+        return cell, far
 
+    def chunk(self, cell: np.ndarray, far: np.ndarray) -> np.ndarray:
+        ring = np.zeros(len(cell), np.int64)
+        for c, cuts in self.cuts.items():
+            at = np.flatnonzero(cell == c)
+            ring[at] = np.searchsorted(cuts, far[at])
+        return cell * (RINGS + 1) + ring
 
-def _along(features: list[str], direction: np.ndarray) -> Column:
-    return sum((F.col(f).cast("double") * float(w) for f, w in zip(features, direction)), F.lit(0.0))
+
+class _Rings:
+    """What is known of the chunks, in their order: number of entries, least and largest distance from the pivot."""
+
+    def __init__(self, cells: _Cells, rows: list[tuple]):
+        self.cells = cells
+        rows = sorted(rows)
+        self.chunk, self.n = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        self.low, self.high = (np.array([r[i] for r in rows], float) for i in (2, 3))
+        cell = self.chunk // (RINGS + 1)
+        self.first = np.searchsorted(cell, np.arange(len(cells.pivots) + 1))
+        self.cell_low = np.array([self.low[a:b].min(initial=np.inf) for a, b in zip(self.first, self.first[1:])])
+        self.cell_high = np.array([self.high[a:b].max(initial=-np.inf) for a, b in zip(self.first, self.first[1:])])
+        self.cell_n = np.array([self.n[a:b].sum() for a, b in zip(self.first, self.first[1:])])
+
+    def visits(self, x: np.ndarray, cell: np.ndarray, own: np.ndarray, reach: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """(row of x, chunk, distance from its pivot, reach) of the chunks besides its own that each row has to look at."""
+        d = self.cells.distances(x)
+        # a cell with k entries has them within the distance of its pivot and its largest one
+        with np.errstate(invalid="ignore"):
+            sure = np.where(self.cell_n >= k, d + self.cell_high, np.inf).min(1, initial=np.inf)
+        reach = np.minimum(reach, sure)
+        mine = d[np.arange(len(x)), cell][:, None]
+        between = self.cells.between[cell]
+        plane = np.where(between > 0, (d**2 - mine**2) / np.where(between > 0, 2 * between, 1.0), 0.0)
+        slack = 1e-7 * (1 + d)
+        near = np.maximum(np.maximum(self.cell_low - d, d - self.cell_high), plane) <= reach[:, None] + slack
+        row, c = np.nonzero(near & (self.cell_n > 0))
+        rings = self.first[c + 1] - self.first[c]
+        at = np.repeat(self.first[c] - np.cumsum(rings) + rings, rings) + np.arange(rings.sum())
+        row, far = np.repeat(row, rings), np.repeat(d[row, c], rings)
+        margin = reach[row] + 1e-7 * (1 + far)
+        hit = (self.low[at] - far <= margin) & (far - self.high[at] <= margin) & (self.chunk[at] != own[row])
+        return row[hit], self.chunk[at[hit]], far[hit], reach[row[hit]]
 
 
 def _smallest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,75 +109,120 @@ def _smallest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np
 
 
 def _search(rows: pd.DataFrame, features: list[str], k: int) -> pd.DataFrame:
-    """Queries (side 0, with the reach that is to be searched, or infinite) and points (side 1) of a strip."""
+    """Queries (side 0, with the reach that is to be searched, or infinite) and points (side 1) of a chunk."""
     a = rows[rows["__side"] == 0].sort_values("__v")
     b = rows[rows["__side"] == 1].sort_values("__v")
     x, y, v, w = a[features].to_numpy(float), b[features].to_numpy(float), a["__v"].to_numpy(), b["__v"].to_numpy()
     ids, place, reach, carry = b["__id"].to_numpy(), a["__place"].to_numpy(), a["__reach"].to_numpy(), b["__carry"].to_numpy()
-    slack = 1e-9 * (1 + max(np.abs(v).max(initial=0), np.abs(w).max(initial=0)))
+    slack = 1e-7 * (1 + max(np.abs(v).max(initial=0), np.abs(w).max(initial=0)))
     out = []
     for at in range(0, len(x) if len(y) else 0, _QUERIES):
         some, near = x[at : at + _QUERIES], v[at : at + _QUERIES]
-        far = reach[at : at + _QUERIES]
+        far, looked = reach[at : at + _QUERIES], 0
         if not np.isfinite(far).all():
-            # the points around in the second direction give each query a distance within which k points lie
+            # points at about the same distance from the pivot give each query a distance within which k points lie
             lo, hi = max(0, np.searchsorted(w, near[0]) - 4 * k), np.searchsorted(w, near[-1]) + 4 * k
             row, _, d = _smallest(some, y[lo:hi], ids[lo:hi], k)
             bound = np.full(len(some), np.inf)
-            if min(hi, len(w)) - lo >= k:
+            looked = min(hi, len(w)) - lo
+            if looked >= k:
                 np.put(bound, row, np.sqrt(d))  # the last of a row's is its largest
             far = np.minimum(far, bound)
         lo, hi = np.searchsorted(w, (near - far).min() - slack), np.searchsorted(w, (near + far).max() + slack, side="right")
         row, col, d = _smallest(some, y[lo:hi], ids[lo:hi], k)
-        out.append(pd.DataFrame({"place": place[at + row], "neighbour": ids[lo:hi][col], "d2": d, "carry": carry[lo:hi][col]}))
-    return pd.concat(out) if out else pd.DataFrame({"place": [], "neighbour": [], "d2": [], "carry": []})
+        found = pd.DataFrame({"place": place[at + row], "neighbour": ids[lo:hi][col], "d2": d, "carry": carry[lo:hi][col], "compared": 0})
+        found.loc[np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)]), "compared"] = hi - lo + looked
+        out.append(found)
+    return pd.concat(out) if out else pd.DataFrame({"place": [], "neighbour": [], "d2": [], "carry": [], "compared": []})
+
 
+def _parted(df: DataFrame, features: list[str], cells: _Cells, columns: str) -> DataFrame:
+    """``df`` with __cell and __v, the nearest pivot and its distance; columns: the schema of ``df``."""
 
-def nearest(queries: DataFrame, points: DataFrame, key: str, features: list[str], k: int, carry: str) -> DataFrame:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([b.column(f).to_numpy(zero_copy_only=False) for f in features], 1)
+            cell, far = cells.place(x)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(far)], [*b.schema.names, "__cell", "__v"])
+
+    return df.mapInArrow(add, f"{columns}, __cell bigint, __v double")
+
+
+def _chunked(df: DataFrame, cells: _Cells) -> DataFrame:
+    @F.arrow_udf("bigint")
+    def chunk(cell: pa.Array, far: pa.Array) -> pa.Array:
+        return pa.array(cells.chunk(cell.to_numpy(), far.to_numpy()))
+
+    return df.withColumn("__chunk", chunk("__cell", "__v") if cells.cuts else F.col("__cell") * (RINGS + 1))
+
+
+def nearest(queries: DataFrame, points: DataFrame, key: str, features: list[str], k: int, carry: str, compared: bool = False) -> DataFrame:
     """(key, rank, neighbour, d2, carry of the neighbour) of each query's k nearest points.
 
-    Rows with a null among the features take no part. carry is a whole number.
+    Rows with a null among the features take no part. carry is a whole number. ``compared`` adds the number of points that
+    the query's place was compared with.
     """
-    kind, first = queries.schema[key].dataType.simpleString(), _directions(len(features))
+    kind = queries.schema[key].dataType.simpleString()
     columns = [F.col(f).cast("double").alias(f) for f in features]
+    doubles = ", ".join(f"`{f}` double" for f in features)
     known = lambda df: df.dropna(subset=features)
     smallest = F.row_number().over(Window.partitionBy(*features).orderBy("__id"))
     entries = known(points).select(F.col(key).alias("__id"), F.col(carry).cast("int").alias("__carry"), *columns).withColumn("__n", smallest).filter(F.col("__n") <= k + 1)
-    entries = staged(entries.withColumns({"__t": _along(features, first[:, 0]), "__v": _along(features, first[:, 1])}), "locations")
+    entries = staged(entries, "locations")
     n = entries.filter("__n = 1").count()
-    # a cut for each strip
-    strips = max(1, n // STRIP)
-    cuts = sorted(set(entries.filter("__n = 1").approxQuantile("__t", [i / strips for i in range(1, strips)], 0.2 / strips))) if strips > 1 else []
-    splits = [float("-inf"), *cuts, float("inf")]
-    strip_of = lambda df, column, out: Bucketizer(splits=splits, inputCol=column, outputCol=out).transform(df).withColumn(out, F.col(out).cast("int")) if cuts else df.withColumn(out, F.lit(0))
-    entries = strip_of(entries, "__t", "__strip").select("__strip", F.lit(1).alias("__side"), F.lit(None).cast("bigint").alias("__place"), F.lit(None).cast("double").alias("__reach"), "__id", "__carry", "__v", *features)
-    places = known(queries).select(*columns).distinct().withColumns({"__t": _along(features, first[:, 0]), "__v": _along(features, first[:, 1]), "__place": F.monotonically_increasing_id()})
-    places = staged(strip_of(places, "__t", "__own").withColumn("__reach", F.lit(float("inf"))), "query-places")
+    # PIVOTS rows at most
+    drawn = entries.filter("__n = 1").orderBy(F.xxhash64(*features), *features).limit(max(1, min(PIVOTS, n // CELL))).select(*features).collect()
+    cells = _Cells(np.array([list(r) for r in drawn], float).reshape(len(drawn), len(features)) if drawn else np.zeros((1, len(features))))
+    entries = staged(_parted(entries.drop("__n"), features, cells, f"__id {kind}, __carry int, {doubles}"), "parted-locations")
+    large = entries.groupBy("__cell").agg(F.count("*").alias("n"), F.percentile_approx("__v", [i / RINGS for i in range(1, RINGS)], 10 * RINGS).alias("cuts")).filter(F.col("n") > 2 * RING)
+    cuts = {}
+    for r in large.collect():  # a row for each pivot at most
+        rings = min(RINGS, r["n"] // RING)
+        cuts[r["__cell"]] = np.unique([r["cuts"][i * RINGS // rings - 1] for i in range(1, rings)])
+    cells = _Cells(cells.pivots, cuts)
+    entries = _chunked(entries, cells)
+    rings = _Rings(cells, [tuple(r) for r in entries.groupBy("__chunk").agg(F.count("*"), F.min("__v"), F.max("__v")).collect()])
+    entries = entries.select("__chunk", F.lit(1).alias("__side"), F.lit(None).cast("bigint").alias("__place"), F.lit(None).cast("double").alias("__reach"), "__id", "__carry", "__v", *features)
+    places = known(queries).select(*columns).distinct().withColumn("__place", F.monotonically_increasing_id())
+    places = staged(_chunked(_parted(places.select("__place", *features), features, cells, f"__place bigint, {doubles}"), cells), "query-places")
 
     def searched(visits: DataFrame) -> DataFrame:
-        # strips that many queries visit are searched by several tasks
-        parts = visits.groupBy("__strip").agg(F.ceil(F.count("*") / STRIP).alias("__parts"))
-        dealt = visits.join(parts, "__strip").withColumn("__part", F.pmod(F.xxhash64("__place"), F.col("__parts")))
-        copied = entries.join(parts, "__strip").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__parts") - 1)))
-        sides = dealt.select("__strip", "__part", F.lit(0).alias("__side"), "__place", "__reach", F.lit(None).cast(kind).alias("__id"), F.lit(None).cast("int").alias("__carry"), "__v", *features)
+        # chunks that many queries visit are searched by several tasks
+        parts = visits.groupBy("__chunk").agg(F.ceil(F.count("*") / RING).alias("__parts"))
+        dealt = visits.join(parts, "__chunk").withColumn("__part", F.pmod(F.xxhash64("__place"), F.col("__parts")))
+        copied = entries.join(parts, "__chunk").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__parts") - 1)))
+        sides = dealt.select("__chunk", "__part", F.lit(0).alias("__side"), "__place", "__reach", F.lit(None).cast(kind).alias("__id"), F.lit(None).cast("int").alias("__carry"), "__v", *features)
         both = sides.unionByName(copied.select(*sides.columns))
-        return both.groupBy("__strip", "__part").applyInPandas(lambda rows: _search(rows, features, k + 1), f"place bigint, neighbour {kind}, d2 double, carry int")
+        return both.groupBy("__chunk", "__part").applyInPandas(lambda rows: _search(rows, features, k + 1), f"place bigint, neighbour {kind}, d2 double, carry int, compared bigint")
+
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                b = whole.slice(at, 1024)
+                x = np.stack([b.column(f).to_numpy() for f in features], 1)
+                cell, own, reach = (b.column(c).to_numpy() for c in ("__cell", "__chunk", "__reach"))
+                row, chunk, far, reach = rings.visits(x, cell, own, reach, k + 1)
+                taken = b.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([taken.column("__place"), pa.array(chunk), pa.array(far), pa.array(reach), *(taken.column(f) for f in features)], ["__place", "__chunk", "__v", "__reach", *features])
 
-    found = staged(searched(places.withColumn("__strip", F.col("__own"))), "nearest-own-strip")
-    if cuts:
+    found = staged(searched(places.withColumn("__reach", F.lit(float("inf")))), "nearest-own-ring")
+    if len(rings.chunk) > 1:
         kth = found.groupBy("place").agg(F.count("*").alias("n"), F.sqrt(F.max("d2")).alias("far"))
-        reach = F.when(F.col("n") > k, F.col("far") * (1 + 1e-9) + 1e-9 * (1 + F.abs("__t"))).otherwise(float("inf"))
-        reached = places.drop("__reach").join(kth, F.col("__place") == F.col("place"), "left").withColumn("__reach", F.coalesce(reach, F.lit(float("inf"))))
-        reached = strip_of(strip_of(reached.withColumns({"__low": F.col("__t") - F.col("__reach"), "__high": F.col("__t") + F.col("__reach")}), "__low", "__from"), "__high", "__to")
-        visits = reached.withColumn("__strip", F.explode(F.sequence("__from", "__to"))).filter("__strip != __own").select(*places.columns, "__strip")
+        reach = F.coalesce(F.when(F.col("n") > k, F.col("far") * (1 + 1e-9)), F.lit(float("inf")))
+        reached = places.join(kth, F.col("__place") == F.col("place"), "left").withColumn("__reach", reach).select(*places.columns, "__reach")
+        visits = staged(reached.mapInArrow(visited, f"__place bigint, __chunk bigint, __v double, __reach double, {doubles}"), "visits")
         found = found.unionByName(searched(visits))
     best = F.row_number().over(Window.partitionBy("place").orderBy("d2", "neighbour"))
-    lists = found.withColumn("n", best).filter(F.col("n") <= k + 1).groupBy("place").agg(F.sort_array(F.collect_list(F.struct("d2", "neighbour", "carry"))).alias("__found"))
+    ranked = found.withColumn("n", best)
+    if compared:
+        ranked = ranked.withColumn("compared", F.sum("compared").over(Window.partitionBy("place")))
+    lists = ranked.filter(F.col("n") <= k + 1).groupBy("place").agg(F.sort_array(F.collect_list(F.struct("d2", "neighbour", "carry"))).alias("__found"), F.max("compared").alias("__compared"))
     at_place = places.select("__place", *(F.col(f).alias(f"__f_{f}") for f in features)).join(lists, F.col("__place") == F.col("place")).drop("place", "__place")
     same = [F.col(f).cast("double") == F.col(f"__f_{f}") for f in features]
     rows = known(queries).select(key, *features).join(at_place, same)
     others = F.slice(F.filter("__found", lambda e: e["neighbour"] != F.col(key)), 1, k)
-    return rows.select(key, F.posexplode(others).alias("at", "one")).select(key, (F.col("at") + 1).alias("rank"), F.col("one.neighbour").alias("neighbour"), F.col("one.d2").alias("d2"), F.col("one.carry").alias(carry))
+    more = [F.col("__compared").alias("compared")] if compared else []
+    return rows.select(key, *more, F.posexplode(others).alias("at", "one")).select(key, (F.col("at") + 1).alias("rank"), F.col("one.neighbour").alias("neighbour"), F.col("one.d2").alias("d2"), F.col("one.carry").alias(carry), *(["compared"] if compared else []))
 
 
 def tomek_removed(df: DataFrame, key: str, target: str, features: list[str], majority: int) -> DataFrame:

@@ -364,12 +364,76 @@ def uq_enn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.enn_removed(_log(spark, sf_dir), "k", "is_correct", _NN_FEATURES, 1)
 
 
-@query()
-def uq_hybrid_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tested against brute force on small tables."""
-    kept_train, kept_test, gone_train, gone_test = sampling.split_and_balance(_log(spark, sf_dir), "k", "is_correct", _NN_FEATURES, "hybrid", 2.0, 2.0)
+#: Nine uncertainty features without nulls; rounded, so that equal values stay equal in any engine.
+_NINE = {"u1": "model_outcome_entropy_top_5", "u2": "model_outcome_normalized_entropy_top_5", "u3": "model_effective_choices_top_5", "u4": "model_confidence_score_top_5", "u5": "model_max_softmax_prob", "u6": "model_p1_p2_gap", "u7": "model_logprob_gap", "u8": "model_outcome_entropy_filtered", "u9": "model_effective_choices_filtered"}
+_NINE_SQL = f"select k, is_correct, {', '.join(f'round({c}, 4) as {u}' for u, c in _NINE.items())} from ({features_sql()})"
+
+
+def _nine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, is_correct, the nine features), staged: neighbours are searched several times."""
+    return staged(_features(spark, sf_dir).select("k", "is_correct", *(F.round(c, 4).alias(u) for u, c in _NINE.items())), "nine-features")
+
+
+def _nn_sql(queries: str, points: str, features: list[str], n: int) -> str:
+    d = " + ".join(f"pow(a.{f} - b.{f}, 2)" for f in features)
+    return f"(select a.k, any_value(a.y) as y, unnest(min_by(b, struct_pack(d := {d}, k := b.k), {n})) as b from ({queries}) a join {points} b on a.k <> b.k group by a.k)"
+
+
+def _tomek_sql(t: str, p: str, features: list[str]) -> str:
+    """CTEs on a table ``t`` (k, y, features): {p}_tomek has the keys of the majority (1) to be removed."""
+    return f"""{p}_m as materialized {_nn_sql(f"select * from {t} where y = 0", t, features, 1)}, {p}_h as materialized (select x.* from {t} x semi join (select b.k from {p}_m where b.y = 1) m on x.k = m.k),
+        {p}_z as materialized {_nn_sql(f"select * from {p}_h", t, features, 1)}, {p}_tomek as materialized (select distinct z.k from {p}_z z join {p}_m m on z.b.k = m.k and m.b.k = z.k)"""
+
+
+def _enn_sql(t: str, p: str, features: list[str]) -> str:
+    return f"{p}_n as materialized {_nn_sql(f'select * from {t} where y = 1', t, features, 3)}, {p}_enn as materialized (select distinct k from {p}_n where b.y = 0)"
+
+
+def _hybrid_sql(source: str, features: list[str], ratio: float) -> str:
+    """The report of ``split_and_balance`` with the hybrid method, majority 1."""
+
+    def clean(t: str, p: str) -> str:
+        return f"""{_tomek_sql(t, p, features)}, {p}_left as materialized (select x.* from {t} x anti join {p}_tomek r on x.k = r.k), {_enn_sql(f"{p}_left", p, features)},
+        {p}_rest as materialized (select x.* from {p}_left x anti join {p}_enn r on x.k = r.k),
+        {p}_kept as materialized (select * from (select *, row_number() over (partition by y order by md5('42:'||k), k) as place from {p}_rest) where y = 0 or place <= (select least(floor({ratio} * count(*) filter (y = 0)), count(*) filter (y = 1)) from {t})),
+        {p}_gone as materialized (select x.* from {t} x anti join {p}_kept r on x.k = r.k)"""
+
+    columns = ", ".join(["k", "y", *features])
+    rows = lambda name, t, where="true": f"select '{name}' as stage, sum(y)::bigint as pos, sum(1 - y)::bigint as neg, count(*) as total from {t} where {where}"
+    parts = " union all ".join([rows("kept_train", "tr_kept"), rows("kept_test", "te_kept"), rows("removed_train", "tr_gone", "y <> 1"), rows("removed_test", "te_gone")])
+    return f"""with d as materialized (select k, is_correct as y, {", ".join(features)} from ({source})), c as (select y, count(*) as n, (select count(*) from d) as t from d group by 1), x as (select *, ceil(0.2e0*t)*n/t as exact from c),
+        q as (select y, floor(exact) + case when row_number() over (order by floor(exact)-exact, y) <= ceil(0.2e0*t)-sum(floor(exact)) over () then 1 else 0 end as quota from x),
+        r as materialized (select d.*, row_number() over (partition by d.y order by md5('42:'||k), k) <= quota as is_test from d join q on d.y = q.y),
+        tr as materialized (select {columns} from r where not is_test), {clean("tr", "tr")}, te as materialized (select {columns} from r where is_test union all select {columns} from tr_gone where y = 1), {clean("te", "te")}
+        select stage, coalesce(pos, 0) as pos, coalesce(neg, 0) as neg, total, round(coalesce(pos::double/nullif(neg, 0), 0), 6) as ratio from ({parts})"""
+
+
+def _balanced(df: DataFrame, features: list[str]) -> DataFrame:
+    kept_train, kept_test, gone_train, gone_test = sampling.split_and_balance(df, "k", "is_correct", features, "hybrid", 2.0, 2.0)
     parts = {"kept_train": kept_train, "kept_test": kept_test, "removed_train": gone_train, "removed_test": gone_test}
-    return sampling.stage_report(parts, "is_correct")
+    return sampling.stage_report(parts, "is_correct").withColumn("ratio", F.round("ratio", 6))
+
+
+@query(_hybrid_sql(_A, _NN_FEATURES, 2.0))
+def uq_hybrid_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split, then Tomek links, edited neighbours and undersampling on either side."""
+    return _balanced(_log(spark, sf_dir), _NN_FEATURES)
+
+
+@query(f"with d as materialized (select k, is_correct as y, {', '.join(_NINE)} from ({_NINE_SQL})), {_tomek_sql('d', 'd', list(_NINE))} select k from d_tomek")
+def uq_tomek_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.tomek_removed(_nine(spark, sf_dir), "k", "is_correct", list(_NINE), 1)
+
+
+@query(f"with d as materialized (select k, is_correct as y, {', '.join(_NINE)} from ({_NINE_SQL})), {_enn_sql('d', 'd', list(_NINE))} select k from d_enn")
+def uq_enn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.enn_removed(_nine(spark, sf_dir), "k", "is_correct", list(_NINE), 1)
+
+
+@query(_hybrid_sql(_NINE_SQL, list(_NINE), 2.0))
+def uq_hybrid_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on nine uncertainty features."""
+    return _balanced(_nine(spark, sf_dir), list(_NINE))
 
 
 _SIDES = "b as (select r.k, r.is_correct, (rn <= quota)::int as is_test from r join q on r.is_correct = q.is_correct), s as (select *, row_number() over (partition by is_test, is_correct order by md5('42:'||k), k) as place, count(*) filter (is_correct = 0) over (partition by is_test) as n0 from b)"

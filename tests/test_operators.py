@@ -65,27 +65,44 @@ def test_cleaners_agree_with_brute_force(table):
     assert {r["k"] for r in neighbors.enn_removed(table, "k", "y", ["a", "b"], 1).collect()} == enn
 
 
-@pytest.mark.parametrize("shape", ["cloud", "one column repeats", "few places", "three features"])
-def test_nearest_over_many_strips(spark, monkeypatch, shape):
-    monkeypatch.setattr(neighbors, "STRIP", 40)
+@pytest.mark.parametrize("shape", ["cloud", "one column repeats", "few places", "three features", "nine features", "rings"])
+def test_nearest_over_many_cells(spark, monkeypatch, shape):
+    monkeypatch.setattr(neighbors, "CELL", 300 if shape == "rings" else 25)
+    monkeypatch.setattr(neighbors, "RING", 20)
     rnd = random.Random(8)
+    features = {"three features": ["a", "b", "c"], "nine features": [*"abcdefghi"]}.get(shape, ["a", "b"])
     rows = []
     for i in range(700):
-        a, b = rnd.gauss(0, 1), rnd.gauss(0, 1)
+        x = [rnd.gauss(i % 3, 1) for _ in features]
         if shape == "one column repeats":
-            a = 0.5 if i % 3 else a
+            x[0] = 0.5 if i % 3 else x[0]
         if shape == "few places":
-            a, b = round(a), 1.0
-        rows.append((i, i % 4, float(a) * (100 if i == 5 else 1), b, 1.0 if shape != "three features" else rnd.random()))
-    df = spark.createDataFrame(rows, "k int, y int, a double, b double, c double").repartition(5)
-    features = ["a", "b", "c"] if shape == "three features" else ["a", "b"]
-    at = {r[0]: r[2 : 2 + len(features)] for r in rows}
+            x = [float(round(x[0])), 1.0]
+        rows.append((i, i % 4, x[0] * (100 if i == 5 else 1), *x[1:]))
+    df = spark.createDataFrame(rows, "k int, y int, " + ", ".join(f"{f} double" for f in features)).repartition(5)
+    at = {r[0]: r[2:] for r in rows}
     want = set()
     for k in range(0, 700, 7):
         near = sorted((sum((p - q) ** 2 for p, q in zip(at[k], x)), j) for j, x in at.items() if j != k)[:3]
         want |= {(k, n, j, j % 4) for n, (_, j) in enumerate(near, 1)}
-    found = neighbors.nearest(df.filter("k % 7 = 0"), df, "k", features, 3, "y").collect()
+    found = neighbors.nearest(df.filter("k % 7 = 0"), df, "k", features, 3, "y", compared=True).collect()
     assert {(r["k"], r["rank"], r["neighbour"], r["y"]) for r in found} == want and len(found) == len(want)
+    if shape in ("cloud", "three features", "rings"):
+        assert sum(r["compared"] for r in found if r["rank"] == 1) < 100 * 700 * 0.7
+
+
+def test_nearest_of_other_points(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "CELL", 20)
+    rnd = random.Random(3)
+    points = spark.createDataFrame([(i, i % 2, rnd.gauss(0, 1), rnd.gauss(0, 1)) for i in range(200)], "k int, y int, a double, b double")
+    far = spark.createDataFrame([(1000 + i, 0, 50.0 + i, 3.0) for i in range(5)] + [(2000, 0, None, 1.0)], points.schema)
+    found = neighbors.nearest(far, points, "k", ["a", "b"], 2, "y").collect()
+    rows = points.collect()
+    for q in range(5):
+        near = sorted(((r["a"] - 50.0 - q) ** 2 + (r["b"] - 3.0) ** 2, r["k"]) for r in rows)[:2]
+        assert [r["neighbour"] for r in sorted(found, key=lambda r: r["rank"]) if r["k"] == 1000 + q] == [k for _, k in near]
+    assert len(found) == 10
+    assert neighbors.nearest(far, points.limit(0), "k", ["a", "b"], 2, "y").count() == 0
 
 
 def test_nulls_make_cleaning_random(table):
