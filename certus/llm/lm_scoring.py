@@ -193,8 +193,10 @@ def train(net: Network, stream: np.ndarray, rate: float = RATE, adam: gru.Adam |
     w = net.weights
     adam = adam or gru.Adam(w, rate)
     lanes = max(1, min(_LANES, len(stream) // (_STEPS * _WINDOWS)))
-    length = len(stream) // lanes
-    target = stream[: lanes * length].reshape(lanes, length).T
+    length = -(-len(stream) // lanes)
+    # the last lane is filled up with ends that nothing is learned from
+    target = np.concatenate([stream, np.full(lanes * length - len(stream), _END)]).reshape(lanes, length).T
+    counts = np.arange(lanes * length).reshape(lanes, length).T < len(stream)
     source = np.vstack([np.full((1, lanes), _END), target[:-1]])
     h = np.zeros((w["u"].shape[1], lanes), np.float32)
     for at in range(0, length, _STEPS):
@@ -202,7 +204,12 @@ def train(net: Network, stream: np.ndarray, rate: float = RATE, adam: gru.Adam |
         carry = (ids != _END).astype(np.float32)
         states, kept = gru.forward(np.take(_gate_inputs(w), ids, axis=1), h, carry, w["u"], w["bu"])
         grads: dict[str, np.ndarray] = {}
-        d_states = _output(net, states.reshape(len(states), -1), goal.ravel(), grads)[1]
+        flat, real = states.reshape(len(states), -1), np.flatnonzero(counts[at : at + _STEPS])
+        if len(real) == goal.size:
+            d_states = _output(net, flat, goal.ravel(), grads)[1]
+        else:
+            d_states = np.zeros_like(flat)
+            d_states[:, real] = _output(net, flat[:, real], goal.ravel()[real], grads)[1]
         dx, recurrent = gru.backward(d_states.reshape(states.shape), kept, carry, w["u"])
         grads |= recurrent
         # sums by word, then through the embedding
@@ -213,7 +220,7 @@ def train(net: Network, stream: np.ndarray, rate: float = RATE, adam: gru.Adam |
         grads["embed"] = np.zeros_like(w["embed"])
         grads["embed"][seen] = by_word.T @ w["w"].T
         for g in grads.values():
-            g /= np.float32(goal.size)
+            g /= np.float32(len(real))
         adam.step(grads)
         h = states[:, -1]
 

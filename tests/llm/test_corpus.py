@@ -163,3 +163,21 @@ def test_extra_columns_do_not_disturb(spark):
     df = spark.createDataFrame([(i, f"a b c{i}\nd e", 1, "x", 2.0, 3) for i in range(6)], "doc_id long, text string, fingerprint int, edited string, n_tokens double, next int")
     assert fingerprints.edited_fingerprints(df).count() == 6
     assert lm_scoring.score_documents(df, F.lit(True)).count() == 6
+
+
+def test_every_token_is_learned_from_once(monkeypatch):
+    rng, seen = np.random.default_rng(4), []
+    inner = lm_scoring._output
+
+    def counted(net, states, targets, grads=None):
+        seen.append(np.array(targets))
+        return inner(net, states, targets, grads)
+
+    monkeypatch.setattr(lm_scoring, "_output", counted)
+    for size in (2, 3, 511, 4097, 70_003):
+        seen.clear()
+        net = lm_scoring.new_network(np.array([50.0, 20, 9, 5, 3, 2, 1, 1]), classes=3)
+        stream = rng.integers(0, 8, size)
+        lm_scoring.train(net, stream)
+        assert sorted(np.concatenate(seen).tolist()) == sorted(stream.tolist())
+        assert all(np.isfinite(w).all() for w in net.weights.values())
