@@ -17,8 +17,10 @@ from certus.plans.staging import staged
 
 #: Labelled urls that training takes at most, about (a bounded sample by hash of the url).
 MAX_LABELLED = 20_000
-#: Host suffixes whose statistics the model keeps: the most frequent ones among the training urls.
-MAX_SUFFIXES = 1_000
+#: Parts of the labelled urls; a training url's statistics come from the other parts.
+PARTS = 5
+#: Labels that a suffix or path segment without any counts as having, at the mean share of blocks.
+_PRIOR = 10
 
 
 @dataclass(frozen=True)
@@ -93,18 +95,38 @@ def _suffix(host: Column) -> Column:
     return F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1)
 
 
+def _segment(path: Column) -> Column:
+    """The path's first segment."""
+    return F.regexp_extract(path, "^/([^/]*)", 1)
+
+
+#: What statistics are kept of.
+_KINDS = {"suffix": (_suffix, "__host"), "segment": (_segment, "__path")}
+
+
 @dataclass
 class UrlModel:
-    """Fitted trees with the statistics of host suffixes, or one verdict where the labels have one class or none."""
+    """Fitted trees with the statistics of host suffixes and path segments, or one verdict where the labels have one class
+    or none."""
 
     assembler: VectorAssembler | None
     trees: object | None
-    suffixes: DataFrame | None
+    statistics: dict[str, DataFrame] | None
     prior_block: float
-    mean_log_count: float = 0.0
 
-    def _with_features(self, urls: DataFrame) -> DataFrame:
-        return urls.join(F.broadcast(self.suffixes), "__suffix", "left").fillna({"__suffix_log_count": self.mean_log_count, "__suffix_block": self.prior_block})
+    def _with_features(self, urls: DataFrame, part: Column | None = None) -> DataFrame:
+        """``urls`` with the statistics; of labels outside ``part``, if given. A value without labels has the prior.
+
+        The tables have a row for each suffix or segment, so the engine broadcasts them by their size or shuffles.
+        """
+        for kind, table in self.statistics.items():
+            urls = urls.join(table.withColumnsRenamed({"n": "__n", "b": "__b", "parts": "__parts"}), f"__{kind}", "left")
+            n, b = (F.coalesce(f"__{c}", F.lit(0)) for c in "nb")
+            if part is not None:
+                own = F.try_element_at("__parts", part)
+                n, b = n - F.coalesce(own["n"], F.lit(0)), b - F.coalesce(own["b"], F.lit(0))
+            urls = urls.withColumns({f"__{kind}_log_count": F.log1p(n), f"__{kind}_block": (b + _PRIOR * self.prior_block) / (n + _PRIOR)}).drop("__n", "__b", "__parts")
+        return urls
 
 
 def _prepared(urls: DataFrame, url_col: str, rules: list[UrlRule]) -> DataFrame:
@@ -113,34 +135,42 @@ def _prepared(urls: DataFrame, url_col: str, rules: list[UrlRule]) -> DataFrame:
     parts = urls.withColumns({"__host": url_host(url), "__path": url_path(url)})
     text, allow = first_rule(F.col("__host"), F.col("__path"), rules)
     numbers = lexical_features(url, F.col("__host"), F.col("__path"))
-    return parts.withColumns({"__rule": text, "__rule_allow": allow, "__suffix": _suffix(F.col("__host")), **{f"__f_{k}": v for k, v in numbers.items()}})
+    return parts.withColumns({"__rule": text, "__rule_allow": allow, **{f"__{k}": of(F.col(c)) for k, (of, c) in _KINDS.items()}, **{f"__f_{k}": v for k, v in numbers.items()}})
 
 
-def fit(urls: DataFrame, rules: list[UrlRule], url_col: str = "url", max_labelled: int = MAX_LABELLED, max_suffixes: int = MAX_SUFFIXES, trees: int = 20, depth: int = 4, seed: int = 11) -> UrlModel:
-    """Fit on the urls that a rule decides (about ``max_labelled`` of them, sampled by hash of the url)."""
+def _statistics(labelled: DataFrame, kind: str) -> DataFrame:
+    """(value of the kind, labels n, blocks b, parts: a map from part to its n and b) over all labelled urls."""
+    by_part = labelled.groupBy(f"__{kind}", "__part").agg(F.count("*").alias("n"), F.sum("label").cast("bigint").alias("b"))
+    pairs = F.map_from_entries(F.collect_list(F.struct("__part", F.struct("n", "b"))))  # PARTS at most
+    return staged(by_part.groupBy(f"__{kind}").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), pairs.alias("parts")), f"url-{kind}")
+
+
+def fit(urls: DataFrame, rules: list[UrlRule], url_col: str = "url", max_labelled: int = MAX_LABELLED, trees: int = 20, depth: int = 4, seed: int = 11) -> UrlModel:
+    """Fit on the urls that a rule decides.
+
+    Statistics count all of them, each distinct url once; the trees learn from about ``max_labelled``, sampled by hash. A
+    url's own label, and those of its part, stay out of the statistics that the trees see with it.
+    """
     url = F.col(url_col)
     text, allow = first_rule(url_host(url), url_path(url), rules)
-    by_class = {r["allow"]: r["n"] for r in urls.select(allow.alias("allow")).filter("allow IS NOT NULL").groupBy("allow").agg(F.count("*").alias("n")).collect()}
-    n, blocked = sum(by_class.values()), by_class.get(False, 0)
+    once = urls.select(url.alias("url"), allow.alias("allow")).filter("allow IS NOT NULL").groupBy("url").agg(F.first("allow").alias("allow"))
+    place = F.xxhash64("url")
+    parts = once.select("url", (~F.col("allow")).cast("int").alias("label"), url_host(F.col("url")).alias("__host"), url_path(F.col("url")).alias("__path"), F.pmod(place, F.lit(PARTS)).cast("int").alias("__part"))
+    labelled = staged(parts.select("url", "label", "__part", *(of(F.col(c)).alias(f"__{k}") for k, (of, c) in _KINDS.items())), "url-labels")
+    by_class = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n, blocked = sum(by_class.values()), by_class.get(1, 0)
     if len(by_class) < 2:
         return UrlModel(None, None, None, 1.0 if blocked else 0.0)
-    sample = urls.select(url.alias("url")).filter(allow.isNotNull())
+    sample = labelled.select("url", "label", "__part")
     if n > max_labelled:
-        sample = sample.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1e6 * max_labelled / n))
-    sample = staged(_prepared(sample, "url", rules).withColumn("label", (~F.col("__rule_allow")).cast("double")), "url-sample")
-    prior = blocked / n
-    # a suffix's own label is left out of the trees' way by smoothing with the prior
-    suffixes = staged(
-        sample.groupBy("__suffix").agg(F.count("*").alias("n"), F.sum("label").alias("b")).orderBy(F.desc("n"), "__suffix").limit(max_suffixes).select("__suffix", F.log1p("n").alias("__suffix_log_count"), ((F.col("b") + 10 * prior) / (F.col("n") + 10)).alias("__suffix_block")),
-        "url-suffixes",
-    )
-    names = [c for c in sample.columns if c.startswith("__f_")] + ["__suffix_log_count", "__suffix_block"]
-    # an unknown suffix counts as an average one
-    average = suffixes.agg(F.sum(F.col("__suffix_log_count") * F.expm1("__suffix_log_count")) / F.sum(F.expm1("__suffix_log_count"))).first()[0]
-    model = UrlModel(VectorAssembler(inputCols=names, outputCol="__features"), None, suffixes, prior, average)
-    ready = model.assembler.transform(model._with_features(sample))
+        # another hash than the parts'; a share of 63 bits never rounds to nothing
+        sample = sample.filter(F.shiftrightunsigned(F.xxhash64("url", F.lit(seed)), 1).cast("double") < F.lit(max_labelled / n * float(1 << 63)))
+    sample = staged(_prepared(sample, "url", rules), "url-sample")
+    names = [c for c in sample.columns if c.startswith("__f_")] + [f"__{k}_{s}" for k in _KINDS for s in ("log_count", "block")]
+    model = UrlModel(VectorAssembler(inputCols=names, outputCol="__features"), None, {k: _statistics(labelled, k) for k in _KINDS}, blocked / n)
+    ready = model.assembler.transform(model._with_features(sample, F.col("__part")))
     if len(ready.select("label").distinct().collect()) < 2:
-        return UrlModel(None, None, None, round(prior))
+        return UrlModel(None, None, None, float(round(blocked / n)))
     gbt = GBTClassifier(featuresCol="__features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.2, seed=seed)
     model.trees = gbt.fit(ready)
     return model
@@ -157,7 +187,9 @@ def judge(urls: DataFrame, model: UrlModel, rules: list[UrlRule], url_col: str =
     if model.trees is None:
         scored = ready.withColumn("block_score", F.lit(float(model.prior_block)))
     else:
-        scored = model.trees.transform(model.assembler.transform(model._with_features(ready)))
+        # an url that a rule decides may have been learned from: its own label stays out of its score, as it did then
+        part = F.when(F.col("__rule").isNotNull(), F.pmod(F.xxhash64("__url"), F.lit(PARTS)).cast("int"))
+        scored = model.trees.transform(model.assembler.transform(model._with_features(ready, part)))
         scored = scored.withColumn("block_score", vector_to_array("probability")[1])
     allowed = F.coalesce(F.col("__rule_allow"), F.col("block_score") < 0.5)
     return scored.select(*(F.col(f"__keep_{c}").alias(c) for c in keep), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.when(allowed, "allow").otherwise("block").alias("verdict"), "block_score")

@@ -149,6 +149,27 @@ def test_trees_judge_urls_that_they_have_not_seen(spark):
     assert len(held) == 400 and np.mean([a == b for a, b in known]) > 0.95
 
 
+def test_urls_of_one_half_are_judged_by_the_other(spark):
+    """No rule is asked: the trees alone agree with the rules on urls that they haven't learned from."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    half = F.pmod(F.xxhash64("url", F.lit(99)), F.lit(2))
+    judged = url_filter.judge(pages.filter(half == 1), url_filter.fit(pages.filter(half == 0), URL_RULES), URL_RULES)
+    blocked, scored = (F.col("verdict") == "block").cast("int"), (F.col("block_score") >= 0.5).cast("int")
+    right, share = judged.filter("rule IS NOT NULL").agg(F.avg((blocked == scored).cast("int")), F.avg(blocked)).first()
+    assert right > max(share, 1 - share) + 0.1
+
+
+def test_own_label_stays_out_of_the_statistics(spark):
+    urls = spark.createDataFrame([(i, f"https://s{i}.org/a/{i}") for i in range(60)] + [(100 + i, f"https://t{i}.com/de/{i}") for i in range(60)], "page_id long, url string")
+    model = url_filter.fit(urls, URL_RULES)
+    row = model.statistics["suffix"].filter("__suffix = 's3.org'").first()
+    assert row["n"] == 1 and list(row["parts"].values())[0]["n"] == 1
+    part = list(row["parts"])[0]
+    one = spark.createDataFrame([("s3.org", "a")], "__suffix string, __segment string")
+    own = model._with_features(one, F.lit(part)).first()
+    assert own["__suffix_log_count"] == 0 and abs(own["__suffix_block"] - model.prior_block) < 1e-12
+
+
 def test_toxicity_in_spark(spark):
     rnd = random.Random(11)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
