@@ -207,7 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).filter("__id IS NOT NULL AND __label IN (0, 1)").groupBy("__id").agg(F.min("__label").alias("__label"))
     n = usable.count()
     if n > max_labelled:
-        usable = usable.filter(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1e6 * max_labelled / n))
+        # a share of 63 bits never rounds to nothing
+        usable = usable.filter(F.shiftrightunsigned(F.xxhash64("__id"), 1).cast("double") < F.lit(max_labelled / n * float(1 << 63)))
     # at most about max_labelled ids, 16 bytes each
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(usable), "__id")
     turn = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("__text"), "__text"))

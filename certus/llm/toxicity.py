@@ -327,8 +327,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     usable = labels.filter(learn).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).filter("__id IS NOT NULL AND __label IN (0, 1)").groupBy("__id").agg(F.max("__label").alias("__label"))
     n = {r["__label"]: r["count"] for r in usable.groupBy("__label").count().collect()}
     share = {y: min(1.0, most / max(1, n.get(y, 0))) for y, most in ((1, max_toxic), (0, max_clean))}
-    place = F.pmod(F.xxhash64("__id"), F.lit(1_000_000))
-    picked = usable.filter(place < F.when(F.col("__label") == 1, int(1e6 * share[1])).otherwise(int(1e6 * share[0])))
+    # shares of 63 bits never round to nothing
+    place = F.shiftrightunsigned(F.xxhash64("__id"), 1).cast("double") / float(1 << 63)
+    picked = usable.filter(place < F.when(F.col("__label") == 1, F.lit(share[1])).otherwise(F.lit(share[0])))
     # at most about max_toxic + max_clean ids, 16 bytes each
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
     turn = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("__text"), "__text"))
