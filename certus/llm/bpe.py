@@ -26,7 +26,7 @@ LONG_PIECE = 2048
 
 _NEVER = np.int32((1 << 31) - 1)
 #: Bytes of text that are encoded, and ids that are decoded, at once, about.
-_BYTES, _IDS = 6 << 20, 2 << 20
+_BYTES, _IDS = 3 << 20, 1 << 20
 
 
 def read_ranks(path: str) -> bytes:
