@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from certus.operators import stats
+from certus.operators import information, stats
 from certus.plans.staging import staged
 
 
@@ -74,7 +74,7 @@ def select_features(df: DataFrame, columns: list[str], target: str, trees: int =
     gone = set(stats.drop_collinear(pairs, {c: x["r"] for c, x in r.items()}))
     left, _ = drop_inflated(gram_matrix(ready, [c for c in columns if c not in gone]), [c for c in columns if c not in gone])
     by_r = [c for c in left if r[c]["r"] is not None and abs(r[c]["r"]) > least_r and r[c]["significant"]]
-    by_mi = [x["feature"] for x in stats.mutual_information(ready, left, target).orderBy(F.desc("mi"), "feature").limit(top).collect()]
+    by_mi = [x["feature"] for x in information.neighbour_information(ready, left, target).orderBy(F.desc("mi"), "feature").limit(top).collect()]
     by_forest = [x["feature"] for x in forest_importance(ready, left, target, trees, seed).filter("selected = 1").collect()]
     return vote(df.sparkSession, {"statistical": by_r, "mutual_info": by_mi, "random_forest": by_forest}, left)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from certus.adapters import answer_log, answer_log_sql, features_sql
 from certus.functions.text import clipped
 from certus.functions.uncertainty import FEATURES, with_features
-from certus.operators import boosting, metrics, models, neighbors, preprocess, sampling, selection, stats, validate
+from certus.operators import boosting, information, metrics, models, neighbors, preprocess, sampling, selection, stats, validate
 from certus.plans import workloads
 from certus.plans.staging import new_path, staged
 from certus.schema import CONCEPTS, ENTRIES, TOKENS
@@ -283,6 +283,27 @@ def uq_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.mutual_information(_rounded(spark, sf_dir), list(SHORT), "y").select("feature", r6("mi"))
 
 
+#: Whole numbers, so that distances are exact in any engine.
+_GRID = f"select k, y, feature, round(v * 1e4) as v from ({_LONG.replace('select y,', 'select k, y,')})"
+
+
+def _digamma_sql(x: str) -> str:
+    z = f"(1e0/(({x})+6e0)/(({x})+6e0))"
+    return f"(ln(({x})+6e0) - 0.5e0/(({x})+6e0) - {z}*(1e0/12 - {z}*(1e0/120 - {z}/252e0)) - ({'+'.join(f'1e0/(({x})+{i})' for i in range(6))}))"
+
+
+@query(f"""with l as materialized ({_GRID}), c as (select feature, y, count(*) as nc from l group by all having count(*) > 1), r as materialized (select l.*, nc, least(3, nc - 1) as kk from l join c on l.feature = c.feature and l.y = c.y),
+    v as materialized (select feature, y, v, count(*) as n, any_value(nc) as nc, any_value(kk) as kk from r group by feature, y, v), a as materialized (select feature, v, sum(n) as n from v group by all),
+    e as (select feature, y, v, unnest(range(least(n, 4))) as copy from v),
+    d as materialized (select v.feature, v.y, v.v, v.n, v.nc, v.kk, list_extract(min(abs(v.v - e.v), 4), v.kk + 1) as d from v join e on v.feature = e.feature and v.y = e.y group by v.feature, v.y, v.v, v.n, v.nc, v.kk),
+    m as (select d.feature, d.y, d.v, any_value(d.n) as n, any_value(d.nc) as nc, any_value(case when d.d = 0 then d.n - 1 else d.kk end) as kk, sum(a.n) as m from d join a on d.feature = a.feature and (abs(a.v - d.v) < d.d or a.v = d.v) group by d.feature, d.y, d.v)
+    select feature, sum(n)::bigint as n, round(greatest(0, {_digamma_sql('sum(n)')} + sum(n * {_digamma_sql('kk')}) / sum(n) - sum(n * {_digamma_sql('nc')}) / sum(n) - sum(n * {_digamma_sql('m')}) / sum(n)), 6) as mi from m group by feature""")
+def uq_neighbour_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutual information by the third neighbour of a value's class."""
+    whole = _short(spark, sf_dir).withColumns({s: F.round(F.col(s) * 1e4) for s in SHORT})
+    return information.neighbour_information(whole, list(SHORT), "y").select("feature", "n", r6("mi"))
+
+
 @query(f"with d as ({_S}), s as (select sum(h*h) as aa, sum(g*g) as bb, sum(h*g) as ab from d) select unnest(['h','g']) as feature, round(1e0/(1e0-ab*ab/(aa*bb)),4) as vif from s")
 def uq_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.inflation_table(_short(spark, sf_dir), ["h", "g"]).select("feature", F.round("vif", 4).alias("vif"))
