@@ -198,8 +198,20 @@ def bpe_encode(text: Column, ranks: bytes, pattern: str) -> Column:
         parts = [_encode_some(texts.slice(at, n), _vocabulary(ranks), _compiled(pattern)) for at, n in text_slices(texts, _BYTES)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
-    # so that the optimizer doesn't copy the call into each use of the ids
-    return encode.asNondeterministic()(text)
+    return encode(text)
+
+
+def _decode_all(lists: pa.Array, vocabulary: _Vocabulary) -> pa.Array:
+    tokens, out = vocabulary.by_id, []
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    for at, n in slices(sizes, _IDS):
+        found = tokens.take(lists.slice(at, n).flatten())
+        if found.null_count:
+            raise KeyError("an id that the vocabulary doesn't have")
+        _, offsets, data = found.buffers()
+        ends = np.frombuffer(offsets, np.int32)[: len(found) + 1][np.r_[0, np.cumsum(sizes[at : at + n])]]
+        out.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), data]))
+    return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
 
 def bpe_decode(ids: Column, ranks: bytes) -> Column:
@@ -207,21 +219,27 @@ def bpe_decode(ids: Column, ranks: bytes) -> Column:
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
-        tokens, out = _vocabulary(ranks).by_id, []
-        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        for at, n in slices(sizes, _IDS):
-            found = tokens.take(lists.slice(at, n).flatten())
-            if found.null_count:
-                raise KeyError("an id that the vocabulary doesn't have")
-            _, offsets, data = found.buffers()
-            ends = np.frombuffer(offsets, np.int32)[: len(found) + 1][np.r_[0, np.cumsum(sizes[at : at + n])]]
-            out.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), data]))
-        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
+        return _decode_all(lists, _vocabulary(ranks))
 
     return decode(ids)
 
 
+def bpe_round_trip(text: Column, ranks: bytes, pattern: str) -> Column:
+    """A struct of ``bpe_encode``'s ids and the bytes (decoded) that they stand for, by one call in one worker."""
+    names = ["ids", "decoded"]
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def round_trip(texts: pa.Array) -> pa.Array:
+        texts, vocabulary = texts.fill_null(""), _vocabulary(ranks)
+        parts = [_encode_some(texts.slice(at, n), vocabulary, _compiled(pattern)) for at, n in text_slices(texts, _BYTES)]
+        ids = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        return pa.StructArray.from_arrays([ids, _decode_all(ids, vocabulary)], names)
+
+    # so that the optimizer doesn't copy the call into each use of its fields
+    return round_trip.asNondeterministic()(text)
+
+
 def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, decoded binary) for each row of ``docs``, repeated rows included; other columns are ignored."""
-    encoded = docs.select(F.col(id_col).alias("doc_id"), bpe_encode(F.col(text_col), ranks, pattern).alias("ids"))
-    return encoded.select("doc_id", "ids", bpe_decode(F.col("ids"), ranks).alias("decoded"))
+    encoded = docs.select(F.col(id_col).alias("doc_id"), bpe_round_trip(F.col(text_col), ranks, pattern).alias("done"))
+    return encoded.select("doc_id", "done.ids", "done.decoded")
