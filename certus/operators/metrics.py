@@ -92,8 +92,11 @@ def ranking_metrics(df: DataFrame, truth: str, score: str, by: list[str] = ()) -
     by = list(by)
     c = score_counts(df, truth, score, by)
     totals = c.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    # a row for each group
-    c = c.join(F.broadcast(totals), by) if by else c.crossJoin(F.broadcast(totals))
+    if by:
+        c = c.join(F.broadcast(totals), by)  # a row for each group
+    else:
+        one = totals.first()  # two numbers
+        c = c.withColumns({n: F.lit(one[n]).cast("bigint") for n in totals.columns})
     pos, neg = F.max("all_pos"), F.max("all_neg")
     wins = F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2))
     tp, tn = F.col("pos_above") + F.col("pos"), F.col("all_neg") - F.col("neg_above")

@@ -276,6 +276,11 @@ def search_boosted(df: DataFrame, features: list[str], target: str, key: str, n_
     return fit_sample(table, features, cuts, [Grower(drawn[best], len(features))], rows)[0], result.drop("seed")
 
 
+def model_from_json(text: str) -> Linear | Boosted:
+    """The model that a ``to_json`` wrote."""
+    return Boosted.from_json(text) if json.loads(text).get("kind") == "boosted" else Linear.from_json(text)
+
+
 def min_max_scores(df: DataFrame, score: Column) -> DataFrame:
     """``probability`` for models without one: scores brought to 0..1 by their extremes over all rows."""
     scored = df.withColumn("__s", score)

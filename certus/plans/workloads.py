@@ -16,14 +16,14 @@ def feature_table(records: DataFrame) -> DataFrame:
     return with_entry_features(preprocess.samples(preprocess.concept_rows(records)))
 
 
-def score_records(records: DataFrame, model: models.Linear, threshold: float, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(predictions, rejected records). The model must be calibrated."""
+def score_records(records: DataFrame, model: models.Linear | models.Boosted, threshold: float, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(predictions, rejected records). A linear model must be calibrated."""
     valid, rejected = validate.prepare(records, max_records)
     ready = validate.aligned(with_features(valid), list(model.features))
     return models.predictions(ready.withColumn("probability", model.probability()), threshold), rejected
 
 
-def score_file(spark: SparkSession, path: str, model: models.Linear, threshold: float, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
+def score_file(spark: SparkSession, path: str, model: models.Linear | models.Boosted, threshold: float, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Score a file; no record that can be scored: ValueError."""
     scored, rejected = score_records(read_records(spark, path), model, threshold, max_records)
     if not scored.limit(1).count():
@@ -31,31 +31,51 @@ def score_file(spark: SparkSession, path: str, model: models.Linear, threshold:
     return scored, rejected
 
 
-def experiment(table: DataFrame, key: str, target: str, features: list[str], method: str = "hybrid", costs: models.Costs = models.Costs(), seed: int = 42, train_ratio: float = 6.0, test_ratio: float = 6.0, metric: str = "f1", parts: tuple | None = None) -> tuple[float, DataFrame, DataFrame]:
+def evaluate(scored: DataFrame, target: str, costs: models.Costs) -> tuple[float, DataFrame, DataFrame]:
+    """(tuned threshold, metrics at 0.5 and there, error analysis) of rows with ``probability``."""
+    tuned, report = models.holdout(scored, target, costs)
+    analysed = metrics.error_analysis(scored, "probability") if "llm_prediction" in scored.columns else scored.withColumn("meta_model_confidence", F.col("probability"))
+    return tuned, report, analysed
+
+
+def experiment(table: DataFrame, key: str, target: str, features: list[str], method: str = "hybrid", costs: models.Costs = models.Costs(), seed: int = 42, train_ratio: float = 6.0, test_ratio: float = 6.0, metric: str = "f1", parts: tuple | None = None, searched: DataFrame | None = None) -> tuple[float, DataFrame, DataFrame]:
     """(tuned threshold, metrics at 0.5 and there, error analysis of the test rows).
 
     Split, balance, search the ridge's penalty and class weight by folds, calibrate with the best ones, evaluate. The
     table, the balanced parts, the folds and the scores are staged, as several jobs read each. ``parts`` may hold the
-    result of ``split_and_balance``.
+    result of ``split_and_balance``, and ``searched`` the table of a search over its training rows.
     """
     train, test, _, _ = parts or sampling.split_and_balance(staged(table, "experiment"), key, target, features, method, train_ratio, test_ratio, seed=seed)
-    searched = models.search_ridge(train, features, target, key, costs, metric=metric, seed=seed)[1]
+    searched = models.search_ridge(train, features, target, key, costs, metric=metric, seed=seed)[1] if searched is None else searched
     best = searched.orderBy(F.col(metric).asc() if metric == "cost" else F.col(metric).desc(), "alpha", "positive_weight").first()
     probability = models.calibrated_probability(train, features, target, key, alpha=best["alpha"], seed=seed, positive_weight=best["positive_weight"])
-    scored = staged(probability(test), "scored")
-    tuned, report = models.holdout(scored, target, costs)
-    analysed = metrics.error_analysis(scored, "probability") if "llm_prediction" in scored.columns else scored.withColumn("meta_model_confidence", F.col("probability"))
-    return tuned, report, analysed
+    return evaluate(staged(probability(test), "scored"), target, costs)
+
 
+#: Experiments by name: the family, and the metric by which its search chooses.
+EXPERIMENTS = {"Ridge_f1": ("ridge", "f1"), "Boosted_f1": ("boosted", "f1"), "Ridge_cost": ("ridge", "cost")}
 
-def all_experiments(table: DataFrame, key: str, target: str, features: list[str], refits: tuple[str, ...] = ("f1", "cost"), method: str = "hybrid", costs: models.Costs = models.Costs(), seed: int = 42) -> DataFrame:
-    """A row for each experiment (ridge, refitted on each metric) with its tuned threshold and test metrics, best test_f1
-    first. All share one split."""
+
+def all_experiments(table: DataFrame, key: str, target: str, features: list[str], experiments: dict[str, tuple[str, str]] = EXPERIMENTS, method: str = "hybrid", costs: models.Costs = models.Costs(), seed: int = 42, n_iter: int = 10) -> DataFrame:
+    """A row for each experiment with its tuned threshold and test metrics, best test_f1 first.
+
+    All share one split and balance, 6 to 1 on both sides, and the ridge experiments one search.
+    """
     parts = sampling.split_and_balance(staged(table, "experiment"), key, target, features, method, 6.0, 6.0, seed=seed)
+    train, test = parts[:2]
+    grid = None
     out = None
-    for metric in refits:
-        tuned, report, _ = experiment(table, key, target, features, method, costs, seed, metric=metric, parts=parts)
-        row = report.filter(F.col("threshold") == tuned).limit(1)
-        row = row.select(F.lit(f"Ridge_{metric}").alias("experiment_name"), F.col("threshold").alias("optimal_threshold"), *(F.col(c).alias(f"test_{c}") for c in ("f1", "f1_macro", "precision", "recall", "accuracy", "balanced_accuracy", "cost")))
+    for name, (family, metric) in experiments.items():
+        if family == "boosted":
+            model, _ = models.search_boosted(train, features, target, key, n_iter, costs, metric, seed=seed)
+            scored = staged(test.withColumn("probability", model.probability()), "scored")
+            tuned, report, _ = evaluate(scored, target, costs)
+        else:
+            grid = models.search_ridge(train, features, target, key, costs, metric=metric, seed=seed)[1] if grid is None else grid
+            tuned, report, scored = experiment(table, key, target, features, method, costs, seed, metric=metric, parts=parts, searched=grid)
+        ranks = metrics.ranking_metrics(scored, target, "probability" if "probability" in scored.columns else "meta_model_confidence")
+        ranked = ranks.first()  # a few numbers
+        row = report.filter(F.col("threshold") == tuned).limit(1).withColumns({c: F.lit(ranked[c]).cast("double") for c in ranks.columns})
+        row = row.select(F.lit(name).alias("experiment_name"), F.col("threshold").alias("optimal_threshold"), *(F.col(c).alias(f"test_{c}") for c in ("f1", "f1_macro", "precision", "recall", "accuracy", "balanced_accuracy", "cost", "roc_auc", "average_precision")))
         out = row if out is None else out.unionByName(row)
     return out.orderBy(F.desc("test_f1"), "experiment_name")
