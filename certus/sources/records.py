@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from certus.functions.text import strip
+from certus.plans.staging import staged
 from certus.schema import RECORD, SCORING_RECORD
 
 
@@ -43,10 +44,40 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType = SCORING_REC
     return parse_lines(whole.select(F.explode(items).alias("value")), schema, strip_commas=False)[0]
 
 
+def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(text): the rows of CSV files without their headers, line breaks in quoted cells included, read by many tasks.
+
+    A line starts a row if an even number of quotes stands before it. Blocks of a file say how many quotes they have and
+    how many rows start in them either way; sums over the blocks before tell each block where it stands. Only rows of
+    several lines are put together by a shuffle. Quotes in cells that aren't quoted aren't allowed; empty lines are left
+    out.
+    """
+    read = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = staged(read.withColumn("odd", F.pmod(quotes, F.lit(2))), "csv-lines")
+    inside = Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    turned = lines.withColumn("turned", F.pmod(F.coalesce(F.sum("odd").over(inside), F.lit(0)), F.lit(2)))
+    blocks = turned.groupBy("file", "block").agg(F.sum("odd").alias("odds"), F.count_if(F.col("turned") == 0).alias("even_starts"), F.count_if(F.col("turned") == 1).alias("odd_starts"))
+    # a file has a block for some hundred megabytes
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("entered", F.pmod(F.coalesce(F.sum("odds").over(earlier), F.lit(0)), F.lit(2)))
+    starts = F.when(F.col("entered") == 0, F.col("even_starts")).otherwise(F.col("odd_starts"))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum(starts).over(earlier), F.lit(0))).select("file", "block", "entered", "before")
+    upto = Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = turned.join(blocks, ["file", "block"]).withColumn("starts", F.col("turned") == F.col("entered"))
+    numbered = placed.withColumn("row", F.col("before") + F.sum(F.col("starts").cast("int")).over(upto)).select("file", "row", "place", "value", "starts", "odd")
+    numbered = staged(numbered.filter("row > 1"), "csv-numbered")  # the first is the header
+    alone = F.col("starts") & (F.col("odd") == 0)
+    several = numbered.filter(~alone).groupBy("file", "row").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("parts"))
+    joined = several.select(F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("text"))
+    rows = numbered.filter(alone).select(F.col("value").alias("text")).unionByName(joined)
+    return rows.select(F.regexp_replace("text", "\r$", "").alias("text")).filter("text <> ''")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """content_id and a cell with JSON tokens."""
-    rows = spark.read.schema("content_id string, top_logprobs string").csv(path, header=True, quote='"', escape='"', multiLine=True)
-    return rows.withColumn("logprobs_data", F.lit(None).cast("string"))
+    """content_id and a cell with JSON tokens; see ``csv_rows``."""
+    parsed = F.from_csv("text", F.lit("content_id string, top_logprobs string"), {"quote": '"', "escape": '"'})
+    return csv_rows(spark, path).select(parsed.alias("r")).select("r.*").withColumn("logprobs_data", F.lit(None).cast("string"))
 
 
 def read_records(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
