@@ -37,11 +37,61 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = RECOR
     return parse_lines(spark.read.text(path), schema, strip_commas)[0]
 
 
+def _count(text: Column, one: str) -> Column:
+    return F.char_length(text) - F.char_length(F.replace(text, F.lit(one), F.lit("")))
+
+
+def _before(value: Column, within: Window) -> Column:
+    """Sum of a column over the rows before this one."""
+    return F.coalesce(F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def json_items(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the objects of files with a list of items, or with one object, read by many tasks; other items are left out.
+
+    A file is cut behind every closing brace. Blocks of these pieces say how many quotes they hold, so that sums over the
+    blocks before tell where strings begin, and then how many braces and brackets they open and close outside strings. An
+    object of the list starts where one brace opens at the list's depth; the pieces of longer objects are put together by a
+    shuffle. A file that isn't JSON gives what looks like objects, which ``parse_lines`` checks.
+    """
+    pieces = spark.read.text(path, lineSep="}").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    # escapes are masked by as many characters, so that the quotes that are left begin or end strings
+    pieces = pieces.withColumn("masked", F.regexp_replace("value", r"(?s)\\.", "__"))
+    pieces = staged(pieces.withColumn("odd", F.pmod(_count(F.col("masked"), '"'), F.lit(2))), "json-pieces")
+    in_block, in_file = Window.partitionBy("file", "block").orderBy("place"), Window.partitionBy("file").orderBy("block")
+    # a file has a block for some hundred megabytes
+    quotes = pieces.groupBy("file", "block").agg(F.sum("odd").alias("odds")).select("file", "block", _before(F.col("odds"), in_file).alias("entered"))
+    known = pieces.join(quotes, ["file", "block"]).withColumn("inside", F.pmod(F.col("entered") + _before(F.col("odd"), in_block), F.lit(2)) == 1)
+    # what follows the string that the piece begins in
+    begins = F.when(~F.col("inside"), F.lit(0)).when(F.contains("masked", F.lit('"')), F.instr("masked", '"'))
+    rest = F.when(begins.isNotNull(), F.expr("substring(masked, begins + 1)"))
+    known = known.withColumn("begins", begins).withColumn("rest", F.coalesce(rest, F.lit("")))
+    outside = F.regexp_replace(F.regexp_replace("rest", '"[^"]*"', ""), '"[^"]*$', "")
+    closes = (F.pmod(F.col("inside").cast("int") + F.col("odd"), F.lit(2)) == 0).cast("int")
+    known = known.withColumn("outside", outside).withColumn("steps", _count(F.col("outside"), "{") + _count(F.col("outside"), "[") - _count(F.col("outside"), "]") - closes)
+    lead = F.regexp_extract("rest", r'^([^"{]*+(?:"[^"]*+"[^"{]*+)*+)\{', 1)
+    opens = F.contains("outside", F.lit("{"))
+    plain = F.regexp_replace(lead, '"[^"]*"', "")
+    known = staged(known.withColumns({"lead": F.when(opens, F.char_length(lead)), "lead_steps": _count(plain, "[") - _count(plain, "]")}).select("file", "block", "place", "value", "begins", "steps", "lead", "lead_steps"), "json-depths")
+    heads = known.groupBy("file").agg(F.startswith(F.ltrim(F.regexp_replace(F.min_by("value", F.struct("block", "place")), r"^\s+", "")), F.lit("[")).cast("int").alias("base"))
+    depths = known.groupBy("file", "block").agg(F.sum("steps").alias("all")).select("file", "block", _before(F.col("all"), in_file).alias("above"))
+    deep = known.join(depths, ["file", "block"]).join(heads, "file").withColumn("depth", F.col("above") + _before(F.col("steps"), in_block))
+    deep = deep.withColumns({"starts": F.col("lead").isNotNull() & (F.col("depth") + F.col("lead_steps") == F.col("base")), "ends": F.col("depth") + F.col("steps") == F.col("base")})
+    deep = staged(deep.select("file", "block", "place", "starts", "ends", F.when(F.col("starts"), F.expr("substring(value, begins + lead + 1)")).otherwise(F.col("value")).alias("text")), "json-items")
+    alone = F.col("starts") & F.col("ends")
+    firsts = deep.groupBy("file", "block").agg(F.count_if("starts").alias("n")).select("file", "block", _before(F.col("n"), in_file).alias("items"))
+    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = deep.join(firsts, ["file", "block"]).withColumn("item", F.col("items") + F.sum(F.col("starts").cast("int")).over(upto)).filter(~alone & (F.col("item") > 0))
+    # pieces behind an object's end belong to items that aren't objects
+    several = numbered.groupBy("file", "item").agg(F.max("starts").alias("whole"), F.min(F.when(F.col("ends"), F.struct("block", "place"))).alias("end"), F.sort_array(F.collect_list(F.struct("block", "place", "text"))).alias("parts")).filter("whole AND end IS NOT NULL")
+    kept = F.filter("parts", lambda p: F.struct(p["block"], p["place"]) <= F.struct(F.col("end.block"), F.col("end.place")))
+    joined = several.select(F.concat(F.array_join(F.transform(kept, lambda p: p["text"]), "}"), F.lit("}")).alias("value"))
+    return deep.filter(alone).select(F.concat("text", F.lit("}")).alias("value")).unionByName(joined)
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType = SCORING_RECORD) -> DataFrame:
-    """A file with a list of objects or one object; other items are left out."""
-    whole = spark.read.text(path, wholetext=True).select(strip(F.col("value")).alias("t"))
-    items = F.when(F.startswith("t", F.lit("[")), F.from_json("t", "array<string>")).otherwise(F.array("t"))
-    return parse_lines(whole.select(F.explode(items).alias("value")), schema, strip_commas=False)[0]
+    """Files with a list of objects or one object; other items are left out."""
+    return parse_lines(json_items(spark, path), schema, strip_commas=False)[0]
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
