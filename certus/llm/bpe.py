@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -224,22 +225,21 @@ def bpe_decode(ids: Column, ranks: bytes) -> Column:
     return decode(ids)
 
 
-def bpe_round_trip(text: Column, ranks: bytes, pattern: str) -> Column:
-    """A struct of ``bpe_encode``'s ids and the bytes (decoded) that they stand for, by one call in one worker."""
-    names = ["ids", "decoded"]
+def _round_trips(batches: Iterator[pa.RecordBatch], ranks: bytes, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Rows with their text last to rows with (ids, decoded) in its place, a few megabytes of text at once."""
+    for batch in batches:
+        for at, n in text_slices(batch.columns[-1], _BYTES):
+            some, vocabulary = batch.slice(at, n), _vocabulary(ranks)
+            ids = _encode_some(some.columns[-1].fill_null(""), vocabulary, _compiled(pattern))
+            yield pa.RecordBatch.from_arrays([*some.columns[:-1], ids, _decode_all(ids, vocabulary)], [*batch.schema.names[:-1], "ids", "decoded"])
 
-    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
-    def round_trip(texts: pa.Array) -> pa.Array:
-        texts, vocabulary = texts.fill_null(""), _vocabulary(ranks)
-        parts = [_encode_some(texts.slice(at, n), vocabulary, _compiled(pattern)) for at, n in text_slices(texts, _BYTES)]
-        ids = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
-        return pa.StructArray.from_arrays([ids, _decode_all(ids, vocabulary)], names)
 
-    # so that the optimizer doesn't copy the call into each use of its fields
-    return round_trip.asNondeterministic()(text)
+def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
+    """(doc_id, keep, ids array<int>, decoded binary) for each row of ``docs``, repeated rows included.
 
-
-def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded binary) for each row of ``docs``, repeated rows included; other columns are ignored."""
-    encoded = docs.select(F.col(id_col).alias("doc_id"), bpe_round_trip(F.col(text_col), ranks, pattern).alias("done"))
-    return encoded.select("doc_id", "done.ids", "done.decoded")
+    decoded: the bytes that the ids stand for. Other columns are ignored. A text is encoded once, whatever is read of it.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), *(F.col(c) for c in keep))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    texts = docs.select(F.col(id_col).alias("doc_id"), *(F.col(c) for c in keep), F.col(text_col).alias("__text"))
+    return texts.mapInArrow(lambda it: _round_trips(it, ranks, pattern), f"{columns}, ids array<int>, decoded binary")
