@@ -51,9 +51,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, round_trip): round_trip says that the ids decode to the text again."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    done = docs.select("doc_id", "source", "text", bpe.bpe_round_trip(F.col("text"), ranks, public_tokenizers.PATTERN).alias("done"))
-    same = F.col("done.decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return done.select("doc_id", "source", F.size("done.ids").cast("bigint").alias("n_tokens"), "done.ids", same.alias("round_trip"))
+    done = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, keep=["source", "text"])
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return done.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
 STAGES = [
