@@ -12,13 +12,13 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certus.functions.text import clipped
 from certus.operators import metrics
 from certus.operators.boosting import SAMPLE_ROWS, Boosted, Grower, Setting, binned_table, fit_sample, fit_together, held_out_scores, quantile_cuts
+from certus.operators.isotonic import Steps, fit_steps
 from certus.operators.sampling import folds
 from certus.plans.staging import staged
 
@@ -70,6 +70,32 @@ class Linear:
         return Linear(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(text).items()})
 
 
+@dataclass(frozen=True)
+class Averaged:
+    """The mean of ridge models' probabilities: each by its own sigmoid or, with ``steps``, by the monotone function of its
+    number."""
+
+    members: tuple[Linear, ...]
+    steps: tuple[Steps, ...] = ()
+
+    @property
+    def features(self) -> tuple[str, ...]:
+        return self.members[0].features
+
+    def probability(self) -> Column:
+        each = [s.value(m.score()) for m, s in zip(self.members, self.steps)] if self.steps else [m.probability() for m in self.members]
+        return sum(each, F.lit(0.0)) / len(each)
+
+    def to_json(self) -> str:
+        return json.dumps({"kind": "averaged", **asdict(self)})
+
+    @staticmethod
+    def from_json(text: str) -> Averaged:
+        d = json.loads(text)
+        steps = tuple(Steps(tuple(s["x"]), tuple(s["p"])) for s in d["steps"])
+        return Averaged(tuple(Linear.from_json(json.dumps(m)) for m in d["members"]), steps)
+
+
 @dataclass
 class Sums:
     """n, sums and sums of products of the features, for one class of one fold."""
@@ -159,32 +185,31 @@ def calibrate_sigmoid(df: DataFrame, model: Linear, target: str, steps: int = 8)
     return calibrate_folds(df.withColumn("__fold", F.lit(0)), "__fold", [model], target, steps)[0]
 
 
-def calibrated_probability(df: DataFrame, features: list[str], target: str, key: str, k: int = 3, alpha: float = 1.0, method: str = "sigmoid", seed: int = 42, positive_weight: float = 1.0):
-    """A function from a table to its column ``probability``: the mean of k models, each calibrated on its own fold.
+def calibrated_model(df: DataFrame, features: list[str], target: str, key: str, k: int = 3, alpha: float = 1.0, method: str = "sigmoid", seed: int = 42, positive_weight: float = 1.0) -> Averaged:
+    """The mean of k ridge models, each fitted without one fold and calibrated on it.
 
-    method: sigmoid, or isotonic. The folds are staged, as every step reads them.
+    method: sigmoid, or isotonic. The folds are staged, as every step reads them. A fold without labelled rows: ValueError.
     """
     if method not in ("sigmoid", "isotonic"):
         raise ValueError(f"unknown calibration: {method}")
     parted = staged(folds(df.filter(F.col(target).isNotNull()), key, target, k, seed), "folds")
     sums = class_sums(parted, features, target, "fold")
-    models = [ridge(sums, features, alpha, positive_weight, without=i) for i in range(k)]
+    fits = [ridge(sums, features, alpha, positive_weight, without=i) for i in range(k)]
     if method == "sigmoid":
-        fitted = calibrate_folds(parted, "fold", models, target)
-        return lambda table: table.withColumn("probability", sum((m.probability() for m in fitted), F.lit(0.0)) / k)
-    steps = []
-    for i, m in enumerate(models):
-        rows = parted.filter(F.col("fold") == i).select(m.score().alias("feature"), F.col(target).cast("double").alias("label"))
-        steps.append(IsotonicRegression(featuresCol="feature", labelCol="label", predictionCol=f"__p{i}").fit(rows))
+        return Averaged(tuple(calibrate_folds(parted, "fold", fits, target)))
+    score = F.lit(None).cast("double")
+    for i, m in enumerate(fits):
+        score = F.when(F.col("fold") == i, m.score()).otherwise(score)
+    steps = fit_steps(parted, score, F.col(target), k, F.col("fold"))
+    if not all(s.x for s in steps):
+        raise ValueError("no labelled rows")
+    return Averaged(tuple(fits), tuple(steps))
 
-    def apply(table: DataFrame) -> DataFrame:
-        out = table
-        for i, (m, iso) in enumerate(zip(models, steps)):
-            out = iso.setFeaturesCol(f"__s{i}").transform(out.withColumn(f"__s{i}", m.score()))
-        mean = sum((F.col(f"__p{i}") for i in range(k)), F.lit(0.0)) / k
-        return out.withColumn("probability", mean).drop(*(f"__{c}{i}" for i in range(k) for c in "sp"))
 
-    return apply
+def calibrated_probability(df: DataFrame, features: list[str], target: str, key: str, k: int = 3, alpha: float = 1.0, method: str = "sigmoid", seed: int = 42, positive_weight: float = 1.0):
+    """A function from a table to its column ``probability`` by ``calibrated_model``."""
+    model = calibrated_model(df, features, target, key, k, alpha, method, seed, positive_weight)
+    return lambda table: table.withColumn("probability", model.probability())
 
 
 def search_ridge(df: DataFrame, features: list[str], target: str, key: str, costs: Costs = Costs(), alphas: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), metric: str = "f1", k: int = 3, seed: int = 42) -> tuple[Linear, DataFrame]:
@@ -276,9 +301,10 @@ def search_boosted(df: DataFrame, features: list[str], target: str, key: str, n_
     return fit_sample(table, features, cuts, [Grower(drawn[best], len(features))], rows)[0], result.drop("seed")
 
 
-def model_from_json(text: str) -> Linear | Boosted:
+def model_from_json(text: str) -> Linear | Averaged | Boosted:
     """The model that a ``to_json`` wrote."""
-    return Boosted.from_json(text) if json.loads(text).get("kind") == "boosted" else Linear.from_json(text)
+    kinds = {"boosted": Boosted, "averaged": Averaged}
+    return kinds.get(json.loads(text).get("kind"), Linear).from_json(text)
 
 
 def min_max_scores(df: DataFrame, score: Column) -> DataFrame:

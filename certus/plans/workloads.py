@@ -16,14 +16,14 @@ def feature_table(records: DataFrame) -> DataFrame:
     return with_entry_features(preprocess.samples(preprocess.concept_rows(records)))
 
 
-def score_records(records: DataFrame, model: models.Linear | models.Boosted, threshold: float, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
+def score_records(records: DataFrame, model: models.Linear | models.Averaged | models.Boosted, threshold: float, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(predictions, rejected records). A linear model must be calibrated."""
     valid, rejected = validate.prepare(records, max_records)
     ready = validate.aligned(with_features(valid), list(model.features))
     return models.predictions(ready.withColumn("probability", model.probability()), threshold), rejected
 
 
-def score_file(spark: SparkSession, path: str, model: models.Linear | models.Boosted, threshold: float, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
+def score_file(spark: SparkSession, path: str, model: models.Linear | models.Averaged | models.Boosted, threshold: float, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Score a file; no record that can be scored: ValueError."""
     scored, rejected = score_records(read_records(spark, path), model, threshold, max_records)
     if not scored.limit(1).count():

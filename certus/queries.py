@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certus.adapters import answer_log, answer_log_sql, features_sql
 from certus.functions.text import clipped
 from certus.functions.uncertainty import FEATURES, with_features
-from certus.operators import boosting, information, metrics, models, neighbors, preprocess, sampling, selection, stats, validate
+from certus.operators import boosting, information, isotonic, metrics, models, neighbors, preprocess, sampling, selection, stats, validate
 from certus.plans import workloads
 from certus.plans.staging import new_path, staged
 from certus.schema import CONCEPTS, ENTRIES, TOKENS
 from certus.sources.records import read_json_lines, read_records
-from certus.sources.sinks import load_or_make, write_predictions, write_tables
+from certus.sources.sinks import load_metadata, load_or_make, save_metadata, write_predictions, write_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -605,6 +606,42 @@ def uq_score_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("content_id string, meta_model_probability double, meta_model_prediction int, threshold_used double").csv(out, header=True)
 
 
+#: The monotone fit at a value is the greatest, over starts up to it, of the least mean up to an end from it on.
+_MONOTONE = f"with d as ({_A}), g as (select p, sum(is_correct) as t, count(*) as n from d group by p), c as (select p, sum(t) over o as ct, sum(n) over o as cn, t, n from g window o as (order by p)), m as (select a.p as first, b.p as last, (b.ct-a.ct+a.t)::double/(b.cn-a.cn+a.n) as mean from c a join c b on a.p <= b.p), l as (select first, last as p, min(mean) over (partition by first order by last desc) as least from m), f as (select p, max(least) as fitted from l group by p)"
+
+
+@query(f"{_MONOTONE} select d.k, round(fitted,6) as fitted from d join f on d.p = f.p")
+def uq_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correctness as a monotone function of the confidence, for each answer."""
+    log = _log(spark, sf_dir)
+    (steps,) = isotonic.fit_steps(log, F.col("p"), F.col("is_correct"))
+    return log.select("k", r6(steps.value(F.col("p")), "fitted"))
+
+
+_STEPPED = models.Averaged((models.Linear(("model_outcome_entropy_top_5",), (0.5,), (0.4,), (-1.0,), 0.0), models.Linear(("model_outcome_entropy_top_5",), (0.0,), (1.0,), (1.0,), 0.25)), (isotonic.Steps((-1.5, -0.5, 0.25, 1.0), (0.1, 0.3, 0.7, 0.9)), isotonic.Steps((0.75,), (0.6,))))
+_STUMPS = boosting.Boosted(("model_logprob_gap", "model_max_softmax_prob"), ((-4.0, -1.5), (0.5, 0.8)), tuple(boosting.Tree(np.array([f, -1, -1], np.int32), np.array([b, 0, 0], np.int32), np.array([left, False, False]), np.array([0.0, low, high])) for f, b, left, low, high in ((0, 1, True, 0.75, -0.5), (1, 2, False, -0.25, 1.0))), boosting.Setting(trees=2, depth=1))
+_S1 = "(-(least(greatest(model_outcome_entropy_top_5,-1e10),1e10)-0.5e0)/0.4e0)"
+_STEPPED_SQL = f"(0.6e0 + case when s <= -1.5e0 then 0.1e0 when s < -0.5e0 then 0.1e0+0.2e0*(s+1.5e0) when s < 0.25e0 then 0.3e0+0.4e0*(s+0.5e0)/0.75e0 when s < 1e0 then 0.7e0+0.2e0*(s-0.25e0)/0.75e0 else 0.9e0 end)/2"
+_STUMPS_SQL = "1e0/(1e0+exp(-(case when model_logprob_gap <= -4e0 then 0.75e0 else -0.5e0 end + case when model_max_softmax_prob <= 0.8e0 then -0.25e0 else 1e0 end)))"
+_LINEAR_SQL = "1e0/(1e0+exp(-(1.5e0*(0.2e0-0.7e0*(model_outcome_entropy_top_5-0.5e0)/0.4e0+0.3e0*(model_logprob_gap+3e0)/2e0)-0.1e0)))"
+
+
+@query(f"with d as (select *, {_S1} as s from ({features_sql()}) where {_REASON} = 'valid') " + " union all ".join(f"select '{kind}' as kind, k::varchar as content_id, round({sql},6) as meta_model_probability from d" for kind, sql in (("averaged", _STEPPED_SQL), ("boosted", _STUMPS_SQL), ("linear", _LINEAR_SQL))))
+def uq_saved_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of each kind are saved, loaded, and score a file of records."""
+    path = new_path(spark, "records.parquet")
+    _scoring_records(spark, sf_dir).write.parquet(path)
+    out = None
+    for kind, model in (("averaged", _STEPPED), ("boosted", _STUMPS), ("linear", _LINEAR)):
+        saved = new_path(spark, kind)
+        save_metadata(spark, saved, model=model.to_json(), optimal_threshold=0.5)
+        found = load_metadata(spark, saved)
+        scored, _ = workloads.score_file(spark, path, models.model_from_json(found["model"]), found["optimal_threshold"])
+        rows = scored.select(F.lit(kind).alias("kind"), "content_id", r6("meta_model_probability"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 _FITTED = ["h", "g", "lgn"]
 
 
