@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certus.functions.text import finite
+from certus.operators.order import quantiles
 
 
 def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
@@ -43,18 +44,22 @@ def _long(one_row: DataFrame, columns: list[str], fields) -> DataFrame:
 def feature_statistics(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
     """count, mean, std, extremes, quartiles, biased skewness and excess kurtosis, cv and share of values of each feature.
 
-    exact: interpolated quartiles, which hold a feature's distinct values; else approximate ones in bounded memory.
+    exact: interpolated quartiles by rounds of brackets (``order.quantiles``); else approximate ones in the same pass.
     """
-    quart = (lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))) if exact else (lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000))
+    shares = [0.25, 0.5, 0.75]
+    known = quantiles(df, columns, shares) if exact else {}
+    quart = lambda c: F.percentile_approx(c, F.array(*map(F.lit, shares)), 10_000)
     aggs: list[Column] = [F.count("*").alias("__n")]
     for c in columns:
         x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"), quart(x).alias(f"{c}__q"), F.skewness(x).alias(f"{c}__skewness"), F.kurtosis(x).alias(f"{c}__kurtosis")]
+        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"), F.skewness(x).alias(f"{c}__skewness"), F.kurtosis(x).alias(f"{c}__kurtosis")]
+        if not exact:
+            aggs.append(quart(x).alias(f"{c}__q"))
     wide = df.agg(*aggs)
 
     def fields(c: str) -> dict[str, Column]:
         g = lambda n: F.col(f"{c}__{n}")
-        q = lambda i: F.get(g("q"), F.lit(i))
+        q = lambda i: F.lit(known[c][i]).cast("double") if exact else F.get(g("q"), F.lit(i))
         return {"count": g("count"), "mean": g("mean"), "std": g("std"), "min": g("min"), "max": g("max"), "median": q(1), "q25": q(0), "q75": q(2), "skewness": g("skewness"), "kurtosis": g("kurtosis"), "cv": F.when(g("mean") == 0, float("inf")).otherwise(F.try_divide(g("std"), g("mean"))), "non_null_pct": F.try_divide(100.0 * g("count"), F.col("__n"))}
 
     return _long(wide, columns, fields)
