@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from certus.functions.text import parse_entries, strip
@@ -73,7 +73,38 @@ def prediction_rates(df: DataFrame) -> DataFrame:
     return df.agg((100 * F.avg((F.col("ground_truth") == 1).cast("double"))).alias("pct_ground_truth_positive"), (100 * F.avg((F.col("llm_prediction") == "YES").cast("double"))).alias("pct_yes"))
 
 
-def totals(records: DataFrame, made: DataFrame) -> DataFrame:
-    """(what, n): input records and output samples."""
-    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
-    return count(records, "input records").unionByName(count(made, "output samples"))
+def write_with_totals(records: DataFrame, path: str, make=lambda records: samples(concept_rows(records))) -> DataFrame:
+    """Write what ``make`` gives for the records, and (what, n) of input records and output samples.
+
+    Both are counted by the job that writes, so the records are read once.
+    """
+    read, made = Observation("input records"), Observation("output samples")
+    out = make(records.observe(read, F.count(F.lit(1)).alias("n"))).observe(made, F.count(F.lit(1)).alias("n"))
+    out.write.mode("overwrite").parquet(path)
+    rows = [(what, seen.get["n"]) for what, seen in (("input records", read), ("output samples", made))]
+    return records.sparkSession.createDataFrame(rows, "what string, n bigint")
+
+
+def concept_rows_by_table(records: DataFrame, truths: DataFrame, questions: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
+    """``concept_rows`` for any number of concepts: a row for each truth (content_id, concept, ground_truth).
+
+    questions: (concept, question), several of a concept, compared without case and outer white space; one that several
+    concepts have counts for each. Of a record's entries the first that asks one of the concept's questions counts. The
+    questions are broadcast if they are ``most_broadcast`` rows at most, else joined by a shuffle; results are equal.
+    Truths without a record, null or '' or '0' ids: no row. Repeated records of an id: the first entry of any of them, by
+    its place and then its text.
+    """
+    norm = lambda c: F.lower(strip(c))
+    wanted = questions.select("concept", norm(F.col("question")).alias("asked")).filter("concept IS NOT NULL AND asked IS NOT NULL").distinct()
+    typed = dict(records.dtypes)["logprobs_data"] != "string"
+    known = records.filter("content_id IS NOT NULL AND content_id NOT IN ('', '0')")
+    entries = F.col("logprobs_data") if typed else parse_entries(F.col("logprobs_data"))
+    asked = known.select("content_id", F.posexplode(entries).alias("place", "entry")).withColumn("asked", norm(F.col("entry.question"))).filter("asked IS NOT NULL")
+    small = wanted.limit(most_broadcast + 1).count() <= most_broadcast
+    found = asked.join(F.broadcast(wanted) if small else wanted, "asked")
+    first = found.groupBy("content_id", "concept").agg(F.min_by("entry", F.struct("place", F.to_json("entry"))).alias("entry"))
+    ids = known.select("content_id").distinct()
+    rows = truths.select("content_id", "concept", F.col("ground_truth").cast("int").alias("ground_truth")).join(ids, "content_id", "left_semi").join(first, ["content_id", "concept"], "left")
+    answer = F.upper(strip(F.col("entry.answer")))
+    reason = F.when(F.col("ground_truth").isNull(), "missing ground truth").when(F.col("entry").isNull(), "no question").when(~F.coalesce(answer.isin("YES", "NO"), F.lit(False)), "bad answer")
+    return rows.withColumns({"llm_prediction": answer, "skip_reason": reason})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from certus.operators import boosting, information, isotonic, metrics, models, n
 from certus.plans import workloads
 from certus.plans.staging import new_path, staged
 from certus.schema import CONCEPTS, ENTRIES, TOKENS
+from certus.sources.history import RunHistory
 from certus.sources.records import read_json_lines, read_records
 from certus.sources.sinks import load_metadata, load_or_make, save_metadata, write_predictions, write_tables
 
@@ -128,8 +130,29 @@ def uq_question_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select 'input records' as what, count(*) as n from ({_A}) union all select 'output samples', count(*) from ({_ROWS}) where reason = 'kept'")
 def uq_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _records(spark, sf_dir)
-    return preprocess.totals(records, preprocess.samples(preprocess.concept_rows(records)))
+    return preprocess.write_with_totals(_records(spark, sf_dir), new_path(spark, "samples"))
+
+
+#: Concepts of five variants each: the concept's name and a number from the key, 1,000 for each of the four.
+_WIDE = "concept || '-' || cast(k % 1000 as varchar(9))"
+
+
+@query(f"select concept, reason, count(*) as n, sum(k)::bigint as ids from (select {_WIDE} as concept, k, case when k % 5 = 0 then 'missing ground truth' when k % 13 = 0 then 'no question' when k % 6 = 5 then 'no question' when k % 11 = 0 then 'bad answer' else 'kept' end as reason from ({_A}) where k % 17 <> 0) group by all")
+def uq_many_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of 4,000 concepts with five variants of their question each: 20,000 questions in a table."""
+    log = _log(spark, sf_dir).withColumn("name", F.concat_ws("-", "concept", (F.col("k") % 1000).cast("string")))
+    content_id = F.when(F.col("k") % 17 != 0, F.col("content_id")).alias("content_id")
+    truths = log.select(content_id, F.col("name").alias("concept"), F.when(F.col("k") % 5 != 0, F.col("ground_truth")).alias("ground_truth"))
+    names = log.select(F.col("name").alias("concept")).distinct()
+    questions = names.select("concept", F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.lit("Is it about "), F.col("concept"), F.lit(" "), i.cast("string"))).alias("question")).alias("question"))
+    entry = lambda question, answer: F.struct(question.alias("question"), answer.alias("answer"), F.col("top_logprobs"), F.lit(None).cast("string").alias("error"))
+    asked = F.concat(F.lit("\n is it ABOUT "), F.col("name"), F.lit(" "), (F.col("k") % 6).cast("string"), F.lit(" "))
+    answer = F.when(F.col("k") % 11 == 0, "Maybe").otherwise(F.lower("answer"))
+    again = F.concat(F.lit("is it about "), F.col("name"), F.lit(" 0"))
+    late = F.when(F.col("k") % 6 != 5, entry(again, F.lit("later")))
+    text = F.when(F.col("k") % 13 == 0, "not json").otherwise(F.to_json(F.array(entry(F.lit("an unrelated question"), F.lit("YES")), entry(asked, answer), late)))
+    rows = preprocess.concept_rows_by_table(log.select(content_id, text.alias("logprobs_data")), truths, questions)
+    return rows.groupBy("concept", F.coalesce("skip_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.sum(F.col("content_id").cast("bigint")).alias("ids"))
 
 
 _WITH_FEATURES = f"select r.k::varchar || '_' || r.concept as content_concept_id, r.is_correct, {', '.join(f'round(f.{c}, 6) as {c}' for c in SHORT.values())} from ({_ROWS}) r join ({features_sql()}) f on r.k = f.k where r.reason = 'kept'"
@@ -371,6 +394,30 @@ def uq_reduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumns({c: F.round(c, 6) for c in ("ratio", "ratio_after", "reduction_pct")})
 
 
+def _kept_sql(ratio: int) -> str:
+    return f"select 'ratio {ratio}' as run_id, sum(case when y = 1 then least(m, {ratio}*n0) end)::bigint as pos, any_value(n0)::bigint as neg from (select is_correct as y, count(*) as m, sum(count(*) filter (is_correct = 0)) over () as n0 from ({_A}) group by 1)"
+
+
+@query(" union all ".join(map(_kept_sql, (2, 3))))
+def uq_run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of a balance in one history; a run that breaks and one that is repeated leave no rows."""
+    log = _log(spark, sf_dir)
+    history = RunHistory(spark, new_path(spark, "history"))
+
+    def report(ratio: float) -> dict[str, DataFrame]:
+        kept = sampling.undersample(log, "k", "is_correct", ratio, 42).filter("kept")
+        return {"balance": sampling.stage_report({"kept": kept}, "is_correct")}
+
+    for run_id, ratio in (("ratio 2", 2.0), ("ratio 3", 3.0), ("ratio 2", 4.0)):
+        history.append(run_id, report(ratio))
+    broken = log.limit(1).select(F.raise_error("broken on purpose").alias("stage"))
+    try:
+        history.append("broken", report(5.0) | {"late": broken})
+    except PySparkException:
+        pass  # what it wrote before stays unseen
+    return history.table("balance").select("run_id", "pos", "neg")
+
+
 _NN_FEATURES = ["lp1", "lp2"]
 _NN = "select a.k, any_value(a.y) as y, unnest(min_by(b, struct_pack(d := pow(a.lp1-b.lp1,2)+pow(a.lp2-b.lp2,2), k := b.k), {n})) as b from {q} a join d b on a.k <> b.k group by a.k"
 _POINTS = f"with d as (select k, is_correct as y, lp1, lp2 from ({_A}))"

@@ -18,14 +18,20 @@ def _exists(read) -> bool:
     return True
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this name."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def write_samples(samples: DataFrame, path: str) -> None:
     """One Parquet table by concept."""
     samples.write.mode("overwrite").partitionBy("concept").parquet(path)
 
 
 def load_or_make(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at ``path``; made and written first if there is none."""
-    if not _exists(lambda: spark.read.parquet(path)):
+    """The table at ``path``; made and written first if there is none, or one whose writer didn't end."""
+    if not path_exists(spark, f"{path}/_SUCCESS"):
         write_samples(make(), path)
     return spark.read.parquet(path)
 
