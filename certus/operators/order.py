@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from certus.plans.staging import staged
+
 #: Values of a bracket that are sorted in the end, for each rank.
 KEPT = 1_000
 #: Accuracy of the sketches: a bracket keeps about six of so many rows.
@@ -53,12 +55,12 @@ def order_statistics(df: DataFrame, ranks: dict[str, list[int]]) -> dict[tuple[s
 
     A round is two aggregations for all columns: sketches propose two values around each rank, counts make them a
     bracket, and the next round looks between them only. Values that hold many rows are found as ends of brackets. At most
-    ``KEPT`` values for each rank are sorted at the end. The number of rounds grows as the logarithm of the rows.
+    ``KEPT`` values for each rank are sorted at the end. The columns are staged, as each round reads them; the number of rounds grows as the logarithm of the rows.
     """
     columns = list(ranks)
     if not any(ranks.values()):
         return {}
-    x = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    x = staged(df.select(*(F.col(c).cast("double").alias(c) for c in columns)), "columns")
     ends = x.agg(*(f(c).alias(f"{c}__{n}") for c in columns for n, f in (("low", F.min), ("high", F.max)))).first()
     counts = x.agg(*(e.alias(f"{c}__{n}") for c in columns for n, e in (("n", F.count(c)), ("low", F.count_if(F.col(c) == F.lit(ends[f"{c}__low"]))), ("high", F.count_if(F.col(c) == F.lit(ends[f"{c}__high"])))))).first()
     known: list[_Rank] = []
