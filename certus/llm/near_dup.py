@@ -248,14 +248,13 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     # first each document's best partner in each other component, then what that hasn't joined
     best = F.row_number().over(Window.partitionBy("a", "b_label").orderBy(F.desc("shared"), "b"))
     first = staged(met.withColumn("rank", best).filter("rank = 1").select("a", "b"), "best-pairs")
-    links = staged(links.unionByName(_confirmed(first, sets, percent)), "links")
-    labels = smallest_reachable(links)
+    labels = smallest_reachable(staged(_confirmed(first, sets, percent), "links"), labels)
     for side in "ab":
         now = labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_now"))
         met = met.join(now, side, "left").withColumn(f"{side}_label", F.coalesce(f"{side}_now", side)).drop(f"{side}_now")
     rest = staged(met.filter("a_label != b_label").select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
     if rest.limit(1).count():
-        labels = smallest_reachable(links.unionByName(_confirmed(rest, sets, percent)))
+        labels = smallest_reachable(staged(_confirmed(rest, sets, percent), "links"), labels)
 
     joined = owners.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
     alone = signed.filter("set_key IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

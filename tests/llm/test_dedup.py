@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from certus.llm import components as graph
 from certus.llm import near_dup, substring_dedup
 
 
@@ -79,6 +80,42 @@ def test_signatures_within_the_distance_share_a_key():
         assert set(x) & set(y)
 
 
+def test_components_read_a_link_until_its_ends_have_one_name(spark, monkeypatch):
+    rnd = random.Random(8)
+    chain = [(i, i + 1) for i in range(100, 140)]
+    star = [(k, 999) for k in range(200, 260)] + [(200, k) for k in range(201, 260)]
+    some = [(rnd.randrange(300, 400), rnd.randrange(300, 400)) for _ in range(80)] + [(7, 7), (5, 6), (6, 5)]
+    first, more = chain + star + some, [(140, 230), (5, 399), (1, 2), (2, 100), (101, 139)]
+
+    def want(edges):
+        least = {x: x for e in edges for x in e}
+        for _ in least:
+            for a, b in edges:
+                least[a] = least[b] = min(least[a], least[b])
+        return sorted(least.items())
+
+    read = []
+
+    def counted(df, name, *rest, stage=graph.staged):
+        out = stage(df, name, *rest)
+        if name == "edges":
+            read.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "staged", counted)
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    labels = graph.smallest_reachable(frame(first))
+    assert sorted(map(tuple, labels.collect())) == want(first)
+    different = len({(min(e), max(e)) for e in first if e[0] != e[1]})
+    assert read[0] == different and read[-1] == 0 and sum(read) < 2 * different
+    # links that come later meet names, not all earlier links again
+    read.clear()
+    labels = graph.smallest_reachable(frame(more), labels)
+    assert sorted(map(tuple, labels.collect())) == want(first + more)
+    assert sum(read) <= 2 * len(more)
+    assert graph.smallest_reachable(frame(more[:0])).count() == 0
+
+
 def repeated_pair(spark, times):
     rnd = random.Random(1)
     words = [f"w{i}" for i in range(300)]
