@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ _SHARD_BYTES = 8 << 20
 _BYTES = 8 << 20
 #: Lanes at most and steps of a window, and windows that a stream has at least, so that short ones get enough steps.
 _LANES, _STEPS, _WINDOWS = 512, 16, 64
+#: Tokens that a task gathers for a stream at most; a shard has about a third of them.
+_STREAM = 4 << 20
 RATE = 0.03
 _GROUP = 512
 _UNKNOWN, _END = 0, 1
@@ -148,7 +151,8 @@ def _output(net: Network, states: np.ndarray, targets: np.ndarray, grads: dict |
     """Natural log-probabilities of the targets, from states (size by tokens); with ``grads`` also puts the gradients of
     their sum's negative there and returns the states'."""
     w, bounds = net.weights, net.bounds
-    cls = np.searchsorted(bounds, targets, side="right") - 1
+    # small numbers, which numpy sorts by their digits
+    cls = np.repeat(np.arange(len(bounds) - 1, dtype=np.min_scalar_type(len(bounds))), np.diff(bounds))[targets]
     column, d_states = np.arange(len(targets)), None
     logits = w["wc"] @ states
     logits += w["bc"][:, None]
@@ -213,8 +217,10 @@ def train(net: Network, stream: np.ndarray, rate: float = RATE, adam: gru.Adam |
         dx, recurrent = gru.backward(d_states.reshape(states.shape), kept, carry, w["u"])
         grads |= recurrent
         # sums by word, then through the embedding
-        order = np.argsort(ids, axis=None, kind="stable")
-        seen, heads = np.unique(ids.ravel()[order], return_index=True)
+        order = np.argsort(ids.astype(np.min_scalar_type(len(w["embed"]))), axis=None, kind="stable")
+        ordered = ids.ravel()[order]
+        heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        seen = ordered[heads]
         by_word = np.add.reduceat(np.take(dx.reshape(len(dx), -1), order, axis=1), heads, axis=1)
         grads["bw"], grads["w"] = by_word.sum(1), (by_word @ w["embed"][seen]).T
         grads["embed"] = np.zeros_like(w["embed"])
@@ -277,11 +283,16 @@ def _averaged(packed: list[bytes], n: list[int]) -> bytes:
     return _pack(Network(weights, nets[0].bounds))
 
 
-def _ids_of(texts: pa.Array, number: dict[str, int]) -> np.ndarray:
+def _places(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of each word among the known ones, -1 for others."""
+    return pc.index_in(words.cast(known.type), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _ids_of(texts: pa.Array, vocabulary: pa.Array) -> np.ndarray:
     """The texts as one stream of ids, an end after each."""
     words, codes, counts = split_words(texts, lower=True)
-    ids = np.fromiter((number.get(w, _UNKNOWN) for w in words.to_pylist()), np.int64, len(words))[codes]
-    return np.insert(ids, np.cumsum(counts), _END)
+    place = _places(words, vocabulary)
+    return np.insert(np.where(place >= 0, place + 2, _UNKNOWN)[codes], np.cumsum(counts), _END)
 
 
 def fit(texts: DataFrame, counts: Counts, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> Network:
@@ -289,9 +300,10 @@ def fit(texts: DataFrame, counts: Counts, vocabulary: int = VOCABULARY, rounds:
 
     Rows are dealt to rounds and to shards by a hash. In a round each shard trains a copy of the network, and the copies
     are averaged by their numbers of tokens. Shards hold about _SHARD_BYTES of text, so their number grows with the input.
+    A shard is one stream, in however many batches it comes (of more than _STREAM tokens: several), as short streams have
+    narrow windows, which cost more for each token.
     """
     words = counts.words[: vocabulary - 2]
-    number = {w.decode(): n for n, w in enumerate(words, 2)}
     head = counts.counts[: vocabulary - 2]
     unknown = counts.tokens - counts.documents - int(head.sum())
     # ids follow falling counts but for the first two, which are classes of their own by their weight
@@ -305,7 +317,8 @@ def fit(texts: DataFrame, counts: Counts, vocabulary: int = VOCABULARY, rounds:
 
         def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """(text, part) in order of parts to a row for each part."""
-            own, adam, n, part = None, None, 0, -1
+            own, adam, n, part, held = None, None, 0, -1, []
+            names = pa.array([w.decode() for w in words], pa.string())
             packed = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([_pack(own)], pa.binary())], ["part", "n", "net"])
             for batch in batches:
                 parts = batch.column(1).to_numpy()
@@ -313,15 +326,19 @@ def fit(texts: DataFrame, counts: Counts, vocabulary: int = VOCABULARY, rounds:
                 for begin, end in zip(heads.tolist(), [*heads[1:].tolist(), len(parts)]):
                     if parts[begin] != part:
                         if n:
+                            train(own, np.concatenate(held), adam=adam)
                             yield packed()
-                        own, n, part = _unpack(start), 0, int(parts[begin])
+                        own, n, part, held = _unpack(start), 0, int(parts[begin]), []
                         adam = gru.Adam(own.weights, RATE)
                     some = batch.column(0).slice(begin, end - begin)
                     for at, k in text_slices(some, _BYTES):
-                        ids = _ids_of(some.slice(at, k), number)
-                        train(own, ids, adam=adam)
-                        n += len(ids)
+                        if sum(map(len, held)) >= _STREAM:
+                            train(own, np.concatenate(held), adam=adam)
+                            held = []
+                        held.append(_ids_of(some.slice(at, k), names))
+                        n += len(held[-1])
             if n:
+                train(own, np.concatenate(held), adam=adam)
                 yield packed()
 
         mine = hashed.filter(F.pmod("place", F.lit(rounds)) == turn).withColumn("part", F.pmod(F.xxhash64("place"), F.lit(shards)))
@@ -366,13 +383,13 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = _unpack(packed)
         words, n = head.value
-        place = {w.decode(): k for k, w in enumerate(words)}
+        names = pa.array([w.decode() for w in words], pa.string())
         log_count = np.log10(np.r_[n, 0] + 1.0)
         for whole in batches:
             for at, rows in text_slices(whole.column(1), _BYTES):
                 batch = whole.slice(at, rows)
                 found, codes, lengths = split_words(batch.column(1), lower=True)
-                at_head = np.fromiter((place.get(w, -1) for w in found.to_pylist()), np.int64, len(found))[codes]
+                at_head = _places(found, names)[codes]
                 owner = np.repeat(np.arange(rows), lengths)
                 in_head, rare = at_head >= 0, at_head >= vocabulary - 2
                 summed = lambda some: np.bincount(owner[some], log_count[at_head[some]], rows)

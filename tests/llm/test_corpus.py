@@ -92,6 +92,21 @@ def test_network_learns_from_every_document_once_a_round(spark):
     assert all(np.allclose(got.weights[k], want.weights[k], atol=1e-5) for k in want.weights)
 
 
+def test_a_shard_is_one_stream_in_any_number_of_batches(spark):
+    texts = spark.createDataFrame([(i, f"w{i % 7} w2 w3 w{i % 5} \u00e9\u0130 w2") for i in range(90)], "doc_id long, text string")
+    counts = lm_scoring.count_tokens(texts)
+    whole = lm_scoring.fit(texts, counts, rounds=1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 7)
+    try:
+        pieces = lm_scoring.fit(texts, counts, rounds=1)
+    finally:
+        spark.conf.set(key, before)
+    assert all(np.array_equal(pieces.weights[k], whole.weights[k]) for k in whole.weights)
+    assert not np.array_equal(whole.weights["embed"], lm_scoring.new_network(np.r_[0, 90, counts.counts].astype(float)).weights["embed"])
+
+
 def test_output_is_a_distribution():
     net = lm_scoring.new_network(np.array([50.0, 20, 9, 5, 3, 2, 1, 1]), classes=3)
     states = np.random.default_rng(1).standard_normal((lm_scoring.SIZE, 1)).astype(np.float32)
