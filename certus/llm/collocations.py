@@ -3,7 +3,8 @@
 Each piece of a text (no phrase crosses its ends) is cut where the hash of a few words in a row says so. Neighbouring
 chunks share those words, so that every phrase lies whole in a chunk, and a phrase counts for the chunk that its first
 word belongs to: the shared words belong to the later chunk. As cuts depend on the words alone, repeated passages have
-equal chunks. The dictionary of different chunks with the number of times each was met is all that is counted afterwards.
+equal chunks. Words are counted on the way; the dictionary of different chunks with the number of times each was met is
+all that is counted afterwards.
 
 Phrases of n words are counted only where both phrases of n - 1 words inside them are frequent enough: a phrase is no more
 frequent than its parts. Which those are is told to tasks by a bitmap of hashes, whose size is fixed; it may let a rare
@@ -30,6 +31,8 @@ CUT_ONE_IN = 16
 BITS = 26
 #: Bytes of text, or of chunks, that are worked on at once, about.
 _BYTES = 4 << 20
+#: Names of phrases stay below this.
+_NAMES = 1 << 63
 
 _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -65,6 +68,11 @@ class _Words:
         self.codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.distinct.to_pylist()), np.uint64, len(self.distinct))[self.codes]
 
+    def runs(self, starts: np.ndarray, size: int) -> pa.Array:
+        """As many words from each start on, joined by blanks."""
+        found = [self.distinct.take(pa.array(self.codes[starts + k])) for k in range(size)]
+        return pc.binary_join_element_wise(*found, b" ").cast(pa.string()) if size > 1 else found[0].cast(pa.string())
+
     def phrases(self, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
         """The words from each start on, joined by blanks."""
         ends = np.cumsum(sizes)
@@ -73,6 +81,15 @@ class _Words:
         return pc.binary_join(lists, b" ").cast(pa.string())
 
 
+def _numbered(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place at which each different name stands, and the number of the name at each place."""
+    coded = pa.array(names).dictionary_encode()
+    number = coded.indices.to_numpy()
+    shown = np.empty(len(coded.dictionary), np.int64)
+    shown[number] = np.arange(len(number))
+    return shown, number.astype(np.int64)
+
+
 def chunks(words: _Words, overlap: int, one_in: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, number of words and number of own words of each chunk; the others are the next chunk's."""
     n = len(words.codes)
@@ -88,7 +105,8 @@ def chunks(words: _Words, overlap: int, one_in: int) -> tuple[np.ndarray, np.nda
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch], overlap: int, one_in: int) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, chunk, own, times): the chunks of some megabytes of text, each once."""
+    """(lang, text) to (lang, chunk, own, times): the chunks of some megabytes of text, each once, and their words, each
+    once, with own = 0."""
     for batch in batches:
         for at, n in text_slices(batch.column(1), _BYTES):
             words = _Words(batch.column(1).slice(at, n), lower=True)
@@ -97,6 +115,13 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], overlap: int, one_in: int) ->
             table = pa.table({"lang": lang, "chunk": words.phrases(starts, sizes), "own": pa.array(own.astype(np.int32))})
             counted = table.group_by(["lang", "chunk", "own"]).aggregate([([], "count_all")]).rename_columns(["lang", "chunk", "own", "times"])
             yield from counted.combine_chunks().to_batches()
+            coded = batch.column(0).slice(at, n).dictionary_encode()
+            of_text = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            shown, number = _numbered(of_text[words.text] * len(words.distinct) + words.codes)
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(pa.array(of_text[words.text[shown]])), words.runs(shown, 1), pa.array(np.zeros(len(shown), np.int32)), pa.array(np.bincount(number, minlength=len(shown)))],
+                ["lang", "chunk", "own", "times"],
+            )
 
 
 def _bit(langs: np.ndarray, windows: np.ndarray, bits: int) -> np.ndarray:
@@ -128,14 +153,18 @@ def _phrase_rows(batches: Iterator[pa.RecordBatch], size: int, bitmap: np.ndarra
                 continue
             # equal phrases have equal names: a name stands for the name of all words but the last, and the last
             coded = rows.column(0).dictionary_encode()
-            name = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[owner[starts]]
+            name, span = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[owner[starts]], len(coded.dictionary)
             for k in range(size):
-                _, shown, name = np.unique(name * len(words.distinct) + words.codes[starts + k], return_index=True, return_inverse=True)
+                if span * len(words.distinct) >= _NAMES:
+                    shown, name = _numbered(name)
+                    span = len(shown)
+                name, span = name * len(words.distinct) + words.codes[starts + k], span * len(words.distinct)
+            shown, name = _numbered(name)
             times = np.zeros(len(shown), np.int64)
             np.add.at(times, name, rows.column(3).to_numpy()[owner[starts]])
             shown = starts[shown]
             lang = coded.dictionary.take(pa.array(coded.indices.to_numpy(zero_copy_only=False)[owner[shown]]))
-            yield pa.RecordBatch.from_arrays([lang, words.phrases(shown, np.full(len(shown), size)), pa.array(times)], ["lang", "phrase", "a"])
+            yield pa.RecordBatch.from_arrays([lang, words.runs(shown, size), pa.array(times)], ["lang", "phrase", "a"])
 
 
 def _bit_rows(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -167,12 +196,17 @@ def phrase_counts(docs: DataFrame, longest: int = 4, least: int = 30, lang_col:
     overlap = longest - 1
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     met = texts.mapInArrow(lambda it: _chunk_rows(it, overlap, one_in), "lang string, chunk string, own int, times bigint")
-    dictionary = staged(met.groupBy("lang", "chunk", "own").agg(F.sum("times").alias("times")), "chunks")
+    # of words, only the frequent ones are needed
+    dictionary = staged(met.groupBy("lang", "chunk", "own").agg(F.sum("times").alias("times")).filter((F.col("own") > 0) | (F.col("times") >= least)), "chunks")
     totals = dictionary.groupBy("lang").agg(F.sum(F.col("own") * F.col("times")).alias("n"))
     levels, bitmap = [], None
     for size in range(1, longest + 1):
-        found = dictionary.mapInArrow(lambda it, size=size, bitmap=bitmap: _phrase_rows(it, size, bitmap, bits), "lang string, phrase string, a bigint")
-        level = staged(found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least), f"phrases-{size}")
+        if size == 1:
+            level = dictionary.filter("own = 0").select("lang", F.col("chunk").alias("phrase"), F.col("times").alias("a"))
+        else:
+            found = dictionary.filter("own > 0").mapInArrow(lambda it, size=size, bitmap=bitmap: _phrase_rows(it, size, bitmap, bits), "lang string, phrase string, a bigint")
+            level = found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
+        level = staged(level, f"phrases-{size}")
         levels.append(level.select("lang", F.lit(size).alias("size"), "phrase", "a"))
         if size < longest:
             bitmap = _bitmap(level, size, bits)

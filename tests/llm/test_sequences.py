@@ -99,6 +99,29 @@ def test_no_phrases(spark):
     assert collocations.mine_phrases(docs).count() == 0
 
 
+def test_words_are_counted_with_their_chunks(monkeypatch):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice("Abcdefgh") + rnd.choice(["", ".", "\u00e9"]) for _ in range(rnd.randrange(90))) for _ in range(30)] + [None, "", " . "]
+    langs = [rnd.choice(["en", "de"]) for _ in texts]
+    rows = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(texts)], ["lang", "text"])
+    found = pa.Table.from_batches(collocations._chunk_rows(iter([rows, rows.slice(5)]), 3, 4)).to_pylist()
+    want = Counter()
+    for lang, t in [*zip(langs, texts), *zip(langs[5:], texts[5:])]:
+        want.update((lang, w) for w in (t or "").lower().replace(".", " ").split())
+    got = Counter()
+    for r in found:
+        if r["own"] == 0:
+            got[r["lang"], r["chunk"]] += r["times"]
+    assert got == want and sum(r["own"] * r["times"] for r in found) == sum(want.values())
+    # names of phrases are numbered anew when they grow too large, with the same counts
+    chunks = pa.Table.from_pylist([r for r in found if r["own"]], schema=pa.schema([("lang", pa.string()), ("chunk", pa.string()), ("own", pa.int32()), ("times", pa.int64())]))
+    counts = []
+    for most in (1 << 63, 600):
+        monkeypatch.setattr(collocations, "_NAMES", most)
+        counts.append(sorted(map(str, pa.Table.from_batches(collocations._phrase_rows(iter(chunks.combine_chunks().to_batches()), 4, None, 26)).to_pylist())))
+    assert counts[0] == counts[1] != []
+
+
 def test_chunks_share_words_and_own_them_once():
     words = collocations._Words(pa.array(["a b c d e f g h i j k l. m n o p", "a b c d e f g h i j k l"]), lower=True)
     starts, sizes, own = collocations.chunks(words, 3, 4)
