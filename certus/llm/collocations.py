@@ -41,7 +41,11 @@ _BLANK[[0x20, 0x09]] = True
 
 
 class _Words:
-    """The words of an array of texts: their codes in ``distinct``, and the number of the piece that each is in."""
+    """The words of an array of texts: their codes in ``distinct``, the text and the piece that each is in.
+
+    lower: the texts are as they were given, and A-Z are put in lower case. Otherwise they are this module's own chunks or
+    phrases: words joined by one blank each, at least one word in each text and no end of a piece.
+    """
 
     def __init__(self, texts: pa.Array, lower: bool):
         texts = texts.fill_null("")
@@ -49,7 +53,28 @@ class _Words:
         _, offsets, data = texts.buffers()
         bounds = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
         raw = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
-        bounds = bounds - bounds[0]
+        inside, sizes = (self._given if lower else self._joined)(raw, bounds - bounds[0])
+        flat = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.py_buffer(raw[inside])]).dictionary_encode()
+        self.distinct = flat.dictionary
+        self.codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.distinct.to_pylist()), np.uint64, len(self.distinct))[self.codes]
+
+    def _joined(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes in words, and each word's size."""
+        inside = raw != 0x20
+        blanks, n = np.flatnonzero(~inside), len(bounds) - 1
+        lasts = np.searchsorted(blanks, bounds[1:]) + np.arange(n)  # each text's last word
+        is_last = np.zeros(len(blanks) + n, bool)
+        is_last[lasts] = True
+        ends = np.empty(len(is_last), np.int64)
+        ends[is_last], ends[~is_last] = bounds[1:], blanks
+        sizes = np.diff(np.r_[0, ends])
+        sizes[1:] -= ~is_last[:-1]
+        self.text = self.piece = np.repeat(np.arange(n), np.diff(np.r_[-1, lasts]))
+        return inside, sizes
+
+    def _given(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes in words, and each word's size."""
         ends_piece = _PIECE_END[raw]
         inside = ~(ends_piece | _BLANK[raw])
         first, last = inside.copy(), inside.copy()
@@ -61,12 +86,8 @@ class _Words:
         last[edges - 1] = inside[edges - 1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.text = np.searchsorted(bounds, starts, "right") - 1
-        self.piece = np.cumsum(ends_piece)[starts] + self.text if len(starts) else np.empty(0, np.int64)
-        sizes = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
-        flat = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(sizes), pa.py_buffer(raw[inside])]).dictionary_encode()
-        self.distinct = flat.dictionary
-        self.codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.distinct.to_pylist()), np.uint64, len(self.distinct))[self.codes]
+        self.piece = np.searchsorted(np.flatnonzero(ends_piece), starts) + self.text
+        return inside, ends - starts
 
     def runs(self, starts: np.ndarray, size: int) -> pa.Array:
         """As many words from each start on, joined by blanks."""

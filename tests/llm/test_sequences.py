@@ -122,6 +122,17 @@ def test_words_are_counted_with_their_chunks(monkeypatch):
     assert counts[0] == counts[1] != []
 
 
+def test_joined_words_are_those_of_the_given_text():
+    rnd = random.Random(12)
+    texts = [" ".join(rnd.choice(["a", "bc", "\u00e9", "\u6f22\u5b57", "\u0085", "-"]) for _ in range(rnd.randrange(1, 9))) for _ in range(200)]
+    array = pa.array(["cut off", *texts, "cut off"]).slice(1, len(texts))
+    joined, given = collocations._Words(array, lower=False), collocations._Words(array, lower=True)
+    for part in ("text", "codes", "hashes"):
+        assert np.array_equal(getattr(joined, part), getattr(given, part))
+    assert joined.distinct.equals(given.distinct) and np.array_equal(joined.piece, joined.text)
+    assert joined.runs(np.array([0]), 1).to_pylist() == texts[0].split(" ")[:1]
+
+
 def test_chunks_share_words_and_own_them_once():
     words = collocations._Words(pa.array(["a b c d e f g h i j k l. m n o p", "a b c d e f g h i j k l"]), lower=True)
     starts, sizes, own = collocations.chunks(words, 3, 4)
