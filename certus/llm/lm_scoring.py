@@ -8,6 +8,7 @@ averaged, in groups, after each round. Scoring carries a document's state throug
 
 from __future__ import annotations
 
+import heapq
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +43,10 @@ _LANES, _STEPS, _WINDOWS = 512, 16, 64
 _STREAM = 4 << 20
 RATE = 0.03
 _GROUP = 512
+#: Tokens whose classes are told apart at once; their logits stay in a core's cache.
+_COLUMNS = 1024
+#: Tokens that are scored in one window, about.
+_TOKENS = 8192
 _UNKNOWN, _END = 0, 1
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -130,16 +135,21 @@ def new_network(counts: np.ndarray, classes: int = CLASSES, size: int = SIZE, em
     return Network(weights, bounds)
 
 
-def _log_softmax_at(logits: np.ndarray, goal: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of the goals (columns are tokens), and all probabilities, in the place of the logits."""
+def _exponentials(weights: np.ndarray, states: np.ndarray, goal: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits' exponentials (a column for each row of ``states``, which end in a one for the bias), their sums, and the
+    goals' exponentials' places. A column's exponentials are by the same factor too large or small."""
+    out = weights @ states.T
     if limit > 80:  # else no exponential overflows
-        logits -= logits.max(0)
-    column = np.arange(logits.shape[1])
-    out = logits[goal, column]
-    np.exp(logits, out=logits)
-    total = logits.sum(0)
-    logits /= total
-    return out - np.log(total), logits
+        out -= out.max(0)
+    np.exp(out, out=out)
+    return out, np.ones(len(out), out.dtype) @ out, goal * len(states) + np.arange(len(states))
+
+
+def _softmax_slopes(exponentials: np.ndarray, total: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Probabilities less one at the goals, in the place of the exponentials."""
+    exponentials *= 1 / total
+    exponentials.ravel()[place] -= 1
+    return exponentials
 
 
 def _largest(weights: np.ndarray, bias: np.ndarray) -> float:
@@ -147,47 +157,54 @@ def _largest(weights: np.ndarray, bias: np.ndarray) -> float:
     return float(np.abs(weights).sum(1).max() + np.abs(bias).max())
 
 
-def _output(net: Network, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log-probabilities of the targets, from states (size by tokens); with ``grads`` also puts the gradients of
-    their sum's negative there and returns the states'."""
+def _output(net: Network, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """Natural log-probabilities of the targets, from states (size by tokens). With ``grads``, puts the gradients of their
+    sum's negative there and returns the states' instead."""
     w, bounds = net.weights, net.bounds
+    sizes = np.diff(bounds)
     # small numbers, which numpy sorts by their digits
-    cls = np.repeat(np.arange(len(bounds) - 1, dtype=np.min_scalar_type(len(bounds))), np.diff(bounds))[targets]
-    column, d_states = np.arange(len(targets)), None
-    logits = w["wc"] @ states
-    logits += w["bc"][:, None]
-    out, d = _log_softmax_at(logits, cls, _largest(w["wc"], w["bc"]))
+    cls = np.repeat(np.arange(len(sizes), dtype=np.min_scalar_type(len(bounds))), sizes)[targets]
+    order = np.argsort(cls, kind="stable")
+    cuts = np.r_[0, np.cumsum(np.bincount(cls, minlength=len(sizes)))]
+    # tokens of a class lie together, each in a row, with a one behind for the bias
+    rows = np.ones((len(order), len(states) + 1), np.float32)
+    rows[:, :-1] = np.take(states.T, order, axis=0)
+    goals, cls = targets[order].astype(np.int64), cls[order].astype(np.int64)
+    outer, inner = np.column_stack([w["wc"], w["bc"]]), np.column_stack([w["wo"], w["bo"]])
+    found, d_rows, d_outer, d_inner = np.empty(len(order), np.float32), None, np.zeros_like(outer), np.zeros_like(inner)
     if grads is not None:
-        d[cls, column] -= 1
-        grads["wc"], grads["bc"] = d @ states.T, d.sum(1)
-        grads["wo"], grads["bo"] = np.zeros_like(w["wo"]), np.zeros_like(w["bo"])
-        d_states = w["wc"].T @ d
-    several = np.flatnonzero(np.diff(bounds)[cls] > 1)  # other classes have one word only
-    order = several[np.argsort(cls[several], kind="stable")]
-    cuts = np.searchsorted(cls[order], np.arange(len(bounds)))
-    inner, place, found = np.take(states, order, axis=1), targets[order], np.empty(len(order), np.float32)
-    d_inner = np.empty_like(inner) if grads is not None else None
+        d_rows = np.empty((len(order), len(states)), np.float32)
+    limit = _largest(w["wc"], w["bc"])
+    for at in range(0, len(order), _COLUMNS):
+        part = slice(at, at + _COLUMNS)
+        e, total, place = _exponentials(outer, rows[part], cls[part], limit)
+        if grads is None:
+            found[part] = np.log(e.ravel()[place] / total)
+        else:
+            d = _softmax_slopes(e, total, place)
+            d_outer += d @ rows[part]
+            np.matmul(d.T, w["wc"], out=d_rows[part])
     limit = _largest(w["wo"], w["bo"])
-    for c in np.flatnonzero(np.diff(cuts)).tolist():
-        rows, a, b = slice(cuts[c], cuts[c + 1]), bounds[c], bounds[c + 1]
-        logits = w["wo"][a:b] @ inner[:, rows]
-        logits += w["bo"][a:b, None]
-        goal = place[rows] - a
-        found[rows], d = _log_softmax_at(logits, goal, limit)
-        if grads is not None:
-            d[goal, np.arange(len(goal))] -= 1
-            grads["wo"][a:b] = d @ inner[:, rows].T
-            grads["bo"][a:b] = d.sum(1)
-            d_inner[:, rows] = w["wo"][a:b].T @ d
-    out[order] += found
-    if grads is not None:
-        d_states[:, order] += d_inner
-    return out, d_states
+    for c in np.flatnonzero((np.diff(cuts) > 0) & (sizes > 1)).tolist():  # other classes have one word only
+        part, words = slice(cuts[c], cuts[c + 1]), slice(bounds[c], bounds[c + 1])
+        e, total, place = _exponentials(inner[words], rows[part], goals[part] - bounds[c], limit)
+        if grads is None:
+            found[part] += np.log(e.ravel()[place] / total)
+        else:
+            d = _softmax_slopes(e, total, place)
+            np.matmul(d, rows[part], out=d_inner[words])
+            d_rows[part] += d.T @ w["wo"][words]
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    if grads is None:
+        return found[back], None
+    grads |= {"wc": d_outer[:, :-1], "bc": d_outer[:, -1], "wo": d_inner[:, :-1], "bo": d_inner[:, -1]}
+    return None, np.take(d_rows, back, axis=0).T
 
 
-def _gate_inputs(w: dict[str, np.ndarray]) -> np.ndarray:
-    """Input to the gates (3 * size) from each word of the vocabulary, a column each."""
-    return np.ascontiguousarray((w["embed"] @ w["w"] + w["bw"]).T)
+def _embedded(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each word, with a one behind, and what makes them inputs to the gates (3 * size, a row each)."""
+    return np.hstack([w["embed"], np.ones((len(w["embed"]), 1), np.float32)]), np.vstack([w["w"], w["bw"]]).T.copy()
 
 
 def train(net: Network, stream: np.ndarray, rate: float = RATE, adam: gru.Adam | None = None) -> None:
@@ -206,9 +223,11 @@ def train(net: Network, stream: np.ndarray, rate: float = RATE, adam: gru.Adam |
     for at in range(0, length, _STEPS):
         ids, goal = source[at : at + _STEPS], target[at : at + _STEPS]
         carry = (ids != _END).astype(np.float32)
-        states, kept = gru.forward(np.take(_gate_inputs(w), ids, axis=1), h, carry, w["u"], w["bu"])
+        embedded, to_gates = _embedded(w)
+        inputs = np.take(embedded, ids, axis=0)  # steps by lanes by embedding
+        states, kept = gru.forward((to_gates @ inputs.transpose(0, 2, 1)).transpose(1, 0, 2), h, carry, w["u"], w["bu"])
         grads: dict[str, np.ndarray] = {}
-        flat, real = states.reshape(len(states), -1), np.flatnonzero(counts[at : at + _STEPS])
+        flat, real = states.transpose(1, 2, 0).reshape(-1, len(states)).T, np.flatnonzero(counts[at : at + _STEPS])
         if len(real) == goal.size:
             d_states = _output(net, flat, goal.ravel(), grads)[1]
         else:
@@ -216,52 +235,74 @@ def train(net: Network, stream: np.ndarray, rate: float = RATE, adam: gru.Adam |
             d_states[:, real] = _output(net, flat[:, real], goal.ravel()[real], grads)[1]
         dx, recurrent = gru.backward(d_states.reshape(states.shape), kept, carry, w["u"])
         grads |= recurrent
-        # sums by word, then through the embedding
+        by_step = dx.transpose(1, 0, 2)
+        d_gates = (by_step @ inputs).sum(0)  # embedding's weights, and the bias behind them
+        grads["w"], grads["bw"] = d_gates[:, :-1].T, d_gates[:, -1]
+        # sums by word
+        d_inputs = (by_step.transpose(0, 2, 1) @ w["w"].T).reshape(-1, w["w"].shape[0])
         order = np.argsort(ids.astype(np.min_scalar_type(len(w["embed"]))), axis=None, kind="stable")
         ordered = ids.ravel()[order]
         heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        seen = ordered[heads]
-        by_word = np.add.reduceat(np.take(dx.reshape(len(dx), -1), order, axis=1), heads, axis=1)
-        grads["bw"], grads["w"] = by_word.sum(1), (by_word @ w["embed"][seen]).T
         grads["embed"] = np.zeros_like(w["embed"])
-        grads["embed"][seen] = by_word.T @ w["w"].T
+        grads["embed"][ordered[heads]] = np.add.reduceat(np.take(d_inputs, order, axis=0), heads, axis=0)
         for g in grads.values():
             g /= np.float32(len(real))
         adam.step(grads)
         h = states[:, -1]
 
 
+def _lanes_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's lane and its first step there: documents stand one behind another in up to _GROUP lanes of about
+    equal length, the longest lane first."""
+    lane, first, free = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), [(0, k) for k in range(min(_GROUP, len(lengths)))]
+    for doc in np.argsort(-lengths, kind="stable").tolist():
+        used, k = free[0]
+        lane[doc], first[doc] = k, used
+        heapq.heapreplace(free, (used + int(lengths[doc]), k))
+    rank = np.empty(len(free), np.int64)
+    rank[[k for _, k in sorted(free, reverse=True)]] = np.arange(len(free))
+    return rank[lane], first
+
+
 def score(net: Network, documents: list[np.ndarray]) -> np.ndarray:
     """Natural log-probability of each list of ids with its end, from the state that the end leaves."""
+    if not documents:
+        return np.zeros(0)
     w = net.weights
-    gates, out = _gate_inputs(w), np.zeros(len(documents))
+    embedded, to_gates = _embedded(w)
+    out = np.zeros(len(documents))
     lengths = np.array([len(d) + 1 for d in documents])
-    flat = np.concatenate([x for d in documents for x in (d, (_END,))]) if len(documents) else np.empty(0, np.int64)
-    begins = np.cumsum(lengths) - lengths
-    order = np.argsort(-lengths, kind="stable")
-    for at in range(0, len(order), _GROUP):
-        rows = order[at : at + _GROUP]
-        begin, length = begins[rows], lengths[rows]
-        h, last = np.zeros((w["u"].shape[1], len(rows)), np.float32), np.full(len(rows), _END)
-        for done in range(0, int(length[0]), _STEPS * 4):  # a window of steps; the state goes on to the next
-            width = min(_STEPS * 4, int(length[0]) - done)
-            place = done + np.arange(width)[:, None]
-            n_live = (length > place).sum(1)  # documents are in order of falling length
-            live = int(n_live[0])
-            target = flat[begin[:live] + np.minimum(place, length[:live] - 1)]
-            source = np.vstack([last[None, :live], target[:-1]])
-            states = np.empty((len(h), width, live), np.float32)
-            h = h[:, :live]
-            for t in range(width):
-                m = n_live[t]
-                h = gru.step(np.take(gates, source[t, :m], axis=1), h[:, :m], w["u"], w["bu"])
-                states[:, t, :m] = h
-            inside = np.flatnonzero(np.arange(live) < n_live[:, None])
-            goal, owner = target.ravel()[inside], inside % live
-            for some in np.array_split(np.arange(len(inside)), -(-len(inside) // 16_384)):
-                logs = _output(net, np.take(states.reshape(len(states), -1), inside[some], axis=1), goal[some])[0]
-                out[rows[:live]] += np.bincount(owner[some], logs.astype(float), live)
-            last = target[-1]
+    lane, first = _lanes_of(lengths)
+    # the tokens of all lanes, lane by lane
+    order = np.lexsort((first, lane))
+    stream = np.concatenate([x for d in order.tolist() for x in (documents[d], (_END,))]).astype(np.int64)
+    owners = np.repeat(order, lengths[order])
+    long = np.bincount(lane, lengths).astype(np.int64)  # falling
+    begins = np.cumsum(long) - long
+    h, last = np.zeros((w["u"].shape[1], len(long)), np.float32), np.full(len(long), _END)
+    done = 0
+    while done < long[0]:  # a window of steps, longer ones where few lanes are left; the state goes on to the next
+        live = int((long > done).sum())
+        width = min(max(1, _TOKENS // live), int(long[0]) - done)
+        place = done + np.arange(width)[:, None]
+        n_live = (long[:live] > place).sum(1)
+        at = begins[:live] + np.minimum(place, long[:live] - 1)
+        target = stream[at]
+        source = np.vstack([last[None, :live], target[:-1]])
+        carry = (source != _END).astype(np.float32)
+        begun = (source == _END).any(1)
+        inputs = (to_gates @ np.take(embedded, source, axis=0).transpose(0, 2, 1)).transpose(1, 0, 2)
+        states = gru.by_step(len(h), width, live)
+        h = h[:, :live]
+        for t in range(width):
+            m = n_live[t]
+            h = h[:, :m] * carry[t, :m] if begun[t] else h[:, :m]
+            h = gru.step(inputs[:, t, :m], h, w["u"], w["bu"])
+            states[:, t, :m] = h
+        inside = np.flatnonzero(np.arange(live) < n_live[:, None])
+        logs = _output(net, states.transpose(1, 2, 0).reshape(-1, len(states))[inside].T, target.ravel()[inside])[0]
+        out += np.bincount(owners[at.ravel()[inside]], logs.astype(float), len(out))
+        last, done = target[-1], done + width
     return out
 
 
