@@ -4,7 +4,7 @@ Each piece of a text (no phrase crosses its ends) is cut where the hash of a few
 chunks share those words, so that every phrase lies whole in a chunk, and a phrase counts for the chunk that its first
 word belongs to: the shared words belong to the later chunk. As cuts depend on the words alone, repeated passages have
 equal chunks. Words are counted on the way; the dictionary of different chunks with the number of times each was met is
-all that is counted afterwards.
+all that is counted afterwards. It is kept in blocks of some megabytes, in which words are numbers already.
 
 Phrases of n words are counted only where both phrases of n - 1 words inside them are frequent enough: a phrase is no more
 frequent than its parts. Which those are is told to tasks by a bitmap of hashes, whose size is fixed; it may let a rare
@@ -14,6 +14,7 @@ phrase through, which is then counted and dropped, but never holds a frequent on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,14 @@ class _Words:
         flat = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.py_buffer(raw[inside])]).dictionary_encode()
         self.distinct = flat.dictionary
         self.codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.distinct.to_pylist()), np.uint64, len(self.distinct))[self.codes]
+
+    @cached_property
+    def distinct_hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.distinct.to_pylist()), np.uint64, len(self.distinct))
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return self.distinct_hashes[self.codes]
 
     def _joined(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes in words, and each word's size."""
@@ -91,8 +99,7 @@ class _Words:
 
     def runs(self, starts: np.ndarray, size: int) -> pa.Array:
         """As many words from each start on, joined by blanks."""
-        found = [self.distinct.take(pa.array(self.codes[starts + k])) for k in range(size)]
-        return pc.binary_join_element_wise(*found, b" ").cast(pa.string()) if size > 1 else found[0].cast(pa.string())
+        return _runs(self.distinct, self.codes, starts, size)
 
     def phrases(self, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
         """The words from each start on, joined by blanks."""
@@ -102,6 +109,11 @@ class _Words:
         return pc.binary_join(lists, b" ").cast(pa.string())
 
 
+def _runs(distinct: pa.Array, codes: np.ndarray, starts: np.ndarray, size: int) -> pa.Array:
+    found = [distinct.take(pa.array(codes[starts + k])) for k in range(size)]
+    return pc.binary_join_element_wise(*found, b" ").cast(pa.string()) if size > 1 else found[0].cast(pa.string())
+
+
 def _numbered(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A place at which each different name stands, and the number of the name at each place."""
     coded = pa.array(names).dictionary_encode()
@@ -145,47 +157,117 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], overlap: int, one_in: int) ->
             )
 
 
+#: A block of chunks: their languages; their different words one behind another, the bytes and the hash of each; the words'
+#: numbers, chunk by chunk; each chunk's words, own words, times, and number of its language. All but the languages are
+#: compressed, as a task's blocks pass through Arrow together.
+_BLOCK = {"langs": pa.list_(pa.string()), **dict.fromkeys(("spelled", "bytes", "hashes", "codes", "sizes", "owns", "times", "lang_codes"), pa.binary())}
+_BLOCK_DDL = "langs array<string>, " + ", ".join(f"{k} binary" for k in list(_BLOCK)[1:])
+_COUNTED = {"lang": pa.string(), "phrase": pa.string(), "a": pa.int64(), "n": pa.int64()}
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, chunk, own, times) to rows of three kinds, in which what belongs to the others is null: (lang, phrase, a) of
+    each word, (lang, n) with the number of all own words, and blocks of chunks."""
+    schema = pa.schema(_COUNTED | _BLOCK)
+    filled = lambda n, /, **found: pa.RecordBatch.from_arrays([found.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+    held, size = [], 0
+    for batch in batches:
+        own = pc.greater(batch.column(2), 0)
+        words, rest = batch.filter(pc.invert(own)), batch.filter(own)
+        if len(words):
+            yield filled(len(words), lang=words.column(0), phrase=words.column(1), a=words.column(3))
+        for at, n in text_slices(rest.column(1), _BYTES):
+            held.append(rest.slice(at, n))
+            size += pc.sum(pc.binary_length(held[-1].column(1))).as_py()
+            if size >= _BYTES:
+                yield from _packed(held, filled)
+                held, size = [], 0
+    if held:
+        yield from _packed(held, filled)
+
+
+def _compressed(data: pa.Buffer | np.ndarray) -> pa.Array:
+    data = pa.py_buffer(data)
+    return pa.array([data.size.to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)], pa.binary())
+
+
+def _restored(value: pa.BinaryScalar) -> pa.Buffer:
+    data = value.as_buffer()
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd")
+
+
+def _packed(held: list[pa.RecordBatch], filled) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    words = _Words(rows.column(1), lower=False)
+    lang, own, times = rows.column(0).dictionary_encode(), rows.column(2).to_numpy(), rows.column(3).to_numpy()
+    of_lang = lang.indices.to_numpy().astype(np.int32)
+    n = np.zeros(len(lang.dictionary), np.int64)
+    np.add.at(n, of_lang, own * times)
+    yield filled(len(n), lang=lang.dictionary, n=pa.array(n))
+    _, offsets, data = words.distinct.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[words.distinct.offset : words.distinct.offset + len(words.distinct) + 1]
+    parts = {
+        "bytes": np.diff(bounds), "hashes": words.distinct_hashes, "codes": words.codes.astype(np.int32), "sizes": np.bincount(words.text, minlength=len(rows)).astype(np.int32),
+        "owns": own, "times": times, "lang_codes": of_lang,
+    }
+    yield filled(
+        1,
+        langs=pa.array([lang.dictionary.to_pylist()], _BLOCK["langs"]),
+        spelled=_compressed((data or pa.py_buffer(b""))[int(bounds[0]) : int(bounds[-1])]),
+        **{k: _compressed(np.ascontiguousarray(v)) for k, v in parts.items()},
+    )
+
+
 def _bit(langs: np.ndarray, windows: np.ndarray, bits: int) -> np.ndarray:
     return (mix(windows ^ langs) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _name_hashes(langs: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in langs.to_pylist()), np.uint64, len(langs))
+
+
 def _lang_hashes(langs: pa.Array) -> np.ndarray:
     coded = langs.dictionary_encode()
-    names = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return names[coded.indices.to_numpy(zero_copy_only=False)]
+    return _name_hashes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def _phrase_rows(batches: Iterator[pa.RecordBatch], size: int, bitmap: np.ndarray | None, bits: int) -> Iterator[pa.RecordBatch]:
-    """(lang, chunk, own, times) to (lang, phrase, a) of phrases of ``size`` words: those of some megabytes, each once."""
+    """(lang, chunk, own, times) to (lang, phrase, a) of phrases of ``size`` words."""
+    for rows in _block_rows(batches):
+        yield from _block_phrases(iter([rows.filter(rows.column("codes").is_valid()).select(list(_BLOCK))]), size, bitmap, bits)
+
+
+def _block_phrases(batches: Iterator[pa.RecordBatch], size: int, bitmap: np.ndarray | None, bits: int) -> Iterator[pa.RecordBatch]:
+    """Blocks to (lang, phrase, a) of phrases of ``size`` words: those of a block, each once."""
+    types = {"bytes": np.int32, "hashes": np.uint64, "codes": np.int32, "sizes": np.int32, "owns": np.int32, "times": np.int64, "lang_codes": np.int32}
     for batch in batches:
-        for at, n in text_slices(batch.column(1), _BYTES):
-            rows = batch.slice(at, n)
-            words = _Words(rows.column(1), lower=False)
-            owner, own = words.text, rows.column(2).to_numpy()
-            first = np.searchsorted(owner, np.arange(n))  # each chunk has a word at least
-            place = np.arange(len(owner)) - first[owner]
-            last = len(owner) - size + 1
-            starts = np.flatnonzero((place < own[owner])[: max(last, 0)] & (owner[: max(last, 0)] == owner[size - 1 :][: max(last, 0)]))
+        for row in range(len(batch)):
+            langs = batch.column(0)[row].values
+            lengths, hashes, codes, sizes, owns, times, of_lang = (np.frombuffer(_restored(batch.column(k)[row]), types[k]) for k in types)
+            offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+            distinct = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), _restored(batch.column("spelled")[row])])
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            starts = np.flatnonzero(place < np.repeat(np.minimum(owns, sizes - size + 1), sizes))
+            owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
             if bitmap is not None and len(starts):
-                at_bit = _bit(_lang_hashes(rows.column(0))[owner[: last + 1]], window_hashes(words.hashes, size - 1), bits)
+                windows = window_hashes(hashes[codes], size - 1)
+                at_bit = _bit(_name_hashes(langs)[of_lang][owner[: len(windows)]], windows, bits)
                 frequent = (bitmap[at_bit >> 6] >> (at_bit & 63).astype(np.uint64)) & np.uint64(1) == 1
                 starts = starts[frequent[starts] & frequent[starts + 1]]
             if not len(starts):
                 continue
             # equal phrases have equal names: a name stands for the name of all words but the last, and the last
-            coded = rows.column(0).dictionary_encode()
-            name, span = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[owner[starts]], len(coded.dictionary)
+            name, span = of_lang[owner[starts]].astype(np.int64), len(langs)
             for k in range(size):
-                if span * len(words.distinct) >= _NAMES:
+                if span * len(distinct) >= _NAMES:
                     shown, name = _numbered(name)
                     span = len(shown)
-                name, span = name * len(words.distinct) + words.codes[starts + k], span * len(words.distinct)
+                name, span = name * len(distinct) + codes[starts + k], span * len(distinct)
             shown, name = _numbered(name)
-            times = np.zeros(len(shown), np.int64)
-            np.add.at(times, name, rows.column(3).to_numpy()[owner[starts]])
+            a = np.zeros(len(shown), np.int64)
+            np.add.at(a, name, times[owner[starts]])
             shown = starts[shown]
-            lang = coded.dictionary.take(pa.array(coded.indices.to_numpy(zero_copy_only=False)[owner[shown]]))
-            yield pa.RecordBatch.from_arrays([lang, words.runs(shown, size), pa.array(times)], ["lang", "phrase", "a"])
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(of_lang[owner[shown]])), _runs(distinct, codes, shown, size), pa.array(a)], ["lang", "phrase", "a"])
 
 
 def _bit_rows(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -218,14 +300,16 @@ def phrase_counts(docs: DataFrame, longest: int = 4, least: int = 30, lang_col:
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     met = texts.mapInArrow(lambda it: _chunk_rows(it, overlap, one_in), "lang string, chunk string, own int, times bigint")
     # of words, only the frequent ones are needed
-    dictionary = staged(met.groupBy("lang", "chunk", "own").agg(F.sum("times").alias("times")).filter((F.col("own") > 0) | (F.col("times") >= least)), "chunks")
-    totals = dictionary.groupBy("lang").agg(F.sum(F.col("own") * F.col("times")).alias("n"))
+    met = met.groupBy("lang", "chunk", "own").agg(F.sum("times").alias("times")).filter((F.col("own") > 0) | (F.col("times") >= least))
+    dictionary = staged(met.mapInArrow(_block_rows, f"lang string, phrase string, a bigint, n bigint, {_BLOCK_DDL}"), "chunks")
+    totals = dictionary.filter("n is not null").groupBy("lang").agg(F.sum("n").alias("n"))
     levels, bitmap = [], None
     for size in range(1, longest + 1):
         if size == 1:
-            level = dictionary.filter("own = 0").select("lang", F.col("chunk").alias("phrase"), F.col("times").alias("a"))
+            level = dictionary.filter("phrase is not null").select("lang", "phrase", "a")
         else:
-            found = dictionary.filter("own > 0").mapInArrow(lambda it, size=size, bitmap=bitmap: _phrase_rows(it, size, bitmap, bits), "lang string, phrase string, a bigint")
+            blocks = dictionary.filter("codes is not null").select(*_BLOCK)
+            found = blocks.mapInArrow(lambda it, size=size, bitmap=bitmap: _block_phrases(it, size, bitmap, bits), "lang string, phrase string, a bigint")
             level = found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
         level = staged(level, f"phrases-{size}")
         levels.append(level.select("lang", F.lit(size).alias("size"), "phrase", "a"))

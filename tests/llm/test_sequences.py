@@ -122,6 +122,22 @@ def test_words_are_counted_with_their_chunks(monkeypatch):
     assert counts[0] == counts[1] != []
 
 
+def test_small_batches_of_chunks_share_a_block():
+    texts = ["a b c d e", "\u00e9 b c", "a b", "b c d"]
+    rows = [(lang, t, 2, k + 1) for k, t in enumerate(texts * 5) for lang in ("en", "de")] + [("en", "b", 0, 7)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.int64()))], ["lang", "chunk", "own", "times"])
+    want = Counter()
+    for lang, chunk, own, times in rows[:-1]:
+        words = chunk.split()
+        want.update({(lang, " ".join(words[k : k + 2])): times for k in range(own) if k + 2 <= len(words)})
+    found = pa.Table.from_batches(collocations._phrase_rows((batch.slice(k, 3) for k in range(0, len(rows), 3)), 2, None, 26)).to_pylist()
+    assert sorted((r["lang"], r["phrase"], r["a"]) for r in found) == sorted((*k, a) for k, a in want.items())  # each once
+    blocks = pa.Table.from_batches(collocations._block_rows(batch.slice(k, 3) for k in range(0, len(rows), 3))).to_pylist()
+    assert [(r["lang"], r["phrase"], r["a"]) for r in blocks if r["phrase"]] == [("en", "b", 7)]
+    assert sorted((r["lang"], r["n"]) for r in blocks if r["n"]) == [("de", 420), ("en", 420)]
+    assert sum(r["codes"] is not None for r in blocks) == 1
+
+
 def test_joined_words_are_those_of_the_given_text():
     rnd = random.Random(12)
     texts = [" ".join(rnd.choice(["a", "bc", "\u00e9", "\u6f22\u5b57", "\u0085", "-"]) for _ in range(rnd.randrange(1, 9))) for _ in range(200)]
