@@ -132,6 +132,17 @@ def test_state_is_carried_through_windows():
     assert np.allclose(together, alone, rtol=1e-4)
 
 
+def test_scored_texts_fill_lanes(monkeypatch):
+    net = lm_scoring.new_network(np.arange(30, 0, -1).astype(float))
+    rng, steps, inner = np.random.default_rng(5), [], lm_scoring.gru.step
+    docs = [rng.integers(2, 30, n) for n in (3000, *[300] * 1535, 0)]
+    alone = [lm_scoring.score(net, [docs[k]])[0] for k in (0, 1, 700, 1535, 1536)]
+    monkeypatch.setattr(lm_scoring.gru, "step", lambda x, h, u, bu: steps.append(h.shape[1]) or inner(x, h, u, bu))
+    together = lm_scoring.score(net, docs)
+    assert np.allclose(together[[0, 1, 700, 1535, 1536]], alone, rtol=1e-4)
+    assert len(steps) == 3001 and sum(steps) == sum(len(d) + 1 for d in docs)  # no more steps than the longest text has
+
+
 def test_pipeline_stages(spark, tmp_path):
     rnd = random.Random(9)
     text = lambda n: " ".join(f"w{rnd.randrange(4000)}" for _ in range(n))
