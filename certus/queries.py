@@ -486,7 +486,7 @@ def _balanced(df: DataFrame, features: list[str]) -> DataFrame:
 @query(_hybrid_sql(_A, _NN_FEATURES, 2.0))
 def uq_hybrid_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split, then Tomek links, edited neighbours and undersampling on either side."""
-    return _balanced(_log(spark, sf_dir), _NN_FEATURES)
+    return _balanced(_log(spark, sf_dir).select("k", "is_correct", *_NN_FEATURES), _NN_FEATURES)
 
 
 @query(f"with d as materialized (select k, is_correct as y, {', '.join(_NINE)} from ({_NINE_SQL})), {_tomek_sql('d', 'd', list(_NINE))} select k from d_tomek")
