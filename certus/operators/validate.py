@@ -35,19 +35,24 @@ def reject_reason(content_id: Column, tokens: Column) -> Column:
     return F.when(content_id.isNull() | (content_id == ""), "missing content_id").when(F.size(tokens) == 0, "missing/empty top_logprobs").when(lacks, "top_logprobs items missing required keys")
 
 
+def checked(records: DataFrame, parse_strings: bool = False) -> DataFrame:
+    """(content_id, top_logprobs, reason) of each record; reason: why it can't be scored, null if it can."""
+    content_id = F.col("content_id").cast("string")
+    # made once, as filters on the reason would copy the parsing
+    parsed = computed_once(records.withColumn("__id", content_id), {"__tokens": tokens_of(records, parse_strings)})
+    return parsed.select(F.col("__id").alias("content_id"), F.col("__tokens").alias("top_logprobs"), reject_reason(F.col("__id"), F.col("__tokens")).alias("reason"))
+
+
 def prepare(records: DataFrame, max_records: int | None = None, parse_strings: bool = False) -> tuple[DataFrame, DataFrame]:
     """(content_id, top_logprobs) of the records that can be scored, and (content_id, reason) of the others.
 
     max_records: only so many, the first by content_id.
     """
-    content_id = F.col("content_id").cast("string")
-    # made once, as the filters below would copy the parsing
-    parsed = computed_once(records.withColumn("__id", content_id), {"__tokens": tokens_of(records, parse_strings)})
-    checked = parsed.select(F.col("__id").alias("content_id"), F.col("__tokens").alias("top_logprobs"), reject_reason(F.col("__id"), F.col("__tokens")).alias("reason"))
-    valid = checked.filter("reason IS NULL").drop("reason")
+    both = checked(records, parse_strings)
+    valid = both.filter("reason IS NULL").drop("reason")
     if max_records is not None:
         valid = valid.orderBy("content_id").limit(max_records)
-    return valid, checked.filter("reason IS NOT NULL").select("content_id", "reason")
+    return valid, both.filter("reason IS NOT NULL").select("content_id", "reason")
 
 
 def aligned(df: DataFrame, required: list[str], keep: list[str] = ("content_id",)) -> DataFrame:

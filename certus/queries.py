@@ -209,8 +209,7 @@ _VALID_SQL = f"select {_REASON} as reason, count(*) as n, sum(case when k % 17 <
 
 
 def _by_reason(records: DataFrame) -> DataFrame:
-    valid, rejected = validate.prepare(records)
-    both = valid.select("content_id", F.lit("valid").alias("reason")).unionByName(rejected)
+    both = validate.checked(records).withColumn("reason", F.coalesce("reason", F.lit("valid")))
     return both.groupBy("reason").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("content_id").cast("bigint"), F.lit(0))).alias("id_sum"))
 
 
@@ -237,10 +236,10 @@ def uq_read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of records, one list of about a hundred in each file, other items among them."""
     path = new_path(spark, "records.json")
     item = F.to_json(F.struct("content_id", F.from_json("top_logprobs", TOKENS).alias("top_logprobs")))
-    some = _scoring_records(spark, sf_dir).filter("top_logprobs IS NOT NULL").select(item.alias("item"))
+    some = staged(_scoring_records(spark, sf_dir).filter("top_logprobs IS NOT NULL").select(item.alias("item")), "items")
     files = max(1, some.count() // 100)
     lists = some.groupBy(F.pmod(F.xxhash64("item"), F.lit(files)).alias("file")).agg(F.concat(F.lit("[7, "), F.concat_ws(", ", F.collect_list("item")), F.lit("]")).alias("value"))
-    lists.repartition(files, "file").select("value", "file").write.partitionBy("file").text(path)
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return _by_reason(read_records(spark, path))
 
 

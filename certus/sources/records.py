@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +15,11 @@ from certus.functions.text import strip
 from certus.plans.staging import staged
 from certus.schema import RECORD, SCORING_RECORD
 
+#: Bytes of a JSON file up to which one task reads it whole.
+WHOLE = 1 << 18
+_BLANKS = re.compile(r"[ \t\n\r]*")
+_DECODER = json.JSONDecoder(parse_float=str, parse_int=str, strict=False)
+
 
 def _parsed(text: Column, schema: T.StructType) -> Column:
     """Struct of the known fields of a JSON object; of a scoring record's lists as their JSON text.
@@ -46,15 +56,70 @@ def _before(value: Column, within: Window) -> Column:
     return F.coalesce(F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
+def objects(text: str) -> list[str] | None:
+    """The objects of a list of items, or the one object, as the text has them; None if it isn't JSON."""
+    blanks = lambda at: _BLANKS.match(text, at).end()
+    at, out = blanks(0), []
+    if at == len(text):
+        return out
+    several = text[at] == "["
+    at = blanks(at + several)
+    more = not several or text[at : at + 1] != "]"
+    try:
+        while more:
+            item, end = _DECODER.raw_decode(text, at)
+            if isinstance(item, dict):
+                out.append(text[at:end])
+            at = blanks(end)
+            more = several and text[at : at + 1] == ","
+            at = blanks(at + more)
+    except (ValueError, RecursionError):
+        return None
+    if several:
+        at = blanks(at + 1) if text[at : at + 1] == "]" else -1
+    return out if at == len(text) else None
+
+
+def _file_objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, bytes) to (value, None) for each object, and (None, file) for a file that isn't JSON."""
+    for b in batches:
+        for file, raw in zip(b.column(0).to_pylist(), b.column(1)):
+            try:
+                found = objects(raw.as_buffer().to_pybytes().decode())
+            except UnicodeDecodeError:
+                found = None
+            values, files = ([None], [file]) if found is None else (found, [None] * len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(files, pa.string())], ["value", "file"])
+
+
 def json_items(spark: SparkSession, path: str) -> DataFrame:
     """(value): the objects of files with a list of items, or with one object, read by many tasks; other items are left out.
 
+    Small files are read whole; large ones, and those that aren't JSON, by ``_pieces``.
+    """
+    size, file = F.col("_metadata.file_size"), F.col("_metadata.file_path")
+    small = spark.read.text(path, wholetext=True).filter(size <= WHOLE).select(file.alias("file"), F.col("value").cast("binary").alias("raw"))
+    # Spark counts each file as some megabytes, and so takes few into a task
+    tasks = small.rdd.getNumPartitions()
+    small = small.coalesce(max(1, min(tasks, max(-(-tasks // 16), 4 * spark.sparkContext.defaultParallelism))))
+    whole = staged(small.mapInArrow(_file_objects, "value string, file string"), "json-files")
+    found = whole.filter("value IS NOT NULL").select("value")
+    pieces = spark.read.text(path, lineSep="}").select("value", file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), size.alias("size"))
+    large = pieces.filter(F.col("size") > WHOLE).drop("size")
+    broken = whole.filter("value IS NULL").select("file")
+    if not broken.isEmpty():
+        found = found.unionByName(_pieces(pieces.filter(F.col("size") <= WHOLE).drop("size").join(broken, "file", "left_semi")))
+    return found if large.isEmpty() else found.unionByName(_pieces(large))
+
+
+def _pieces(pieces: DataFrame) -> DataFrame:
+    """(value): the objects of files from (value, file, block, place) of pieces.
+
     A file is cut behind every closing brace. Blocks of these pieces say how many quotes they hold, so that sums over the
     blocks before tell where strings begin, and then how many braces and brackets they open and close outside strings. An
     object of the list starts where one brace opens at the list's depth; the pieces of longer objects are put together by a
     shuffle. A file that isn't JSON gives what looks like objects, which ``parse_lines`` checks.
     """
-    pieces = spark.read.text(path, lineSep="}").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
     # escapes are masked by as many characters, so that the quotes that are left begin or end strings
     pieces = pieces.withColumn("masked", F.regexp_replace("value", r"(?s)\\.", "__"))
     pieces = staged(pieces.withColumn("odd", F.pmod(_count(F.col("masked"), '"'), F.lit(2))), "json-pieces")

@@ -41,3 +41,24 @@ def test_objects_over_many_blocks(spark, tmp_path, part):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("whole", [0, 300, 1 << 18])
+def test_small_files_are_read_whole(spark, tmp_path, monkeypatch, whole):
+    """Files read whole give what those read in pieces give, broken ones too."""
+    monkeypatch.setattr(records, "WHOLE", whole, raising=False)
+    rnd = random.Random(17)
+    texts = [json.dumps([made(rnd) for _ in range(rnd.randrange(0, 12))] + [{"id": i, "x": 1.50}], indent=rnd.choice([None, 1])) for i in range(30)]
+    want = [json.dumps(x, sort_keys=True) for t in texts for x in json.loads(t) if isinstance(x, dict)]
+    texts += [" \n", "7", '"{}"', ' {"one": "}"} \n', '[{"a": 1}, {"b": [{}]}]x', '{"c": 1}\n{"d": 2}', '[{"e": "ü"}, 1,, {"f": "\\""}]']
+    want += [json.dumps(x, sort_keys=True) for x in ({"one": "}"}, {"a": 1}, {"b": [{}]}, {"c": 1}, {"d": 2}, {"e": "ü"}, {"f": '"'})]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.json").write_text(text, encoding="utf-8")
+    got = [json.dumps(json.loads(r["value"]), sort_keys=True) for r in records.json_items(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_objects_of_a_text():
+    assert records.objects('[1, {"a": 1.50}, [{"b": 2}], {}] ') == ['{"a": 1.50}', "{}"]
+    assert records.objects("") == records.objects("[]") == records.objects('"{}"') == [] and records.objects('{"x": NaN}') == ['{"x": NaN}']
+    assert all(records.objects(t) is None for t in ("[", "[1", "[1,]", "{} {}", "[1] 2", "]", "[" * 100_000, "{'a': 1}"))
