@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from certus.functions.text import parse_number_list
-from certus.functions.uncertainty import FEATURES, with_entry_features, with_features
+from certus.functions.uncertainty import FEATURES, softmax, with_entry_features, with_features
 from certus.operators import preprocess, validate
 from certus.schema import RECORD
 from certus.sources import records, sinks
@@ -110,3 +110,7 @@ def test_probabilities_sum_to_one(spark):
 
     df = spark.createDataFrame([(1, README_TOKENS)], SCHEMA)
     assert math.isclose(sum(df.select(softmax(F.col("top_logprobs"))).first()[0]), 1.0)
+
+
+def test_softmax_takes_its_largest_value_once(spark):
+    assert softmax(F.col("t"))._jc.toString().count("array_max") == 1
