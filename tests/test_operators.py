@@ -173,3 +173,16 @@ def test_stream_scores_like_a_batch(spark, tmp_path):
     q.stop()
     batch = {tuple(r) for r in score_stream(df, model, 0.5).collect()}
     assert {tuple(r) for r in spark.table("scored").collect()} == batch and len(batch) == 8
+
+
+def test_scores_are_counted_once(spark, table):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(a):
+        seen.add(1)
+        return a
+
+    counted = table.select("y", F.col("k") % 3, noted("a").alias("a")).toDF("y", "g", "a")
+    # once for the filter of missing scores, and once for the counts
+    assert metrics.ranking_metrics(counted, "y", "a", ["g"]).count() == 3 and seen.value <= 2 * 400
