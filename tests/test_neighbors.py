@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from certus import queries
 from certus.operators import neighbors
 
 
@@ -49,3 +50,10 @@ def test_rows_without_a_place_are_kept(spark):
     df = spark.createDataFrame(rows, "k int, y int, a double, b double")
     kept = {r["k"] for r in neighbors.clean(df, "k", "y", ["a", "b"], "hybrid", 6.0).filter("kept").collect()}
     assert {k for k, *_ in rows if k % 10 == 0} <= kept and len(kept) < 200
+
+
+def test_columns_that_nothing_reads_are_not_staged(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries, "_balanced", lambda df, features: seen.append(df.columns))
+    queries.uq_hybrid_balance(spark, "/root/testdata/sf0.001")
+    assert set(seen[0]) == {"k", "is_correct", "lp1", "lp2"}
